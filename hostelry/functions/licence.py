@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hostelry.functions.text import let
+
 # Licence classes.
 DWELLING = "dwelling"
 HOTEL = "hotel"
@@ -24,16 +26,20 @@ NATIONAL_MARKS = [(DWELLING, ["ESFCTU", "ESHFTU"]), (SEASONAL, ["ESFCNT", "ESHFN
 def regional_section(text: Column, region: str) -> Column:
     """The regional number, apart from the national one that embeds it; null when absent."""
     pattern = rf"(?i){region}\s*-\s*Regional registration number\s*(?:<br\s*/?>)*\s*([^<]*)"
-    return F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1)))
+    return F.trim(F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), 0))
 
 
 def canonical(text: Column) -> Column:
     """``hutb-5204`` → ``HUTB-005204``; longer numbers keep every digit."""
-    pattern = r"^([A-Za-z]+)[-\s]*(\d+)$"
-    bare = F.trim(text)
-    digits = F.regexp_replace(F.regexp_extract(bare, pattern, 2), "^0+(?=\\d)", "")
-    padded = F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
-    return F.when(bare.rlike(pattern), F.concat(F.upper(F.regexp_extract(bare, pattern, 1)), F.lit("-"), padded))
+    pattern = r"^([A-Za-z]+)[-\s]*0*(\d+)$"
+
+    def form(found: Column) -> Column:
+        digits = F.regexp_extract(found, pattern, 2)
+        padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
+        return F.concat(F.upper(F.regexp_extract(found, pattern, 1)), F.lit("-"), padded)
+
+    whole = F.regexp_extract_all(F.trim(text), F.lit(pattern), F.lit(0))
+    return F.get(F.transform(whole, form), 0)
 
 
 def prefix(code: Column) -> Column:
@@ -47,17 +53,21 @@ def number(code: Column) -> Column:
 
 def classify(text: Column, regional: Column) -> Column:
     """Regional number first; the national one only when the regional says nothing."""
+
+    def choose(both: Column) -> Column:
+        chosen = F.when(F.lit(False), F.lit(""))
+        for label, starts in REGIONAL_PREFIXES:
+            for start in starts:
+                chosen = chosen.when(both["up"].startswith(start), F.lit(label))
+        chosen = chosen.when(both["up"].contains("EXEMPT"), F.lit(EXEMPT))
+        for label, marks in NATIONAL_MARKS:
+            for mark in marks:
+                chosen = chosen.when(both["whole"].contains(mark), F.lit(label))
+        return chosen.otherwise(F.lit(NONE))
+
     up = F.upper(F.coalesce(regional, F.lit("")))
     whole = F.upper(F.coalesce(text, F.lit("")))
-    chosen = F.when(F.lit(False), F.lit(""))
-    for label, starts in REGIONAL_PREFIXES:
-        for start in starts:
-            chosen = chosen.when(up.startswith(start), F.lit(label))
-    chosen = chosen.when(up.contains("EXEMPT"), F.lit(EXEMPT))
-    for label, marks in NATIONAL_MARKS:
-        for mark in marks:
-            chosen = chosen.when(whole.contains(mark), F.lit(label))
-    return chosen.otherwise(F.lit(NONE))
+    return let(F.struct(up.alias("up"), whole.alias("whole")), choose)
 
 
 def is_filler(digits: Column) -> Column:

@@ -85,6 +85,12 @@ def _accent_pairs() -> tuple[str, str]:
     return "".join(marked), "".join(plain)
 
 
+def let(value: Column, body) -> Column:
+    """Binds a value once for a body that uses it several times, so the optimizer cannot copy the
+    work into every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_accents(text: Column) -> Column:
     marked, plain = _accent_pairs()
     return F.translate(F.regexp_replace(text, r"\p{Mn}", ""), marked, plain)
@@ -117,16 +123,19 @@ def lookup(mapping: Mapping[str, str]) -> Column:
 def street(road_type: Column, road_name: Column, types: Mapping[str, str] = ROAD_TYPES) -> Column:
     """Canonical street: the type may sit in either column, or in both."""
     both = F.concat_ws(" ", F.coalesce(road_type, F.lit("")), F.coalesce(road_name, F.lit("")))
-    tokens = words(fold_upper(both))
     canon = lookup(types)
-    first = F.try_element_at(canon, F.try_element_at(tokens, F.lit(1)))
-    second = F.try_element_at(canon, F.try_element_at(tokens, F.lit(2)))
-    skip = F.when(first.isNull(), 0).when(second == first, 2).otherwise(1)
-    rest = F.filter(
-        F.slice(tokens, skip + 1, F.greatest(F.size(tokens), F.lit(1))),
-        lambda w: ~w.isin(PARTICLES),
-    )
-    return F.trim(F.concat_ws(" ", F.coalesce(first, F.lit("")), F.concat_ws(" ", rest)))
+
+    def assemble(tokens: Column) -> Column:
+        first = F.try_element_at(canon, F.try_element_at(tokens, F.lit(1)))
+        second = F.try_element_at(canon, F.try_element_at(tokens, F.lit(2)))
+        skip = F.when(first.isNull(), 0).when(second == first, 2).otherwise(1)
+        rest = F.filter(
+            F.slice(tokens, skip + 1, F.greatest(F.size(tokens), F.lit(1))),
+            lambda w: ~w.isin(PARTICLES),
+        )
+        return F.trim(F.concat_ws(" ", F.coalesce(first, F.lit("")), F.concat_ws(" ", rest)))
+
+    return let(words(fold_upper(both)), assemble)
 
 
 def first_number(text: Column) -> Column:
@@ -135,8 +144,10 @@ def first_number(text: Column) -> Column:
 
 def unit(text: Column) -> Column:
     """Floor or door without leading zeros, unless nothing else is left."""
-    folded = F.trim(fold_upper(text))
-    return F.coalesce(F.nullif(F.regexp_replace(folded, "^0+", ""), F.lit("")), folded)
+    return let(
+        F.trim(fold_upper(text)),
+        lambda t: F.coalesce(F.nullif(F.regexp_replace(t, "^0+", ""), F.lit("")), t),
+    )
 
 
 def address_key(
@@ -144,18 +155,22 @@ def address_key(
     floor: Column | None = None, door: Column | None = None,
 ) -> Column:
     """Join key of an address; null when a mandatory part is missing, so it can never match."""
-    parts = [F.trim(fold_upper(town)), street(road_type, road_name), first_number(number)]
-    key = F.concat_ws("|", *parts, *[unit(c) for c in (floor, door) if c is not None])
-    complete = (parts[0] != "") & (parts[1] != "") & (parts[2] != "")
-    return F.when(complete, key)
+    must = F.array(F.trim(fold_upper(town)), street(road_type, road_name), first_number(number))
+    units = [unit(c) for c in (floor, door) if c is not None]
+    return let(must, lambda m: F.when(~F.array_contains(m, ""), F.concat_ws("|", m, *units)))
 
 
 def name_similarity(a: Column, b: Column, generic: Sequence[str] = tuple(GENERIC_NAME_WORDS)) -> Column:
     """Shared words over the shorter word set, generic words aside; 0 when one side has none."""
     drop = F.array(*[F.lit(w) for w in generic])
     left, right = (F.array_except(words(fold_upper(c)), drop) for c in (a, b))
-    shorter = F.least(F.size(left), F.size(right))
-    return F.when(shorter > 0, F.size(F.array_intersect(left, right)) / shorter).otherwise(F.lit(0.0))
+
+    def share(pair: Column) -> Column:
+        shorter = F.least(F.size(pair["l"]), F.size(pair["r"]))
+        shared = F.size(F.array_intersect(pair["l"], pair["r"]))
+        return F.when(shorter > 0, shared / shorter).otherwise(F.lit(0.0))
+
+    return let(F.struct(left.alias("l"), right.alias("r")), share)
 
 
 def clean_code(text: Column) -> Column:
@@ -189,7 +204,7 @@ def brand(
     rewrites: Sequence[tuple[str, str]] = tuple(BRAND_REWRITES),
 ) -> Column:
     plain = F.trim(F.regexp_replace(F.upper(strip_accents(text)), r"[^A-Z0-9& ]", ""))
-    known = F.coalesce(F.try_element_at(lookup(aliases), plain), plain)
+    known = let(plain, lambda p: F.coalesce(F.try_element_at(lookup(aliases), p), p))
     for old, new in rewrites:
         known = F.replace(known, F.lit(old), F.lit(new))
     return F.nullif(known, F.lit(""))

@@ -74,3 +74,47 @@ def select_by_category(rows: DataFrame, column: str, wanted: Mapping[str, str],
     if wrong:
         raise ValueError(f"keys that do not name exactly one category: {wrong}")
     return rows.join(F.broadcast(hits.select(column, label)), column)
+
+
+def cap_outliers(
+    rows: DataFrame, value: str, segment: Sequence[str], row_id: str, factor: float = 5.0,
+    capped: str = "capped", flag: str = "was_capped",
+) -> DataFrame:
+    """Caps a value at ``factor`` times its segment's median; the row stays, the flag tells."""
+    from hostelry.operators.distribution import attach
+    from hostelry.operators.quantiles import exact_quantiles
+
+    medians = exact_quantiles(rows, segment, value, {"__median": 0.5})
+    sizes = rows.groupBy(*segment).agg(F.count(F.lit(1)).alias("__n"))
+    on = [sizes[s].eqNullSafe(medians[s]) for s in segment]
+    stats = sizes.join(medians, on, "left").select(*[sizes[s] for s in segment], "__n", "__median")
+    top = F.col("__median") * F.lit(float(factor))
+    return (
+        attach(rows, stats, segment, [row_id], "__n")
+        .withColumn(flag, F.coalesce(F.col(value) > top, F.lit(False)))
+        .withColumn(capped, F.when(F.col(flag), top).otherwise(F.col(value)))
+        .drop("__n", "__median")
+    )
+
+
+def mask_persons(rows: DataFrame, tax_id: str, hidden: Sequence[str], marker: str, flag: str) -> DataFrame:
+    """Nulls the hidden columns of natural persons, told by the marker or by the number's shape."""
+    person = F.coalesce(
+        (F.col(tax_id) == marker) | F.col(tax_id).rlike("^[0-9]{8}[A-Za-z]$"), F.lit(False)
+    )
+    marked = rows.withColumn(flag, person)
+    return marked.withColumns({c: F.when(~F.col(flag), F.col(c)) for c in hidden})
+
+
+def publishable(rows: DataFrame, key: str, name: str, capacity: str, minimum: int, k: int) -> DataFrame:
+    """Largest k groups by rows, named only when the group has the minimum support."""
+    sums = rows.groupBy(key).agg(
+        F.min(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(capacity).alias("capacity")
+    )
+    return sums.filter(F.col("n") >= minimum).orderBy(F.col("n").desc(), F.col(key)).limit(k)
+
+
+def move_by_reason(rows: DataFrame, stays, reason: str, value: str) -> DataFrame:
+    """Adds a reason to rows that must leave; running it again changes nothing."""
+    leaves = ~F.coalesce(stays, F.lit(False)) & F.col(reason).isNull()
+    return rows.withColumn(reason, F.when(leaves, F.lit(value)).otherwise(F.col(reason)))
