@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from hostelry.operators.distribution import attach, keep_first
 
 
-def flag_repeats(rows: DataFrame, keys: Sequence[str], row_id: str, flag: str, when: Column | None = None) -> DataFrame:
+def flag_repeats(rows: DataFrame, keys: Sequence[str], flag: str, when: Column | None = None) -> DataFrame:
     """True on every row whose key occurs more than once; rows outside ``when`` are never flagged."""
     inside = rows if when is None else rows.filter(when)
     counts = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"))
-    joined = attach(rows, counts, keys, [row_id], "__copies")
+    joined = attach(rows, counts, keys)
     repeated = F.coalesce(F.col("__copies") > 1, F.lit(False))
     if when is not None:
         repeated = repeated & F.coalesce(when, F.lit(False))
@@ -88,7 +88,7 @@ def latest_visit(
 
 
 def duplicate_report(
-    rows: DataFrame, criteria: dict[str, Sequence[str]], row_id: str, segment: str,
+    rows: DataFrame, criteria: dict[str, Sequence[str]], segment: str,
     not_null: Sequence[str] = (),
 ) -> DataFrame:
     """Rows in repeated keys under each criterion, by segment, with the share of the segment."""
@@ -99,7 +99,7 @@ def duplicate_report(
         for k in keys:
             if k in not_null:
                 guard = F.col(k).isNotNull() if guard is None else guard & F.col(k).isNotNull()
-        flagged = flag_repeats(flagged, keys, row_id, f"__f{i}", guard)
+        flagged = flag_repeats(flagged, keys, f"__f{i}", guard)
         names.append(f"__f{i}")
     sums = flagged.groupBy(segment).agg(*[F.sum(F.col(n).cast("long")).alias(n) for n in names])
     long = sums.select(

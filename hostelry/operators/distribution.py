@@ -3,7 +3,7 @@
 Three rules carry the library:
 
 * aggregates come first, because Spark combines them before the shuffle whatever the skew;
-* a per-key result goes back to its rows through :func:`attach`, which spreads the hot keys;
+* a per-key result goes back to its rows through :func:`attach`, which lets hot keys be cut up;
 * "first of" and "top k of" use a ranked window with a bound, which Spark cuts before the shuffle.
 """
 
@@ -17,101 +17,45 @@ from pyspark.sql import functions as F
 
 from hostelry.session import durable
 
-#: A key is hot when it holds more than one part in HOT_PARTS of the rows, so there are fewer than
-#: HOT_PARTS hot keys whatever the table holds: that bounds every broadcast of them.
-HOT_PARTS = 10_000
-#: Pieces a hot key is cut into.
-SALTS = 64
-#: Below this many rows a key is never worth cutting.
-HOT_FLOOR_SETTING = "spark.hostelry.hotFloor"
-HOT_FLOOR = 200_000
-
-
-def hot_floor(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(HOT_FLOOR_SETTING, str(HOT_FLOOR)))
-
-
-def hot_keys(counts: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
-    """Keys whose count is above their share; ``counts`` has one row per key."""
-    total = counts.select(F.sum(n)).scalar()
-    return counts.filter(
-        (F.col(n) >= hot_floor(counts)) & (F.col(n) * HOT_PARTS > total)
-    ).select(*keys)
-
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
-    return reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(right[f"{prefix}{k}"]) for k in keys]
-    )
-
-
-def _renamed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
-
-
-def _salted(rows: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
-    marks = F.broadcast(_renamed(hot, keys, "__h_").withColumn("__hot", F.lit(True)))
-    piece = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    return (
-        rows.join(marks, _same(rows, marks, keys, "__h_"), "left")
-        .withColumn("__salt", F.when(F.col("__hot"), piece).otherwise(F.lit(0)))
-        .drop("__hot", *[f"__h_{k}" for k in keys])
-    )
-
-
-def _replicated(side: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    marks = F.broadcast(_renamed(hot, keys, "__h_").withColumn("__hot", F.lit(True)))
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    return (
-        side.join(marks, _same(side, marks, keys, "__h_"), "left")
-        .withColumn("__salt", F.explode(copies))
-        .drop("__hot", *[f"__h_{k}" for k in keys])
-    )
-
 
 def spread_join(
     rows: DataFrame,
     side: DataFrame,
     keys: Sequence[str],
-    spread: Sequence[str],
     *,
-    counts: DataFrame | None = None,
-    n: str = "__n",
     how: str = "inner",
     condition: Column | None = None,
 ) -> DataFrame:
     """Equi-join where ``rows`` may be skewed on ``keys``; nulls match nulls.
 
-    Rows of a hot key go to ``SALTS`` tasks by the hash of ``spread`` and the other side's rows of
-    that key are copied to each. ``condition`` is written over the joined columns.
+    Adaptive execution cuts an oversized partition of a join into pieces, but only where both
+    inputs come straight from a shuffle. A side that was just aggregated by the same keys does not.
+    Joining on the keys and on their hash asks for a fresh shuffle of both, so the cut applies to a
+    hot key whatever the inputs are, and a side that turns out small is still broadcast at run time.
+    ``condition`` is written over the columns of both sides.
     """
-    if counts is None:
-        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    hot = hot_keys(counts, keys, n)
-    left = _salted(rows, hot, keys, spread)
-    right = _renamed(_replicated(side, hot, keys), [*keys, "__salt"], "__r_")
-    on = _same(left, right, [*keys, "__salt"], "__r_")
+    left = rows.withColumn("__hash", F.xxhash64(*[F.col(k) for k in keys]))
+    right = side.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumn(
+        "__r_hash", F.xxhash64(*[F.col(f"__r_{k}") for k in keys])
+    )
+    on = (F.col("__hash") == F.col("__r_hash")) & reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    )
     if condition is not None:
         on = on & condition
     joined = left.join(right, on, how)
-    return joined.drop("__salt", "__r___salt", *[f"__r_{k}" for k in keys])
+    return joined.drop("__hash", "__r_hash", *[f"__r_{k}" for k in keys])
 
 
-def attach(
-    rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Sequence[str], n: str
-) -> DataFrame:
-    """Left join of a one-row-per-key result back to its rows. ``n`` is its row count per key."""
-    return spread_join(rows, stats, keys, spread, counts=stats.select(*keys, n), n=n, how="left")
+def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of a one-row-per-key result back to its rows."""
+    return spread_join(rows, stats, keys, how="left")
 
 
-def group_stats(rows: DataFrame, keys: Sequence[str], spread: Sequence[str], **aggs: Column) -> DataFrame:
+def group_stats(rows: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Adds per-group aggregates to every row without gathering a group in one task."""
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), *[c.alias(name) for name, c in aggs.items()]
-    )
-    return attach(rows, stats, keys, spread, "__n").drop("__n")
+    stats = rows.groupBy(*keys).agg(*[c.alias(name) for name, c in aggs.items()])
+    return attach(rows, stats, keys)
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostelry.operators.distribution import dense_index
+from hostelry.operators.distribution import attach, dense_index
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str, priority: Column) -> DataFrame:
@@ -28,8 +28,4 @@ def surrogate_keys(known: DataFrame, rows: DataFrame, key: str, number: str) ->
 
 
 def with_surrogate(rows: DataFrame, mapping: DataFrame, key: str, number: str) -> DataFrame:
-    from hostelry.operators.distribution import spread_join
-
-    side = mapping.select(key, number)
-    rows = rows.withColumn("__row", F.xxhash64(*rows.columns))
-    return spread_join(rows, side, [key], ["__row"], how="left").drop("__row")
+    return attach(rows, mapping.select(key, number), [key])

@@ -77,7 +77,7 @@ def select_by_category(rows: DataFrame, column: str, wanted: Mapping[str, str],
 
 
 def cap_outliers(
-    rows: DataFrame, value: str, segment: Sequence[str], row_id: str, factor: float = 5.0,
+    rows: DataFrame, value: str, segment: Sequence[str], factor: float = 5.0,
     capped: str = "capped", flag: str = "was_capped",
 ) -> DataFrame:
     """Caps a value at ``factor`` times its segment's median; the row stays, the flag tells."""
@@ -85,15 +85,12 @@ def cap_outliers(
     from hostelry.operators.quantiles import exact_quantiles
 
     medians = exact_quantiles(rows, segment, value, {"__median": 0.5})
-    sizes = rows.groupBy(*segment).agg(F.count(F.lit(1)).alias("__n"))
-    on = [sizes[s].eqNullSafe(medians[s]) for s in segment]
-    stats = sizes.join(medians, on, "left").select(*[sizes[s] for s in segment], "__n", "__median")
     top = F.col("__median") * F.lit(float(factor))
     return (
-        attach(rows, stats, segment, [row_id], "__n")
+        attach(rows, medians, segment)
         .withColumn(flag, F.coalesce(F.col(value) > top, F.lit(False)))
         .withColumn(capped, F.when(F.col(flag), top).otherwise(F.col(value)))
-        .drop("__n", "__median")
+        .drop("__median")
     )
 
 

@@ -13,9 +13,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostelry.operators.distribution import hot_keys
 
 RANGES = 256
+#: A group is cut into ranges when it holds more than one part in LARGE_PARTS of all distinct
+#: values, so fewer than LARGE_PARTS groups are, and their splits are a bounded broadcast.
+LARGE_PARTS = 2_000
+#: Below this many distinct values a group is ordered as it is.
+LARGE_FLOOR_SETTING = "spark.hostelry.largeGroup"
+LARGE_FLOOR = 100_000
+
+
+def _large_groups(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    total = sizes.select(F.sum("__values")).scalar()
+    floor = int(sizes.sparkSession.conf.get(LARGE_FLOOR_SETTING, str(LARGE_FLOOR)))
+    n = F.col("__values")
+    return sizes.filter((n >= floor) & (n * LARGE_PARTS > total)).select(*keys)
 
 
 def exact_quantiles(
@@ -45,10 +57,8 @@ def exact_quantiles(
         .groupBy(*keys, "__v")
         .agg(F.sum("__w").alias("__w"))
     )
-    sizes = hist.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__values"), F.sum("__w").alias("__total")
-    )
-    hot = F.broadcast(hot_keys(sizes, keys, "__values"))
+    sizes = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__values"))
+    hot = F.broadcast(_large_groups(sizes, keys))
     cuts = (
         hist.join(hot, _on(hist, hot, keys), "left_semi")
         .groupBy(*keys)
@@ -129,8 +139,3 @@ def _holds(target: Column, start: Column, end: Column, rule: str) -> Column:
         return (start <= target) & (target < end)
     return ((start < target) | ((target <= 0) & (start <= 0))) & (target <= end)
 
-
-def attach_quantiles_small(rows: DataFrame, quantiles: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Joins group quantiles back by key through an ordinary join the engine sizes itself."""
-    on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(quantiles[k]) for k in by])
-    return rows.join(quantiles, on, "left").drop(*[quantiles[k] for k in by])

@@ -53,7 +53,7 @@ def span(series: DataFrame, period: str, value: str) -> DataFrame:
 
 def normalised(series: DataFrame, value: str, group: Sequence[str], out: str) -> DataFrame:
     """Value over the mean of its group, as group sums joined back."""
-    joined = group_stats(series, group, [value], __mean=F.avg(value))
+    joined = group_stats(series, group, __mean=F.avg(value))
     return joined.withColumn(out, F.col(value) / F.col("__mean")).drop("__mean")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hostelry.functions.licence import is_filler
 from hostelry.operators.aggregates import value_sets
-from hostelry.operators.distribution import attach, group_stats, keep_first, spread_join
+from hostelry.operators.distribution import group_stats, keep_first, spread_join
 from hostelry.operators.linkage import member
 
 # Prefixes whose registry can be looked up, and prefixes of establishments.
@@ -38,14 +38,14 @@ def highest_number(registry: DataFrame, code: str, prefix: str = DWELLING_PREFIX
         F.max(F.regexp_extract(code, pattern, 1).cast("decimal(38,0)")).cast("bigint").alias("highest"))
 
 
-def in_registry(rows: DataFrame, code: str, prefix: str, registry: DataFrame, row_id: str, checkable: Sequence[str] = CHECKABLE) -> DataFrame:
+def in_registry(rows: DataFrame, code: str, prefix: str, registry: DataFrame, checkable: Sequence[str] = CHECKABLE) -> DataFrame:
     """Adds ``found``: true, false, or null where the prefix has no registry or nothing is declared.
 
     ``registry`` has the column ``code``. A false number may be shared by very many rows, so the
     lookup spreads hot codes.
     """
     keys = registry.select(F.col("code").alias(code)).filter(F.col(code).isNotNull()).distinct().withColumn("__in", F.lit(True))
-    joined = spread_join(rows, keys, [code], [row_id], how="left")
+    joined = spread_join(rows, keys, [code], how="left")
     found = F.when(F.col(prefix).isin(*checkable), F.coalesce(F.col("__in"), F.lit(False)))
     return joined.withColumn("found", found).drop("__in")
 
@@ -60,11 +60,11 @@ def verification_report(rows: DataFrame, prefix: str, checkable: Sequence[str] =
     )
 
 
-def verify(rows: DataFrame, registry: DataFrame, row_id: str = "id", host: str = "host_id") -> DataFrame:
+def verify(rows: DataFrame, registry: DataFrame, host: str = "host_id") -> DataFrame:
     """State and reason per row. ``rows`` has ``code``, ``prefix``, ``num`` and ``regional``."""
-    looked = in_registry(rows, "code", "prefix", registry, row_id)
+    looked = in_registry(rows, "code", "prefix", registry)
     hosts = group_stats(
-        looked, [host], [row_id],
+        looked, [host],
         host_establishment=F.max(F.col("prefix").isin(*ESTABLISHMENT)),
         host_dwelling=F.max(F.col("prefix") == DWELLING_PREFIX),
     )
@@ -115,11 +115,11 @@ def unlicensed_active(rows: DataFrame, since: str, classes: Sequence[str], row_i
     return keep_first(active, ["name", "host_id"], [F.col(row_id)])
 
 
-def attributed_regime(pending: DataFrame, rows: DataFrame, establishment: Sequence[str], row_id: str = "id") -> DataFrame:
+def attributed_regime(pending: DataFrame, rows: DataFrame, establishment: Sequence[str]) -> DataFrame:
     """Counts of unlicensed rows by what their host's other licences allow to conclude."""
     hosts = rows.filter(F.col("regional").isNotNull()).groupBy("host_id").agg(
         F.max(F.col("class").isin(*establishment)).alias("__est"))
-    joined = spread_join(pending, hosts, ["host_id"], [row_id], how="left")
+    joined = spread_join(pending, hosts, ["host_id"], how="left")
     situation = (
         F.when(F.col("__est"), "host has hotel or hostel: attributed")
         .when(F.col("__est").isNotNull(), "host has other licences: not attributed")
@@ -128,13 +128,13 @@ def attributed_regime(pending: DataFrame, rows: DataFrame, establishment: Sequen
     return joined.groupBy(situation.alias("situation")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def tied_to_host(pending: DataFrame, rows: DataFrame, row_id: str = "id") -> DataFrame:
+def tied_to_host(pending: DataFrame, rows: DataFrame) -> DataFrame:
     """Unlicensed rows of licensed hosts: same listing, same profile, or undecided."""
     licensed = rows.filter(F.col("regional").isNotNull())
     hosts = licensed.select("host_id").distinct().withColumn("__h", F.lit(True))
-    candidates = spread_join(pending, hosts, ["host_id"], [row_id]).drop("__h")
-    exact = member(candidates, licensed, ["host_id", "name"], row_id, "__exact")
-    strong = member(exact, licensed, ["host_id", "area", "room_type", "price"], row_id, "__strong")
+    candidates = spread_join(pending, hosts, ["host_id"]).drop("__h")
+    exact = member(candidates, licensed, ["host_id", "name"], "__exact")
+    strong = member(exact, licensed, ["host_id", "area", "room_type", "price"], "__strong")
     criterion = F.when(F.col("__exact"), "same host and name").when(
         F.col("__strong"), "same host, area, type and price").otherwise("undecided")
     return strong.groupBy(criterion.alias("criterion")).agg(F.count(F.lit(1)).alias("rows"))
@@ -145,18 +145,18 @@ def host_classes(rows: DataFrame, none: str) -> DataFrame:
     return value_sets(rows.filter(F.col("class") != none), "host_id", "class", "classes")
 
 
-def host_class_counts(pending: DataFrame, rows: DataFrame, none: str, row_id: str = "id") -> DataFrame:
+def host_class_counts(pending: DataFrame, rows: DataFrame, none: str) -> DataFrame:
     """For unlicensed rows, how many have a host with each class, and the share of linked rows."""
-    joined = spread_join(pending, host_classes(rows, none), ["host_id"], [row_id])
+    joined = spread_join(pending, host_classes(rows, none), ["host_id"])
     linked = joined.groupBy("classes").agg(F.count(F.lit(1)).alias("__n"))
     whole = linked.select(F.sum("__n")).scalar()
     return linked.select(F.explode("classes").alias("class"), "__n").groupBy("class").agg(
         F.sum("__n").alias("rows")).withColumn("pct", F.round(F.col("rows") * 100.0 / whole, 2))
 
 
-def host_class_combinations(pending: DataFrame, rows: DataFrame, none: str, row_id: str = "id") -> DataFrame:
+def host_class_combinations(pending: DataFrame, rows: DataFrame, none: str) -> DataFrame:
     """Combinations of classes in the portfolios of the hosts, "A + B"."""
-    joined = spread_join(pending, host_classes(rows, none), ["host_id"], [row_id])
+    joined = spread_join(pending, host_classes(rows, none), ["host_id"])
     return joined.groupBy(F.concat_ws(" + ", "classes").alias("combination")).agg(
         F.max(F.size("classes")).alias("classes"), F.count(F.lit(1)).alias("rows"))
 

@@ -74,11 +74,11 @@ TABLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "declared": ("orders", [
         ("id", "o_orderkey"),
         ("host_id", "o_custkey"),
-        ("name", "concat('Flat ', cast(o_orderkey % 7 as varchar(20)))"),
+        ("name", "concat('Flat ', cast(o_orderkey % 6 as varchar(20)))"),
         ("area", "o_custkey % 25"),
         ("room_type", "case when o_orderkey % 41 = 0 then 'Hotel room' when o_orderkey % 5 < 3 then"
                       " 'Entire home/apt' when o_orderkey % 5 = 3 then 'Private room' else 'Shared room' end"),
-        ("price", "o_totalprice"),
+        ("price", "floor(o_totalprice/5e4)*1e2"),
         ("places", "2 + o_orderkey % 6"),
         ("min_nights", "case when o_orderkey % 17 = 0 then null when o_orderkey % 13 = 0 then 32 + o_orderkey % 400"
                        " else 1 + o_orderkey % 31 end"),

@@ -48,7 +48,7 @@ WITH {LICENCE_SQL} SELECT count(*) AS listings, sum(n.places)::BIGINT AS listed_
 def matched_pairs(spark, folder):
     registry = standin(spark, folder, "registry").select("code", c("places").alias("registry_places"))
     rows = licensed(spark, folder).select("id", "code", "places").filter("code is not null")
-    joined = spread_join(rows, registry, ["code"], ["id"])
+    joined = spread_join(rows, registry, ["code"])
     return joined.agg(F.count("*").alias("listings"), F.sum("places").alias("listed_places"), F.sum("registry_places").alias("registry_places"))
 
 
@@ -180,7 +180,7 @@ def registries(spark, folder):
 
 
 def looked_up(spark, folder):
-    return licences.in_registry(licensed(spark, folder), "code", "prefix", registries(spark, folder), "id")
+    return licences.in_registry(licensed(spark, folder), "code", "prefix", registries(spark, folder))
 
 
 @query("jn12_price_reconciliation", "JN-12 DQ-10", f"""
@@ -428,9 +428,9 @@ def coverage_rates(spark, folder):
 
 @query("ag19_correlations", "AG-19", """
 SELECT a, b, round(r, 6) AS r FROM (SELECT unnest(['l_quantity','l_quantity','l_extendedprice']) AS a, unnest(['l_extendedprice','l_tax','l_tax']) AS b,
- unnest([corr(l_quantity, l_extendedprice), corr(l_quantity, l_tax), corr(l_extendedprice, l_tax)]) AS r FROM lineitem) WHERE abs(r) >= 0.5""")
+ unnest([corr(l_quantity, l_extendedprice), corr(l_quantity, l_tax), corr(l_extendedprice, l_tax)]) AS r FROM lineitem) WHERE abs(r) >= 0.0001""")
 def correlations(spark, folder):
-    out = aggregates.correlations(read(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], 0.5)
+    out = aggregates.correlations(read(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], 0.0001)
     return out.withColumn("r", F.round("r", 6))
 
 
@@ -480,7 +480,7 @@ def host_price_evidence(spark, folder):
     stats = priced.groupBy("host_id").agg(F.count("*").alias("priced"), F.avg("price").alias("mean"))
     stats = stats.join(exact_quantiles(priced, ["host_id"], "price", {"median": 0.5}), "host_id")
     missing = rows.filter("price is null").select("id", "host_id")
-    return spread_join(missing, stats, ["host_id"], ["id"], how="left").select(
+    return spread_join(missing, stats, ["host_id"], how="left").select(
         "id", "priced", F.round("mean", 4).alias("mean"), F.round("median", 3).alias("median"))
 
 
@@ -490,7 +490,7 @@ SELECT 'year' AS by, cast(year(last_review) as varchar) AS value, count(*) AS ro
 (SELECT 'area', cast(area as varchar), count(*), sum(places)::BIGINT FROM l GROUP BY area ORDER BY count(*) DESC, area LIMIT 10)""", ("declared", "registry"))
 def latent_capacity(spark, folder):
     inactive = scoped(spark, folder).filter("reason = 'inactive'")
-    latent = licences.in_registry(inactive, "code", "prefix", standin(spark, folder, "registry"), "id").filter("found")
+    latent = licences.in_registry(inactive, "code", "prefix", standin(spark, folder, "registry")).filter("found")
     by_year = licences.latent_capacity(latent, F.year("last_review").cast("string").alias("value"), "places")
     by_area = licences.latent_capacity(latent, c("area"), "places").orderBy(c("rows").desc(), "area").limit(10)
     return by_year.select(F.lit("year").alias("by"), "value", "rows", "capacity").unionByName(

@@ -290,9 +290,9 @@ m AS (SELECT l_returnflag, l_linenumber, median(p) * 5 AS top FROM v GROUP BY 1,
 SELECT l_returnflag, l_linenumber, sum((p > top)::INT)::BIGINT AS capped_rows, round(max(least(p, top)), 4) AS top_value FROM v JOIN m USING (l_returnflag, l_linenumber) GROUP BY 1, 2""")
 def outlier_cap(spark, folder):
     rows = read(spark, folder, "lineitem").select(
-        "l_returnflag", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
+        "l_returnflag", "l_linenumber",
         F.when(c("l_orderkey") % 50 == 0, c("l_extendedprice") * 40).otherwise(c("l_extendedprice")).alias("p"))
-    out = projection.cap_outliers(rows, "p", ["l_returnflag", "l_linenumber"], "id")
+    out = projection.cap_outliers(rows, "p", ["l_returnflag", "l_linenumber"])
     return out.groupBy("l_returnflag", "l_linenumber").agg(
         F.sum(c("was_capped").cast("long")).alias("capped_rows"), F.round(F.max("capped"), 4).alias("top_value"))
 
@@ -327,7 +327,7 @@ def keep_first_row(spark, folder):
 @query("wd02_flag_repeats", "WD-02", """
 SELECT repeated, count(*) AS rows, sum(id)::BIGINT AS ids FROM (SELECT id, count(*) over (partition by host_id, name) > 1 AS repeated FROM declared) GROUP BY 1""", ("declared",))
 def flag_repeats(spark, folder):
-    return dedup.flag_repeats(standin(spark, folder, "declared"), ["host_id", "name"], "id", "repeated").groupBy("repeated").agg(
+    return dedup.flag_repeats(standin(spark, folder, "declared"), ["host_id", "name"], "repeated").groupBy("repeated").agg(
         F.count("*").alias("rows"), F.sum("id").alias("ids"))
 
 
@@ -378,7 +378,7 @@ def probable_duplicates(spark, folder):
     from hostelry.functions.text import name_key
 
     rows = standin(spark, folder, "food").select("id", F.concat_ws("|", name_key(c("name")), name_key(c("brand")), "kind").alias("k"))
-    return dedup.flag_repeats(rows, ["k"], "id", "probable").select("id", "probable")
+    return dedup.flag_repeats(rows, ["k"], "probable").select("id", "probable")
 
 
 @query("wd06_shared_coordinates", "WD-06", """
@@ -388,7 +388,7 @@ def shared_coordinates(spark, folder):
     rows = standin(spark, folder, "agents").select(
         "id", *[F.when(c("id") % 4 != 0, F.round(x, 3)).alias(x) for x in ("lat", "lon")])
     known = c("lat").isNotNull() & c("lon").isNotNull()
-    flagged = dedup.flag_repeats(rows, ["lat", "lon"], "id", "shared", known)
+    flagged = dedup.flag_repeats(rows, ["lat", "lon"], "shared", known)
     return flagged.select("id", "shared", F.when(known, "point").otherwise("town").alias("level"))
 
 
@@ -423,7 +423,7 @@ def duplicates_by_criterion(spark, folder):
     return dedup.duplicate_report(
         standin(spark, folder, "declared"),
         {"same name and host": ["name", "host_id"], "same licence": ["license"], "identity": ["name", "host_id", "room_type", "places"]},
-        "id", "room_type", not_null=["license"])
+        "room_type", not_null=["license"])
 
 
 @query("ag22_duplicate_group_sizes", "AG-22", """
