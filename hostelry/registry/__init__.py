@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "row_queries", "link_queries"]
+MODULES = ["text_queries", "row_queries", "link_queries", "spatial_queries"]
 
 
 def load():
