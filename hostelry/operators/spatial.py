@@ -7,6 +7,8 @@ location are one location, and searches for the nearest descend a pyramid of occ
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,11 @@ from hostelry.operators.distribution import spread_join
 from hostelry.session import durable
 
 SLACK = 1e-6
+#: Sites up to this count (a few MB of cells) may be broadcast; beyond it they are shuffled.
+SMALL_SITES = 20_000
+#: Sites a leaf cell may hold before it is cut further.
+LEAF_SITES = 32
+ALWAYS_OPEN = "\uffff"
 
 
 def on_plane(rows: DataFrame, lat: str = "lat", lon: str = "lon", plane: Plane = PLANE) -> DataFrame:
@@ -39,61 +46,83 @@ def pairs_within(points: DataFrame, sites: DataFrame, radius: float, keys: Seque
     return joined.drop("__cx", "__cy").withColumn("d", d)
 
 
-def _bounds(prefix: str = "") -> list[Column]:
-    return [
-        F.min(f"{prefix}x0").alias("x0"), F.max(f"{prefix}x1").alias("x1"),
-        F.min(f"{prefix}y0").alias("y0"), F.max(f"{prefix}y1").alias("y1"),
-    ]
+@dataclass(frozen=True)
+class Grid:
+    """Where a pyramid over sites starts, how many levels it has, and whether it may be broadcast."""
+
+    x: float
+    y: float
+    levels: int
+    leaf: float
+    small: bool
+
+
+def grid_over(sites: DataFrame, by: Sequence[str] = (), leaf: float = 16.0) -> Grid | None:
+    """A grid whose leaves hold few sites: cells are quartered until the fullest is light enough or
+    as small as ``leaf`` metres. Only counts come to the driver. None when there are no sites."""
+    seen = sites.agg(
+        F.count(F.lit(1)).alias("n"), F.min("sx").alias("x"), F.min("sy").alias("y"),
+        F.greatest(F.max("sx") - F.min("sx"), F.max("sy") - F.min("sy")).alias("e"),
+    ).first()
+    if not seen["n"]:
+        return None
+    levels, side = 0, max(seen["e"] * 1.001, leaf)
+    while side > leaf:
+        cells = sites.groupBy(*by, cell(F.col("sx") - seen["x"], side), cell(F.col("sy") - seen["y"], side))
+        if cells.count().agg(F.max("count").alias("top")).first()["top"] <= LEAF_SITES:
+            break
+        levels, side = levels + 1, side / 4
+    return Grid(seen["x"], seen["y"], levels, side, seen["n"] <= SMALL_SITES)
+
+
+def _meet(front: DataFrame, cells: DataFrame, keys: Sequence[str], condition: Column | None, small: bool) -> DataFrame:
+    """Counted small sides are broadcast, so the frontier stays where it is; others are shuffled."""
+    if not small:
+        return spread_join(front, cells, keys, condition=condition)
+    side = cells.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    joined = front.join(F.broadcast(side), on if condition is None else on & condition)
+    return joined.drop(*[f"__r_{k}" for k in keys])
 
 
 def nearest(
-    points: DataFrame, sites: DataFrame, by: Sequence[str] = (), *, point: str = "pid", site: str = "sid",
-    gate: str | None = None, leaf: float = 64.0,
+    points: DataFrame, sites: DataFrame, by: Sequence[str] = (), *, gate: str | None = None,
+    leaf: float = 16.0, grid: Grid | None = None,
 ) -> DataFrame:
-    """Nearest site per point among those equal on ``by``: adds ``site`` and its distance ``d``.
+    """Nearest site per point among those equal on ``by``: ``pid, *by, sid, d``.
 
-    ``points`` has ``point``, ``x``, ``y``; ``sites`` has ``site``, ``sx``, ``sy``. With ``gate``, a
-    site whose gate is not null is open only to points whose gate is smaller. Ties go to the lower
-    site. Points with no open site are left out.
+    ``points`` has ``pid``, ``x``, ``y``; ``sites`` has ``sid``, ``sx``, ``sy``. With ``gate``, a site
+    whose gate is not null is open only to points whose gate is smaller. Ties go to the lower site.
+    Points with no open site are left out.
 
-    The pyramid has one row per occupied cell and level, each with the box of what it holds. A point
-    starts at the root and keeps only cells that could hold something nearer than the worst case of
-    its best cell, so its candidates stay few however crowded a place is.
+    Sites stand in a pyramid of cells with one row per occupied cell and level, each with the box of
+    what it holds. A point starts at the root and keeps only cells that could hold something nearer
+    than the worst case of its best cell, so its candidates stay few however crowded a place is.
     """
-    gates = [F.max(F.col("g")).alias("g")] if gate else []
-    start = sites.select(
-        *by, F.col(site).alias("__site"), F.col("sx"), F.col("sy"),
-        *([F.coalesce(F.col(gate), F.lit("￿")).alias("g")] if gate else []),
+    grid = grid or grid_over(sites, by, leaf)
+    base = points.select(*by, "pid", "x", "y", *([F.col(gate).alias("__gate")] if gate else []))
+    if grid is None:
+        none = F.lit(None).cast(sites.schema["sid"].dataType).alias("sid")
+        return base.filter(F.lit(False)).select("pid", *by, none, F.lit(0.0).alias("d"))
+    gates = [F.max("g").alias("g")] if gate else []
+    placed = sites.select(
+        *by, "sid", "sx", "sy",
+        cell(F.col("sx") - grid.x, grid.leaf).alias("cx"), cell(F.col("sy") - grid.y, grid.leaf).alias("cy"),
+        *([F.coalesce(F.col(gate), F.lit(ALWAYS_OPEN)).alias("g")] if gate else []),
     )
     if not gate:
-        start = start.groupBy(*by, "sx", "sy").agg(F.min("__site").alias("__site"))
-    extent = start.agg(
-        F.min("sx").alias("x"), F.min("sy").alias("y"),
-        F.greatest(F.max("sx") - F.min("sx"), F.max("sy") - F.min("sy")).alias("e"),
-    ).first()
-    base = points.select(*by, F.col(point).alias("__point"), "x", "y", *([F.col(gate).alias("__gate")] if gate else []))
-    shape = base.withColumns({"__site": F.lit(None).cast(sites.schema[site].dataType), "d": F.lit(0.0)})
-    if extent["e"] is None:
-        return shape.filter(F.lit(False)).select(F.col("__point").alias(point), F.col("__site").alias(site), "d")
-    levels = 0
-    while leaf * 4 ** levels <= extent["e"]:
-        levels += 1
-    placed = start.withColumns({
-        "cx": cell(F.col("sx") - extent["x"], leaf), "cy": cell(F.col("sy") - extent["y"], leaf)})
-    pyramid = [
-        placed.groupBy(*by, "cx", "cy").agg(
-            F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"), *gates)
-    ]
-    for _ in range(levels):
-        up = pyramid[-1].withColumns({"cx": F.shiftright("cx", 2), "cy": F.shiftright("cy", 2)})
-        pyramid.append(up.groupBy(*by, "cx", "cy").agg(*_bounds(), *gates))
+        placed = placed.groupBy(*by, "sx", "sy", "cx", "cy").agg(F.min("sid").alias("sid"))
     open_to = (F.col("g") > F.col("__gate")) if gate else None
     front = base.withColumns({"pcx": F.lit(0).cast("long"), "pcy": F.lit(0).cast("long")})
-    keep = [*by, "__point", "x", "y", *(["__gate"] if gate else [])]
-    mine = Window.partitionBy("__point", *by)
-    for cells in reversed(pyramid[:-1] if levels else []):
-        children = cells.withColumns({"pcx": F.shiftright("cx", 2), "pcy": F.shiftright("cy", 2)})
-        met = spread_join(front, children, [*by, "pcx", "pcy"], condition=open_to)
+    keep = [*by, "pid", "x", "y", *(["__gate"] if gate else [])]
+    mine = Window.partitionBy("pid", *by)
+    at = [*by, "pcx", "pcy"]
+    for level in reversed(range(grid.levels)):
+        cells = placed.groupBy(
+            *by, F.shiftright("cx", 2 * level).alias("cx"), F.shiftright("cy", 2 * level).alias("cy")
+        ).agg(F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"), *gates)
+        cells = cells.withColumns({"pcx": F.shiftright("cx", 2), "pcy": F.shiftright("cy", 2)})
+        met = _meet(front, cells, at, open_to, grid.small)
         dx = F.greatest(F.col("x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("x1"))
         dy = F.greatest(F.col("y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("y1"))
         fx = F.greatest(F.abs(F.col("x") - F.col("x0")), F.abs(F.col("x") - F.col("x1")))
@@ -102,16 +131,10 @@ def nearest(
         kept = scored.withColumn("ub", F.min("hi").over(mine)).filter(F.col("lo") <= F.col("ub") + SLACK)
         front = kept.select(*keep, F.col("cx").alias("pcx"), F.col("cy").alias("pcy"))
     leaves = placed.withColumnsRenamed({"cx": "pcx", "cy": "pcy"})
-    met = spread_join(front, leaves, [*by, "pcx", "pcy"], condition=open_to)
+    met = _meet(front, leaves, at, open_to, grid.small)
     d = distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
-    best = met.groupBy("__point", *by).agg(F.min(F.struct(d.alias("d"), F.col("__site"))).alias("best"))
-    return best.select(
-        F.col("__point").alias(point), *by, F.col("best.__site").alias(site), F.col("best.d").alias("d"))
-
-
-def locations(rows: DataFrame, *sums: Column, x: str = "x", y: str = "y") -> DataFrame:
-    """One row per exact location, with aggregates of what stands there."""
-    return rows.groupBy(x, y).agg(*sums)
+    best = met.groupBy("pid", *by).agg(F.min(F.struct(d.alias("d"), F.col("sid"))).alias("best"))
+    return best.select("pid", *by, "best.sid", "best.d")
 
 
 def near_same_key(rows: DataFrame, keys: Sequence[str], row_id: str, radius: float, flag: str) -> DataFrame:

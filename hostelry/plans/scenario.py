@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,31 +29,41 @@ def food_demand(hotels: DataFrame, dwellings: DataFrame, food: DataFrame, radius
     return out.withColumn("change_pct", change_pct(F.col("now"), F.col("later")))
 
 
-def runs(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Copies the rows once per run, so that all runs are one plan."""
-    return rows.withColumn("run", F.explode(F.array(*[F.lit(n) for n in names])))
+@dataclass(frozen=True)
+class Run:
+    """One allocation: its name, the seed of the serving order, an optional distance preference."""
+
+    name: str
+    seed: int
+    limit_m: float | None = None
 
 
 def demand_and_capacity(
-    dwellings: DataFrame, hotels: DataFrame, seeds: list[int], *, occupancy: float = DWELLING_OCCUPANCY,
+    dwellings: DataFrame, hotels: DataFrame, runs: Sequence[Run], *, occupancy: float = DWELLING_OCCUPANCY,
     hotel_occupancy: float = HOTEL_ROOM_OCCUPANCY,
 ) -> tuple[DataFrame, DataFrame]:
-    """Agents and sites of the allocation. Dwellings: ``id, x, y, band, bedrooms, places``; hotels:
-    ``id, x, y, band, rooms``. Rooms are the unit; guests per room are counted afterwards."""
-    names = [str(s) for s in seeds]
+    """Agents and sites of the allocation, once per run so that all runs are one plan.
+
+    Dwellings: ``id, x, y, band, bedrooms, places``; hotels: ``id, x, y, band, rooms``. Rooms are the
+    unit; guests per room are counted afterwards.
+    """
+    each = F.explode(F.array(*[
+        F.struct(F.lit(r.name).alias("run"), F.lit(r.seed).alias("seed"), F.lit(r.limit_m).cast("double").alias("limit_m"))
+        for r in runs])).alias("__run")
     units = capacity_units(F.col("bedrooms"), F.col("places"))
-    agents = runs(dwellings, names).select(
-        "run", F.col("id").alias("agent"), "x", "y", "band", agent_rank(F.col("run"), F.col("id")).alias("rank"),
+    agents = dwellings.select("*", each).select(
+        "__run.run", F.col("id").alias("agent"), "x", "y", "band",
+        agent_rank(F.col("__run.seed"), F.col("id")).alias("rank"), "__run.limit_m",
         (units * occupancy).alias("qty"), (F.col("places") / units).alias("guests_per_room"))
-    sites = runs(hotels, names).filter(F.col("rooms").isNotNull() & F.col("band").isNotNull()).select(
-        "run", F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"), "band",
+    sites = hotels.filter(F.col("rooms").isNotNull() & F.col("band").isNotNull()).select("*", each).select(
+        "__run.run", F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"), "band",
         (F.col("rooms") * (1 - hotel_occupancy)).alias("cap"))
     return agents, sites
 
 
-def placed(agents: DataFrame, sites: DataFrame, limit_m: float | None = None) -> DataFrame:
+def placed(agents: DataFrame, sites: DataFrame) -> DataFrame:
     """Allocation with guests, kilometres and bands of both ends."""
-    pairs = allocate(agents.drop("guests_per_room"), sites, limit_m=limit_m)
+    pairs = allocate(agents.drop("guests_per_room"), sites)
     ends = agents.select("run", "agent", "guests_per_room", F.col("band").alias("from_band"))
     goal = sites.select("run", "sid", F.col("band").alias("to_band"))
     return pairs.join(ends, ["run", "agent"]).join(goal, ["run", "sid"], "left").select(
@@ -79,13 +91,12 @@ def summary(pairs: DataFrame, far_km: float = 2.0) -> DataFrame:
 
 def band_matrix(pairs: DataFrame, bands: int = 4) -> DataFrame:
     """Guests by band of origin and destination, every cell present, as a long table."""
-    spark = pairs.sparkSession
-    grid = spark.range(bands).select(F.col("id").cast("int").alias("from_band")).select(
-        "from_band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("to_band"))
-    cells = pairs.filter(F.col("sid").isNotNull()).groupBy("run", "from_band", "to_band").agg(F.sum("guests").alias("guests"))
-    all_runs = pairs.select("run").distinct()
-    full = all_runs.select("run", F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("from_band")).join(grid, "from_band")
-    return full.join(cells, ["run", "from_band", "to_band"], "left").withColumn("guests", F.coalesce("guests", F.lit(0.0)))
+    inside = pairs.filter(F.col("sid").isNotNull())
+    cells = [F.coalesce(F.sum(F.when((F.col("from_band") == i) & (F.col("to_band") == j), F.col("guests"))), F.lit(0.0)).alias(f"m{i}{j}")
+             for i in range(bands) for j in range(bands)]
+    lines = [F.struct(F.lit(i).alias("from_band"), F.lit(j).alias("to_band"), F.col(f"m{i}{j}").alias("guests"))
+             for i in range(bands) for j in range(bands)]
+    return inside.groupBy("run").agg(*cells).select("run", F.inline(F.array(*lines)))
 
 
 def sensitivity(summaries: DataFrame, variant: Column) -> DataFrame:

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from hostelry.functions import geo, numeric
-from hostelry.operators import allocation, demand, polygons, spatial
-from hostelry.operators.quantiles import exact_quantiles
+from hostelry.operators import bins, demand, polygons, spatial
+from hostelry.plans import scenario
 from hostelry.registry.core import query
 from hostelry.registry.fixtures import read, standin
+from hostelry.session import scratch_path
 
 c = F.col
 
@@ -232,26 +233,91 @@ hgot AS (SELECT sid, sum(w) AS h, sum(x) AS x FROM (SELECT sid, w / n AS w, extr
 WITH {SPREAD_SQL}, {HOTEL_SPREAD_SQL}, t AS (SELECT f.id, coalesce(h, 0) + 5e-1 * coalesce(v, 0) AS now, coalesce(h, 0) + coalesce(x, 0) AS later FROM food f LEFT JOIN got ON got.sid = f.id LEFT JOIN hgot ON hgot.sid = f.id)
 SELECT id, round(now, 5) AS now, round(later, 5) AS later, case when now > 0 then round((later - now) * 100 / now, 4) end AS change_pct FROM t""", ("agents", "food", "sites"))
 def demand_scenarios(spark, folder):
-    from hostelry.plans.scenario import food_demand
-
     hotels = points(spark, folder, "sites").withColumns({"w": c("places") * numeric.HOTEL_PLACE_OCCUPANCY, "extra": (c("id") % 5) * 3.0})
-    out = food_demand(hotels, agents_demand(spark, folder), as_sites(points(spark, folder, "food")), 80.0)
+    out = scenario.food_demand(hotels, agents_demand(spark, folder), as_sites(points(spark, folder, "food")), 80.0)
     return out.select(c("sid").alias("id"), F.round("now", 5).alias("now"), F.round("later", 5).alias("later"), F.round("change_pct", 4).alias("change_pct"))
 
 
 # ---------------------------------------------------------------- allocation
 
-def allocation_inputs(spark, folder, seeds=(0,)):
-    from hostelry.plans.scenario import demand_and_capacity
+RUNS = [scenario.Run("A", 0), scenario.Run("A1", 1), scenario.Run("A2", 2),
+        scenario.Run("B", 0, 1000.0), scenario.Run("B1", 1, 1000.0), scenario.Run("B2", 2, 1000.0)]
+
+
+def allocation_inputs(spark, folder):
+    return scenario.demand_and_capacity(points(spark, folder, "agents"), points(spark, folder, "sites"), RUNS)
+
+
+_TABLES: dict[tuple[str, str], str] = {}
+
 
-    return demand_and_capacity(points(spark, folder, "agents"), points(spark, folder, "sites"), list(seeds))
+def allocated(spark, folder):
+    """The allocation of every run, written once per application to the shared folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TABLES:
+        path = scratch_path(spark, "allocation")
+        scenario.placed(*allocation_inputs(spark, folder)).write.parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])
+
+
+def main_run(spark, folder):
+    return allocated(spark, folder).filter(c("run") == "A")
 
 
 @query("alc01_allocation", "ALC-01")
 def allocation_pairs(spark, folder):
-    from hostelry.plans.scenario import placed
+    return main_run(spark, folder)
+
+
+@query("alc01_conservation", "ALC-01 DQ-05", """
+SELECT r AS run, true AS all_demand_kept, true AS within_capacity FROM (SELECT unnest(['A','A1','A2','B','B1','B2']) AS r)""")
+def conservation(spark, folder):
+    agents, sites = allocation_inputs(spark, folder)
+    pairs = allocated(spark, folder)
+    asked = agents.groupBy("run").agg(F.sum("qty").alias("asked"))
+    given = pairs.groupBy("run").agg(F.sum("qty").alias("given"))
+    over = pairs.filter("sid is not null").groupBy("run", "sid").agg(F.sum("qty").alias("used")).join(
+        sites, ["run", "sid"]).groupBy("run").agg(F.max(c("used") - c("cap")).alias("over"))
+    return asked.join(given, "run").join(over, "run").select(
+        "run", (F.abs(c("asked") - c("given")) < 1e-4).alias("all_demand_kept"), (c("over") < 1e-6).alias("within_capacity"))
+
 
-    return placed(*allocation_inputs(spark, folder))
+@query("alc02_summary", "ALC-02 AG-11 AG-12")
+def allocation_summary(spark, folder):
+    return scenario.summary(main_run(spark, folder))
+
+
+@query("alc02_band_matrix", "ALC-02 AG-04 AR-01")
+def band_matrix(spark, folder):
+    return scenario.band_matrix(main_run(spark, folder))
+
+
+@query("alc02_distance_buckets", "BIN-03 ALC-02")
+def distance_buckets(spark, folder):
+    inside = main_run(spark, folder).filter("sid is not null")
+    return bins.bucket_shares(inside, c("km"), c("guests"), [0, 0.25, 0.5, 1, 2, 5])
+
+
+@query("alc03_seed_sensitivity", "ALC-03")
+def seed_sensitivity(spark, folder):
+    return scenario.sensitivity(scenario.summary(allocated(spark, folder)), F.substring("run", 1, 1))
+
+
+@query("alc05_absorbed_by_site", "ALC-05")
+def absorbed_by_site(spark, folder):
+    _, sites = allocation_inputs(spark, folder)
+    return scenario.absorbed(main_run(spark, folder), sites.filter(c("run") == "A"))
+
+
+@query("alc06_area_balance", "ALC-06")
+def area_balance(spark, folder):
+    agents, sites = standin(spark, folder, "agents"), standin(spark, folder, "sites")
+    hotel = sites.groupBy("area").agg((F.sum("places") * numeric.HOTEL_PLACE_OCCUPANCY).alias("hotel"))
+    flat = agents.groupBy("area").agg((F.sum("places") * numeric.DWELLING_OCCUPANCY).alias("flat"))
+    return scenario.area_balance(
+        main_run(spark, folder), agents.select(c("id").alias("agent"), "area"), sites.select(c("id").alias("sid"), "area"),
+        hotel.join(flat, "area", "full_outer"))
 
 
 ALLOC_INPUT_SQL = """
@@ -260,9 +326,7 @@ ag AS (SELECT *, greatest(1, coalesce(case when bedrooms > 0 then bedrooms::DOUB
 
 @query("alc04_supply_and_demand", "ALC-04", f"""
 WITH {ALLOC_INPUT_SQL}, f AS (SELECT band, sum(rooms) * (1 - 802e-3) AS free FROM sites GROUP BY 1), q AS (SELECT band, sum(u) * 383e-3 AS asked FROM ag GROUP BY 1)
-SELECT '0' AS run, coalesce(f.band, q.band) AS band, round(coalesce(free, 0), 4) AS free, round(coalesce(asked, 0), 4) AS asked FROM f FULL JOIN q ON f.band = q.band""", ("agents", "sites"))
+SELECT coalesce(f.band, q.band) AS band, round(coalesce(free, 0), 4) AS free, round(coalesce(asked, 0), 4) AS asked FROM f FULL JOIN q ON f.band = q.band""", ("agents", "sites"))
 def supply_and_demand(spark, folder):
-    from hostelry.plans.scenario import supply_and_demand as report
-
-    out = report(*allocation_inputs(spark, folder))
-    return out.select("run", "band", F.round("free", 4).alias("free"), F.round("asked", 4).alias("asked"))
+    out = scenario.supply_and_demand(*[t.filter(c("run") == "A") for t in allocation_inputs(spark, folder)])
+    return out.select("band", F.round("free", 4).alias("free"), F.round("asked", 4).alias("asked"))

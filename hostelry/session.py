@@ -55,10 +55,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder, so a lost executor costs a
-    re-read and not a replay of every earlier round."""
+    """Cuts lineage: writes the rows to a table in the shared folder and reads it back.
+
+    A lost executor then costs a re-read and not a replay of every earlier round, and the reader
+    knows the true size. A plan that loops must not use ``checkpoint()`` here: it hands the inferred
+    constraints of every round on to the next, and planning grows without end.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "durable")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
