@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "row_queries", "link_queries", "spatial_queries"]
+MODULES = [
+    "text_queries", "row_queries", "link_queries", "spatial_queries", "plan_queries", "source_queries",
+]
 
 
 def load():
