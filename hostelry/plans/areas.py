@@ -20,7 +20,7 @@ def area_facts(dwellings: DataFrame, hotels: DataFrame, food: DataFrame, *, hote
     """One row per area seen in any table, zero where a table has nothing there.
 
     Dwellings: ``area, places, place_price, price, nights, host_name``; hotels: ``area, places, rooms,
-    band, owner``; food: ``area, brand, now, later, high``. Three aggregates and full joins by area.
+    band, owner``; food: ``area, brand, now, later, high``. Aggregates by area, joined to the union of their areas.
     """
     low, high = DWELLING_OCCUPANCY, DWELLING_OCCUPANCY_HIGH
     d = dwellings.groupBy("area").agg(
@@ -44,7 +44,8 @@ def area_facts(dwellings: DataFrame, hotels: DataFrame, food: DataFrame, *, hote
         mode(hotels, ["area"], "owner", hotel_operator_min, out="hotel_operator", n="hotel_operator_n"),
         mode(dwellings, ["area"], "host_name", host_min, out="host", n="host_n"),
     ]
-    out = reduce(lambda a, b: a.join(b, "area", "full_outer"), [p.filter(F.col("area").isNotNull()) for p in parts])
+    domain = reduce(DataFrame.unionByName, [p.select("area") for p in (d, h, f)]).filter(F.col("area").isNotNull()).distinct()
+    out = reduce(lambda a, b: a.join(b, "area", "left"), parts, domain)
     out = out.na.fill(0, ["dwellings", "dwelling_places", "revenue_low", "revenue_high", "hotels", "hotel_places",
                           "hotel_rooms", "food_sites", "high", "demand_now", "demand_later"])
     return out.withColumns({

@@ -15,6 +15,7 @@ from hostelry.functions.numeric import (
 from hostelry.operators.allocation import agent_rank, allocate
 from hostelry.operators.demand import spread
 from hostelry.operators.quantiles import exact_quantiles
+from hostelry.session import durable
 
 
 def food_demand(hotels: DataFrame, dwellings: DataFrame, food: DataFrame, radius: float, flat_weight: float = DWELLING_FOOD_WEIGHT) -> DataFrame:
@@ -26,7 +27,7 @@ def food_demand(hotels: DataFrame, dwellings: DataFrame, food: DataFrame, radius
     out = food.select("sid").join(today, "sid").join(flats, "sid").join(extra, "sid")
     out = out.withColumns({
         "now": F.col("hotel") + F.lit(flat_weight) * F.col("flat"), "later": F.col("hotel") + F.col("extra")})
-    return out.withColumn("change_pct", change_pct(F.col("now"), F.col("later")))
+    return durable(out.withColumn("change_pct", change_pct(F.col("now"), F.col("later"))))
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "text_queries", "row_queries", "link_queries", "spatial_queries", "plan_queries", "source_queries",
+    "model_queries",
 ]
 
 

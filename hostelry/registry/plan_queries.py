@@ -56,7 +56,7 @@ aa AS (SELECT DISTINCT area FROM (SELECT area FROM dd UNION ALL SELECT area FROM
 SELECT aa.area, coalesce(dwellings, 0) AS dwellings, coalesce(dwelling_places, 0) AS dwelling_places, round(place_price, 3) AS place_price, round(median_price, 3) AS median_price,
  case when mp is null then null when round(mp, 1) < 40 then '€' when round(mp, 1) < 70 then '€€' when round(mp, 1) < 120 then '€€€' else '€€€€' end AS dwelling_band,
  round(coalesce(revenue_low, 0), 2) AS revenue_low, round(coalesce(revenue_high, 0), 2) AS revenue_high, coalesce(hotels, 0) AS hotels, coalesce(hotel_places, 0) AS hotel_places, coalesce(hotel_rooms, 0) AS hotel_rooms,
- coalesce(food_sites, 0) AS food_sites, coalesce(high, 0) AS high, round(coalesce(demand_now, 0), 4) AS demand_now, round(coalesce(demand_later, 0), 4) AS demand_later, hotel_band, main_brand, brand_sites, hotel_operator, hotel_operator_n, host, host_n,
+ coalesce(food_sites, 0) AS food_sites, coalesce(high, 0) AS high, round(coalesce(demand_now, 0), 6) AS demand_now, round(coalesce(demand_later, 0), 6) AS demand_later, hotel_band, main_brand, brand_sites, hotel_operator, hotel_operator_n, host, host_n,
  round(coalesce(dwelling_places, 0) * 383e-3, 4) AS dwelling_guests_low, round(coalesce(hotel_places, 0) * 679e-3, 4) AS hotel_guests
 FROM aa LEFT JOIN dd USING (area) LEFT JOIN hh USING (area) LEFT JOIN ff USING (area) LEFT JOIN {mode_sql('sites', 'band', 'hotel_band', 'z1', 1)} USING (area)
  LEFT JOIN {mode_sql('fb', 'b', 'main_brand', 'brand_sites', 2)} USING (area) LEFT JOIN {mode_sql('ho', 'own', 'hotel_operator', 'hotel_operator_n', 2)} USING (area)
@@ -64,7 +64,7 @@ FROM aa LEFT JOIN dd USING (area) LEFT JOIN hh USING (area) LEFT JOIN ff USING (
 def area_facts(spark, folder):
     out = areas.area_facts(dwellings(spark, folder), hotels(spark, folder), food_with_demand(spark, folder), host_min=3)
     r = {k: F.round(k, 3) for k in ("place_price", "median_price")} | {k: F.round(k, 2) for k in ("revenue_low", "revenue_high")}
-    r |= {k: F.round(k, 4) for k in ("demand_now", "demand_later", "dwelling_guests_low", "hotel_guests")}
+    r |= {k: F.round(k, 4) for k in ("dwelling_guests_low", "hotel_guests")} | {k: F.round(k, 6) for k in ("demand_now", "demand_later")}
     return out.withColumns(r).drop("dwelling_guests_high")
 
 

@@ -142,9 +142,10 @@ def json_without_nan(spark, folder):
 
 
 @query("snk03_point_tuples", "SNK-03", """
-SELECT area, round(lat, 5) AS lat, round(lon, 5) AS lon, places, price_known FROM (SELECT area, lat, lon, places, price IS NOT NULL AS price_known FROM agents)""", ("agents",))
+SELECT area, round(lat, 5) AS lat, round(lon, 5) AS lon, places, price_known FROM (SELECT area, lat + 1e-7 AS lat, lon + 1e-7 AS lon, places, price IS NOT NULL AS price_known FROM agents)""", ("agents",))
 def point_tuples(spark, folder):
-    rows = standin(spark, folder, "agents").withColumn("price_known", c("price").isNotNull())
+    rows = standin(spark, folder, "agents").withColumns({
+        "price_known": c("price").isNotNull(), "lat": c("lat") + 1e-7, "lon": c("lon") + 1e-7})
     path = scratch_path(spark, "points")
     writers.point_tuples(rows, "lat", "lon", ["places", "area", "price_known"]).write.text(path)
     parts = F.from_json("value", "array<string>")
