@@ -12,7 +12,10 @@ from hostelry.registry.spatial_queries import metres, points
 
 c = F.col
 TABLE = pm.Table("id", "price", ["quantity", "discount", "tax", "size", "retail"], ["flag", "kind", "brand", "segment"])
-RIDGE = LinearRegression(elasticNetParam=0.0, regParam=0.01)
+
+
+def ridge():
+    return LinearRegression(elasticNetParam=0.0, regParam=0.01)
 
 
 def lines(spark, folder):
@@ -31,7 +34,7 @@ def lines(spark, folder):
 @query("ml01_fitted_features", "ML-01 ML-10")
 def fitted_features(spark, folder):
     rows = lines(spark, folder)
-    scored = pm.fit(rows, TABLE, RIDGE).predict(rows.filter("price is not null"))
+    scored = pm.fit(rows, TABLE, ridge()).predict(rows.filter("price is not null"))
     return pm.mae(scored, "price", ["flag"])
 
 
@@ -44,7 +47,7 @@ def median_baseline(spark, folder):
 
 @query("ml03_cross_validation", "ML-03")
 def cross_validation(spark, folder):
-    return pm.cross_validated(lines(spark, folder), TABLE, RIDGE, k=3)
+    return pm.cross_validated(lines(spark, folder), TABLE, ridge(), k=3)
 
 
 @query("ml04_model_search", "ML-04")
@@ -55,30 +58,30 @@ def model_search(spark, folder):
 
 @query("ml05_repeated_cross_validation", "ML-05")
 def repeated_cross_validation(spark, folder):
-    return pm.repeated(lines(spark, folder), TABLE, RIDGE, k=2, seeds=(0, 1))
+    return pm.repeated(lines(spark, folder), TABLE, ridge(), k=2, seeds=(0, 1))
 
 
 @query("ml06_out_of_fold", "ML-06 AG-30")
 def out_of_fold(spark, folder):
-    return error_report(pm.out_of_fold(lines(spark, folder), TABLE, RIDGE, k=2), "segment", "price", "prediction")
+    return error_report(pm.out_of_fold(lines(spark, folder), TABLE, ridge(), k=2), "segment", "price", "prediction")
 
 
 @query("ml07_block_importance", "ML-07")
 def block_importance(spark, folder):
     rows = lines(spark, folder)
-    fitted = pm.fit(rows, TABLE, RIDGE)
+    fitted = pm.fit(rows, TABLE, ridge())
     return pm.importance(rows, fitted, {"amount": ["quantity"], "part": ["size", "retail", "kind", "brand"], "segment": ["segment"]}, repeats=2)
 
 
 @query("ml08_one_model_or_many", "ML-08")
 def one_model_or_many(spark, folder):
-    return pm.one_or_many(lines(spark, folder), TABLE, RIDGE, "flag", ["A", "N", "R"], k=2)
+    return pm.one_or_many(lines(spark, folder), TABLE, ridge(), "flag", ["A", "N", "R"], k=2)
 
 
 @query("ml09_filled_prices", "ML-09")
 def filled_prices(spark, folder):
     rows = lines(spark, folder)
-    fitted = pm.fit(rows, TABLE, RIDGE)
+    fitted = pm.fit(rows, TABLE, ridge())
     error = pm.mae(fitted.predict(rows.filter("price is not null")), "price").first()["mae"]
     out = pm.fill_missing(rows, fitted, error)
     return out.groupBy("estimated").agg(F.count("*").alias("rows"), F.count("final").alias("priced"), F.max("model_mae").alias("model_mae"))

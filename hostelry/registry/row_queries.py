@@ -341,12 +341,14 @@ def latest_visit(spark, folder):
     return dedup.latest_visit(rows, ["name", "kind", "brand"], "seen", "identified", "id").select("id", "name", c("seen").cast("string").alias("seen"))
 
 
-CHAIN = [
-    dedup.Step(["host_id", "license", "room_type"], c("license").isNotNull(), "host, licence, type"),
-    dedup.Step(["name", "host_id", "license"], c("license").isNotNull(), "name, host, licence"),
-    dedup.Step(["host_id", "license"], c("license").isNotNull(), "host, licence"),
-    dedup.Step(["name", "host_id"], c("license").isNull(), "name, host without licence"),
-]
+def chain() -> list[dedup.Step]:
+    has, lacks = c("license").isNotNull(), c("license").isNull()
+    return [
+        dedup.Step(["host_id", "license", "room_type"], has, "host, licence, type"),
+        dedup.Step(["name", "host_id", "license"], has, "name, host, licence"),
+        dedup.Step(["host_id", "license"], has, "host, licence"),
+        dedup.Step(["name", "host_id"], lacks, "name, host without licence"),
+    ]
 
 
 def _chain_sql() -> str:
@@ -361,7 +363,7 @@ def _chain_sql() -> str:
 
 @query("wd04_dedup_chain", "WD-04", f"WITH {_chain_sql()} SELECT id, host_id, name, license FROM c3", ("declared",))
 def dedup_chain(spark, folder):
-    return dedup.dedup_chain(standin(spark, folder, "declared"), CHAIN, "id", [c("id")]).select("id", "host_id", "name", "license")
+    return dedup.dedup_chain(standin(spark, folder, "declared"), chain(), "id", [c("id")]).select("id", "host_id", "name", "license")
 
 
 @query("wd04_chain_report", "WD-04", f"""
@@ -369,7 +371,7 @@ WITH {_chain_sql()}, n AS (SELECT [(SELECT count(*) FROM declared), (SELECT coun
 SELECT i::INT AS step_no, ['host, licence, type','name, host, licence','host, licence','name, host without licence'][i] AS step, s[i] - s[i+1] AS removed, s[5] AS kept_at_end
 FROM n, (SELECT unnest([1,2,3,4]) AS i)""", ("declared",))
 def chain_report(spark, folder):
-    return dedup.chain_report(standin(spark, folder, "declared"), CHAIN, "id", c("id"))
+    return dedup.chain_report(standin(spark, folder, "declared"), chain(), "id", c("id"))
 
 
 @query("wd05_probable_duplicates", "WD-05", """
