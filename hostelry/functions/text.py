@@ -92,8 +92,10 @@ def let(value: Column, body) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
+    """Text of single-byte characters has nothing to strip and is passed through."""
     marked, plain = _accent_pairs()
-    return F.translate(F.regexp_replace(text, r"\p{Mn}", ""), marked, plain)
+    stripped = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), marked, plain)
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(stripped)
 
 
 def fold_upper(text: Column) -> Column:

@@ -13,14 +13,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostelry.session import durable
+
 
 RANGES = 256
 #: A group is cut into ranges when it holds more than one part in LARGE_PARTS of all distinct
 #: values, so fewer than LARGE_PARTS groups are, and their splits are a bounded broadcast.
-LARGE_PARTS = 2_000
+LARGE_PARTS = 20_000
 #: Below this many distinct values a group is ordered as it is.
 LARGE_FLOOR_SETTING = "spark.hostelry.largeGroup"
-LARGE_FLOOR = 100_000
+LARGE_FLOOR = 2_000_000
 
 
 def _large_groups(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,8 +59,37 @@ def exact_quantiles(
         .groupBy(*keys, "__v")
         .agg(F.sum("__w").alias("__w"))
     )
+    hist = durable(hist)  # the source is read once; what follows reads distinct values only
     sizes = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__values"))
-    hot = F.broadcast(_large_groups(sizes, keys))
+    marks = {name: _targets(q, rule) for name, q in probs.items()}
+    large = _large_groups(sizes, keys)
+    if large.isEmpty():
+        along, whole = Window.partitionBy(*keys).orderBy("__v"), Window.partitionBy(*keys)
+        rows = hist.select(
+            *keys, "__v", "__w", F.sum("__w").over(along).alias("__end"), F.sum("__w").over(whole).alias("__total"))
+    else:
+        rows = _in_ranges(hist, large, keys, marks, rule)
+    begin, finish = F.col("__end") - F.col("__w"), F.col("__end")
+    parts = []
+    for name, (low, high) in marks.items():
+        pick = F.max if rule == "linear" else F.min
+        parts.append(pick(F.when(_holds(low, begin, finish, rule), F.col("__v"))).alias(f"__lo_{name}"))
+        parts.append(pick(F.when(_holds(high, begin, finish, rule), F.col("__v"))).alias(f"__hi_{name}"))
+    found = rows.groupBy(*keys).agg(F.max("__total").alias("__total"), *parts)
+    out = [F.col(k).alias(c) for k, c in zip(keys, by)]
+    for name, q in probs.items():
+        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        if rule == "linear":
+            place = F.lit(q) * (F.col("__total") - 1)
+            out.append((low + (high - low) * (place - F.floor(place))).alias(name))
+        else:
+            out.append(low.alias(name))
+    return found.select(*out)
+
+
+def _in_ranges(hist: DataFrame, large: DataFrame, keys: Sequence[str], marks: dict, rule: str) -> DataFrame:
+    """Histogram rows of the ranges that hold an answer, with the cumulative weight at their end."""
+    hot = F.broadcast(large)
     cuts = (
         hist.join(hot, _on(hist, hot, keys), "left_semi")
         .groupBy(*keys)
@@ -89,7 +120,6 @@ def exact_quantiles(
         F.col("__rw"),
         F.sum("__rw").over(whole).alias("__total"),
     )
-    marks = {name: _targets(q, rule) for name, q in probs.items()}
     start, end = F.col("__before"), F.col("__before") + F.col("__rw")
     wanted = reduce(
         lambda a, b: a | b,
@@ -101,25 +131,9 @@ def exact_quantiles(
         [ranged[k].eqNullSafe(sums[f"s{k}"]) for k in keys] + [ranged["__range"] == sums["s__range"]],
     )
     inside = Window.partitionBy(*keys, "__range").orderBy("__v")
-    rows = ranged.join(sums, on_sums).withColumn(
+    return ranged.join(sums, on_sums).withColumn(
         "__end", F.col("__before") + F.sum("__w").over(inside)
     )
-    begin, finish = F.col("__end") - F.col("__w"), F.col("__end")
-    parts = []
-    for name, (low, high) in marks.items():
-        pick = F.max if rule == "linear" else F.min
-        parts.append(pick(F.when(_holds(low, begin, finish, rule), F.col("__v"))).alias(f"__lo_{name}"))
-        parts.append(pick(F.when(_holds(high, begin, finish, rule), F.col("__v"))).alias(f"__hi_{name}"))
-    found = rows.groupBy(*keys).agg(F.max("__total").alias("__total"), *parts)
-    out = [F.col(k).alias(c) for k, c in zip(keys, by)]
-    for name, q in probs.items():
-        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        if rule == "linear":
-            place = F.lit(q) * (F.col("__total") - 1)
-            out.append((low + (high - low) * (place - F.floor(place))).alias(name))
-        else:
-            out.append(low.alias(name))
-    return found.select(*out)
 
 
 def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

@@ -102,12 +102,13 @@ def repeated_keys(spark, folder):
     return linkage.repeated_keys(read(spark, folder, "orders").select(c("o_custkey").alias("k")), "k")
 
 
-# registry of 2/3 of the customers; the open source knows 4/5, half of them by code
+# two sources that overlap in part: the registry lacks one nation group, the open source another,
+# and half of what it knows it knows by code
 LINK_SQL = """
 reg AS (SELECT c_custkey AS k, concat('HUTB-', lpad(cast(c_custkey as varchar(20)), 6, '0')) AS code, concat('Hotel ', c_name) AS name, 'Town' AS town, 'C' AS road_type,
-  concat('Major ', cast(c_custkey % 700 as varchar(20))) AS road_name, cast(c_custkey % 23 as varchar(20)) AS number, '1' AS floor, case when c_custkey % 4 = 0 then 'A' else 'B' end AS door FROM customer WHERE c_custkey % 3 <> 0),
+  concat('Major ', cast(c_custkey % 700 as varchar(20))) AS road_name, cast(c_custkey % 23 as varchar(20)) AS number, '1' AS floor, case when c_custkey % 4 = 0 then 'A' else 'B' end AS door FROM customer WHERE c_nationkey < 17),
 src AS (SELECT c_custkey AS id, case when c_custkey % 2 = 0 then concat('HUTB-', lpad(cast(c_custkey as varchar(20)), 6, '0')) end AS code, case when c_custkey % 7 = 0 then 'Other place' else c_name end AS name, 'TOWN' AS town, '' AS road_type,
-  concat('Carrer Major ', cast(c_custkey % 700 as varchar(20))) AS road_name, cast(c_custkey % 23 as varchar(20)) AS number, '01' AS floor, case when c_custkey % 4 = 0 then 'A' else 'B' end AS door, c_acctbal AS lat, 2 + c_custkey % 6 AS places FROM customer WHERE c_custkey % 5 <> 0)"""
+  concat('Carrer Major ', cast(c_custkey % 700 as varchar(20))) AS road_name, cast(c_custkey % 23 as varchar(20)) AS number, '01' AS floor, case when c_custkey % 4 = 0 then 'A' else 'B' end AS door, c_acctbal AS lat, 2 + c_custkey % 6 AS places FROM customer WHERE c_nationkey >= 5)"""
 LINK_BODY = """
 ex AS (SELECT reg.*, src.id AS sid, src.lat, src.places FROM reg LEFT JOIN src ON src.code = reg.code),
 loose AS (SELECT *, concat_ws('|', road_name, number, ltrim(floor, '0'), door) AS ak FROM src WHERE code IS NULL OR code NOT IN (SELECT code FROM reg)),
@@ -117,11 +118,11 @@ prs AS (SELECT p.code, l.id, l.lat, l.places, l.name FROM pend p JOIN loose l US
 
 def link_inputs(spark, folder):
     people = read(spark, folder, "customer")
-    registry = people.filter("c_custkey % 3 <> 0").selectExpr(
+    registry = people.filter("c_nationkey < 17").selectExpr(
         "concat('HUTB-', lpad(cast(c_custkey as string), 6, '0')) AS code", "concat('Hotel ', c_name) AS name", "'Town' AS town", "'C' AS road_type",
         "concat('Major ', cast(c_custkey % 700 as string)) AS road_name", "cast(c_custkey % 23 as string) AS number", "'1' AS floor",
         "case when c_custkey % 4 = 0 then 'A' else 'B' end AS door")
-    source = people.filter("c_custkey % 5 <> 0").selectExpr(
+    source = people.filter("c_nationkey >= 5").selectExpr(
         "c_custkey AS id", "case when c_custkey % 2 = 0 then concat('HUTB-', lpad(cast(c_custkey as string), 6, '0')) end AS code",
         "case when c_custkey % 7 = 0 then 'Other place' else c_name end AS name", "'TOWN' AS town", "'' AS road_type",
         "concat('Carrer Major ', cast(c_custkey % 700 as string)) AS road_name", "cast(c_custkey % 23 as string) AS number", "'01' AS floor",
@@ -141,23 +142,27 @@ def two_pass_linkage(spark, folder):
     return linkage.link(*link_inputs(spark, folder), PROFILE).select("code", "name", "lat", "places", "match_method")
 
 
-@query("jn09_unambiguous_keys", "JN-09", """
-WITH a AS (SELECT p_name AS k, min(p_partkey) AS a FROM part WHERE p_partkey % 40 = 0 GROUP BY 1 HAVING count(*) = 1), b AS (SELECT p_name AS k, min(p_partkey) AS b FROM part WHERE p_partkey % 37 = 0 GROUP BY 1 HAVING count(*) = 1)
+KEY_A = "concat(p_name, '|', p_brand, '|', cast(p_size as varchar(20)))"
+KEY_B = "concat(p_name, '|', p_brand, '|', cast(p_size + p_partkey % 2 as varchar(20)))"
+
+
+def two_keyed_sides(spark, folder):
+    part = read(spark, folder, "part")
+    return part.selectExpr(f"{KEY_A} AS k", "p_partkey AS a"), part.selectExpr(f"{KEY_B} AS k", "p_partkey AS b")
+
+
+@query("jn09_unambiguous_keys", "JN-09", f"""
+WITH a AS (SELECT {KEY_A} AS k, min(p_partkey) AS a FROM part GROUP BY 1 HAVING count(*) = 1), b AS (SELECT {KEY_B} AS k, min(p_partkey) AS b FROM part GROUP BY 1 HAVING count(*) = 1)
 SELECT k, a, b FROM a JOIN b USING (k)""")
 def unambiguous_keys(spark, folder):
-    part = read(spark, folder, "part")
-    left = part.filter("p_partkey % 40 = 0").select(c("p_name").alias("k"), c("p_partkey").alias("a"))
-    right = part.filter("p_partkey % 37 = 0").select(c("p_name").alias("k"), c("p_partkey").alias("b"))
-    return linkage.one_to_one(left, right, "k", ["a"], ["b"])
+    return linkage.one_to_one(*two_keyed_sides(spark, folder), "k", ["a"], ["b"])
 
 
-@query("jn09_ambiguous_keys", "JN-09", """
-WITH a AS (SELECT p_name AS k, count(*) AS n FROM part WHERE p_partkey % 40 = 0 GROUP BY 1), b AS (SELECT p_name AS k, count(*) AS n FROM part WHERE p_partkey % 37 = 0 GROUP BY 1)
+@query("jn09_ambiguous_keys", "JN-09", f"""
+WITH a AS (SELECT {KEY_A} AS k, count(*) AS n FROM part GROUP BY 1), b AS (SELECT {KEY_B} AS k, count(*) AS n FROM part GROUP BY 1)
 SELECT k, a.n AS left_rows, b.n AS right_rows FROM a JOIN b USING (k) WHERE a.n > 1 OR b.n > 1""")
 def ambiguous_keys(spark, folder):
-    part = read(spark, folder, "part")
-    return linkage.ambiguous_keys(part.filter("p_partkey % 40 = 0").select(c("p_name").alias("k")),
-                                  part.filter("p_partkey % 37 = 0").select(c("p_name").alias("k")), "k")
+    return linkage.ambiguous_keys(*two_keyed_sides(spark, folder), "k")
 
 
 @query("jn10_weak_match_audit", "JN-10", f"""
@@ -532,7 +537,7 @@ def missing_bucket(spark, folder):
 # ---------------------------------------------------------------- series
 
 SNAP_SQL = """
-snap AS (SELECT DISTINCT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, user_id FROM events WHERE user_id % 7 <> 0 OR event_type = 'click'),
+snap AS (SELECT DISTINCT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, user_id FROM events WHERE event_type = 'error'),
 p AS (SELECT period, row_number() over (order by period) AS i FROM (SELECT DISTINCT period FROM snap)), s AS (SELECT i, user_id FROM snap JOIN p USING (period)),
 flow AS (SELECT p.period, p.i, (SELECT count(*) FROM s WHERE s.i = p.i) AS stock,
  case when p.i > 1 then (SELECT count(*) FROM s WHERE s.i = p.i AND user_id NOT IN (SELECT user_id FROM s z WHERE z.i = p.i - 1)) end AS inflow,
@@ -540,7 +545,7 @@ flow AS (SELECT p.period, p.i, (SELECT count(*) FROM s WHERE s.i = p.i) AS stock
 
 
 def snapshots(spark, folder):
-    return read(spark, folder, "events").filter("user_id % 7 <> 0 or event_type = 'click'").select(
+    return read(spark, folder, "events").filter("event_type = 'error'").select(
         F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("period"), "user_id")
 
 
@@ -583,10 +588,10 @@ def moved_rows(spark, folder):
 
 
 @query("inc03_surrogate_keys", "INC-03", """
-WITH k AS (SELECT s_name AS holder, s_suppkey + 1 AS n FROM supplier WHERE s_suppkey % 2 = 0), f AS (SELECT s_name AS holder FROM supplier WHERE s_suppkey % 2 = 1 UNION SELECT c_name FROM customer)
+WITH k AS (SELECT s_name AS holder, s_suppkey + 1 AS n FROM supplier WHERE s_nationkey < 12), f AS (SELECT s_name AS holder FROM supplier WHERE s_nationkey >= 12 UNION SELECT c_name FROM customer)
 SELECT holder, n FROM k UNION ALL SELECT holder, (SELECT max(n) FROM k) + row_number() over (order by holder) FROM f""")
 def surrogate_keys(spark, folder):
     firms = read(spark, folder, "supplier")
-    known = firms.filter("s_suppkey % 2 = 0").select(c("s_name").alias("holder"), (c("s_suppkey") + 1).alias("n"))
+    known = firms.filter("s_nationkey < 12").select(c("s_name").alias("holder"), (c("s_suppkey") + 1).alias("n"))
     rows = firms.select(c("s_name").alias("holder")).unionByName(read(spark, folder, "customer").select(c("c_name").alias("holder")))
     return incremental.surrogate_keys(known, rows, "holder", "n")

@@ -146,10 +146,10 @@ FROM a LEFT JOIN s1 USING (id) LEFT JOIN s2 USING (id)""", ("agents",))
 def coordinates_by_source(spark, folder):
     base = standin(spark, folder, "agents").select("id", "lat", "lon")
     own = base.select("id", *[F.when(c("id") % 3 == 0, c(x)).alias(x) for x in ("lat", "lon")])
-    first = base.filter("id % 3 = 1 and id % 4 < 2").select(
-        "id", F.explode(F.array(F.lit(1.0), F.lit(2.0))).alias("k"), "lat", "lon"
-    ).select("id", (c("lat") + c("k")).alias("lat"), (c("lon") + c("k")).alias("lon"))
-    second = base.filter("id % 5 < 3").select("id", (c("lat") + 5).alias("lat"), (c("lon") + 5).alias("lon"))
+    has_first, has_second = F.expr("id % 3 = 1 and id % 4 < 2"), F.expr("id % 5 < 3")
+    first = base.select("id", F.explode(F.array(F.lit(1.0), F.lit(2.0))).alias("k"), "lat", "lon").select(
+        "id", *[F.when(has_first, c(x) + c("k")).alias(x) for x in ("lat", "lon")])
+    second = base.select("id", *[F.when(has_second, c(x) + 5).alias(x) for x in ("lat", "lon")])
     out = projection.complete_by_source(own, "id", ["lat", "lon"], "registry",
                                         [("geocoded", first), ("older", second)], "origin", "lat")
     return out.select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "origin")

@@ -45,7 +45,7 @@ def test_null_keys_match_null_keys(spark, skewed):
     assert out.filter("label = 'none'").count() == skewed.filter("k is null").count()
 
 
-@pytest.mark.parametrize("large", ["100000", "10"])
+@pytest.mark.parametrize("large", ["2000000", "10"])
 def test_quantiles_match_numpy(skewed, settings, large):
     settings(spark__hostelry__largeGroup=large)
     got = {r["k"]: r for r in exact_quantiles(skewed, ["k"], "v", {"a": 0.0, "b": 0.37, "c": 1.0}).collect()}
@@ -56,7 +56,7 @@ def test_quantiles_match_numpy(skewed, settings, large):
     assert got[None]["c"] == rows[rows.k.isna()].v.max()
 
 
-@pytest.mark.parametrize("large", ["100000", "10"])
+@pytest.mark.parametrize("large", ["2000000", "10"])
 def test_weighted_quantile_matches_search(skewed, settings, large):
     settings(spark__hostelry__largeGroup=large)
     weighted = skewed.withColumn("w", (F.col("id") % 5 + 1).cast("double"))
