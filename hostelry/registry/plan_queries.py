@@ -125,13 +125,14 @@ def food_totals(spark, folder):
 
 
 @query("kpi04_biggest_gains", "KPI-04 WD-07", f"""
-WITH {FOOD_SQL} (SELECT 'most' AS side, area, round(sum(later - now), 3) AS gain FROM fd GROUP BY area ORDER BY sum(later) - sum(now) DESC, area LIMIT 5) UNION ALL
-(SELECT 'least', area, round(sum(later - now), 3) FROM fd GROUP BY area ORDER BY sum(later) - sum(now), area LIMIT 5)""", ("agents", "sites", "food"))
+WITH {FOOD_SQL}, ba AS (SELECT area, round(round(sum(later), 6) - round(sum(now), 6), 6) AS gain FROM fd GROUP BY area)
+(SELECT 'most' AS side, area, gain FROM ba ORDER BY gain DESC, area LIMIT 5) UNION ALL (SELECT 'least', area, gain FROM ba ORDER BY gain, area LIMIT 5)""", ("agents", "sites", "food"))
 def biggest_gains(spark, folder):
-    by_area = food_with_demand(spark, folder).groupBy("area").agg(F.sum("now").alias("now"), F.sum("later").alias("later"))
-    most = areas.biggest_gains(by_area, "area").select(F.lit("most").alias("side"), "area", F.round("gain", 3).alias("gain"))
-    least = areas.biggest_gains(by_area, "area", losing=True).select(F.lit("least").alias("side"), "area", F.round("gain", 3).alias("gain"))
-    return most.unionByName(least)
+    # sums are rounded before they are ranked, so that equal areas tie in both engines
+    by_area = food_with_demand(spark, folder).groupBy("area").agg(
+        F.lit(0.0).alias("now"), F.round(F.round(F.sum("later"), 6) - F.round(F.sum("now"), 6), 6).alias("later"))
+    most = areas.biggest_gains(by_area, "area").select(F.lit("most").alias("side"), "area", "gain")
+    return most.unionByName(areas.biggest_gains(by_area, "area", losing=True).select(F.lit("least").alias("side"), "area", "gain"))
 
 
 @query("kpi06_against_official", "KPI-06 MA-05", """
