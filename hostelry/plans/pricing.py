@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hostelry.functions.numeric import BANDS, PLACE_CUTS, ROOM_CUTS, price_band, ratio
 from hostelry.functions.text import fold_lower, lookup
-from hostelry.operators.distribution import attach
 from hostelry.operators.quantiles import exact_quantiles
 
 # Stars by registry category, and official category by stars.
@@ -46,8 +45,8 @@ def price_lodgings(lodgings: DataFrame, averages: DataFrame) -> DataFrame:
     per_room = exact_quantiles(
         rows.withColumn("__r", ratio(F.col("places").cast("double"), F.col("rooms"))).filter(F.col("official").isNotNull()),
         ["official"], "__r", {"places_per_room": 0.5})
-    table = averages.join(per_room, "official", "full_outer")
-    out = attach(rows, table, ["official"])
+    table = averages.join(per_room, "official", "full_outer").filter(F.col("official").isin(*OFFICIAL))
+    out = rows.join(F.broadcast(table), "official", "left")  # as many rows as the fixed list has names
     return out.withColumns({
         "room_band": price_band(F.col("adr"), ROOM_CUTS),
         "place_price": F.round(ratio(F.col("adr"), F.col("places_per_room")), 2),
