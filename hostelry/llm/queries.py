@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostelry.llm import bpe
+from hostelry.llm import bpe, secrets, spans
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -19,5 +19,9 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, folder, "documents"), path, pattern))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe}
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.digests(secrets.scan(table(spark, folder, "documents")), secrets.KINDS)
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
