@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostelry.llm import bpe, secrets, spans
+from hostelry.llm import bpe, pii, secrets, spans
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.digests(pii.scan(table(spark, folder, "documents")), pii.KINDS)
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     return bpe.digests(bpe.round_trip(table(spark, folder, "documents"), path, pattern))
@@ -23,5 +27,5 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return spans.digests(secrets.scan(table(spark, folder, "documents")), secrets.KINDS)
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op10_secrets": op10_secrets}
+QUERIES = {"op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
