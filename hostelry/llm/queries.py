@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostelry.llm import bpe, chat, pii, secrets, spans
+from hostelry.llm import bpe, chat, pii, quality, secrets, spans
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -48,10 +48,16 @@ select conv_id, count(*) as n_turns,
 from placed group by conv_id"""
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return spans.digests(secrets.scan(table(spark, folder, "documents")), secrets.KINDS)
 
 
 QUERIES = {
-    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op4_chat": op4_chat, "op10_secrets": op10_secrets}
+    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op4_chat": op4_chat, "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets}
 SQL = {"op4_chat": OP4}
