@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hostelry.llm import bpe, chat, pii, quality, secrets, spans
+from hostelry.llm import bpe, chat, pii, quality, secrets, spans, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -48,6 +49,12 @@ select conv_id, count(*) as n_turns,
 from placed group by conv_id"""
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", (toxicity.remainder("doc_id") % 3 == 1).alias("held_out"), "score", F.col("predicted"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, folder, "labels")))
@@ -58,6 +65,6 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op4_chat": op4_chat, "op9_quality": op9_quality,
+    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op4_chat": op4_chat, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
     "op10_secrets": op10_secrets}
 SQL = {"op4_chat": OP4}

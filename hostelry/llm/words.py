@@ -7,6 +7,7 @@ Hashes are 64-bit and depend on the bytes of the word only, so they agree betwee
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -49,23 +50,29 @@ class Words:
     doc: np.ndarray  # text it is in
     first: np.ndarray  # per text, its first word; one entry more at the end
 
-    def hashes(self) -> np.ndarray:
+    @cached_property
+    def _sums(self) -> np.ndarray:
         buf = np.frombuffer(self.raw, np.uint8)
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_BYTES[buf] * _power("up", len(buf)), out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _power("down", len(buf) + 1)[self.start])
+        return sums
+
+    def hashes(self, prefix: int | None = None) -> np.ndarray:
+        """Hash of every word, or of its first ``prefix`` bytes (of all of it, if it is shorter)."""
+        end = self.end if prefix is None else np.minimum(self.end, self.start + prefix)
+        return mix((self._sums[end] - self._sums[self.start]) * _power("down", len(self.raw) + 1)[self.start])
 
     def word(self, i: int) -> bytes:
         return self.raw[self.start[i]:self.end[i]]
 
 
-def words_of(texts: list[str], lower: bool = False) -> Words:
-    """``lower`` turns A-Z to a-z, nothing else."""
+def words_of(texts: list[str], lower: bool = False, blank: np.ndarray = BLANK) -> Words:
+    """``lower`` turns A-Z to a-z, nothing else. ``blank`` says which bytes are in no word; the line end must be one."""
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
     raw = b"\n".join(parts) + b"\n"
     if lower:
         raw = raw.translate(LOWER.tobytes())
-    blank = BLANK[np.frombuffer(raw, np.uint8)]
+    blank = blank[np.frombuffer(raw, np.uint8)]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
         edge = np.concatenate([[0], edge])
