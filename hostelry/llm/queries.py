@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostelry.llm import bpe, chat, pii, quality, secrets, spans, toxicity
+from hostelry.llm import bpe, chat, pii, quality, secrets, spans, toxicity, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -49,6 +49,55 @@ select conv_id, count(*) as n_turns,
 from placed group by conv_id"""
 
 
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables label documents, not pages; the label of the document with the page's id stands for the page's outcome."""
+    labels = table(spark, folder, "labels")
+    bad = F.greatest((F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int"))
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return urls.judge(table(spark, folder, "pages"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level(name: str, source: str, keys: str, prior: str) -> str:
+    return f"""
+{name}_n as (select {keys}, sum(n) as n, sum(k) as k, any_value({prior}) as prior from {source} group by {keys}),
+{name}_rho as (select case when c > 0 then greatest(0.001, least(0.5, (a - b) / c)) else 0.1 end as rho from (
+  select sum(n * pow(k / n - prior, 2)) as a, sum(prior * (1 - prior)) as b, sum((n - 1) * prior * (1 - prior)) as c
+  from {name}_n where n > 0)),
+{name} as (select *, (1 - rho) / rho as s, (k + (1 - rho) / rho * prior) / (n + (1 - rho) / rho) as {name}_mean
+  from {name}_n, {name}_rho)"""
+
+
+OP6 = rf"""
+with split as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+parts as (
+  select page_id, translate(regexp_extract(rest, '\A([^/?#]*)', 1), '{urls._UPPER}', '{urls._LOWER}') as host,
+    regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1) as path from split),
+bad as (select doc_id, max(case when quality is null and toxic is null then null when quality = 0 or toxic = 1 then 1 else 0 end) as bad
+  from labels where doc_id is not null group by doc_id),
+hosts as (
+  select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as k, regexp_extract(host, '([^.]*\.)?[^.]*$', 0) as domain,
+    regexp_extract(host, '[^.]*$', 0) as suffix from parts left join bad on bad.doc_id = page_id group by host),
+start as (select *, (sum(k) over () + 0.5) / (sum(n) over () + 1) as whole from hosts),
+{_level("suffixes", "start", "suffix", "whole")},
+{_level("domains", "(select * from start join (select suffix, suffixes_mean from suffixes) using (suffix))", "domain, suffix", "suffixes_mean")},
+{_level("single", "(select * from start join (select domain, domains_mean from domains) using (domain))", "host", "domains_mean")},
+known as (select host, single_mean - 1.645 * sqrt(single_mean * (1 - single_mean) / (n + s + 1)) as bound from single),
+ruled as (
+  select *, case
+    when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+    when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+    when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
+    when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule
+  from parts)
+select page_id, ruled.host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow'
+  when rule is not null then 'block' when bound > 0.5 then 'block' else 'allow' end as verdict
+from ruled join known on known.host = ruled.host"""
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -65,6 +114,6 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op4_chat": op4_chat, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
+    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op4_chat": op4_chat, "op6_urls": op6_urls, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
     "op10_secrets": op10_secrets}
-SQL = {"op4_chat": OP4}
+SQL = {"op4_chat": OP4, "op6_urls": OP6}
