@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostelry.llm import bpe, chat, pii, quality, secrets, spans, toxicity, urls
+from hostelry.llm import bpe, chat, pii, quality, secrets, spans, substrings, toxicity, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,6 +24,11 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, folder, "documents"), path, pattern))
 
 
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     planted = spark.sql("""
         SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text
@@ -114,6 +119,6 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op4_chat": op4_chat, "op6_urls": op6_urls, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
+    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op3_substrings": op3_substrings, "op4_chat": op4_chat, "op6_urls": op6_urls, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
     "op10_secrets": op10_secrets}
 SQL = {"op4_chat": OP4, "op6_urls": OP6}
