@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostelry.llm import bpe, chat, pii, quality, secrets, spans, substrings, toxicity, urls
+from hostelry.llm import bpe, chat, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -103,6 +103,10 @@ select page_id, ruled.host, path, rule, case when rule in ('example.net/en/', 'o
 from ruled join known on known.host = ruled.host"""
 
 
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, folder, "documents"), n=3, similarity=0.85)
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -119,6 +123,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op3_substrings": op3_substrings, "op4_chat": op4_chat, "op6_urls": op6_urls, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
+    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op3_substrings": op3_substrings, "op4_chat": op4_chat, "op6_urls": op6_urls, "op7_near_duplicates": op7_near_duplicates,
+    "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
     "op10_secrets": op10_secrets}
 SQL = {"op4_chat": OP4, "op6_urls": OP6}
