@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostelry.llm import bpe, chat, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, urls
+from hostelry.llm import bpe, chat, decontamination, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -54,6 +55,10 @@ select conv_id, count(*) as n_turns,
 from placed group by conv_id"""
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -122,8 +127,21 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return spans.digests(secrets.scan(table(spark, folder, "documents")), secrets.KINDS)
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
-    "op1_pii": op1_pii, "op2_byte_bpe": op2_byte_bpe, "op3_substrings": op3_substrings, "op4_chat": op4_chat, "op6_urls": op6_urls, "op7_near_duplicates": op7_near_duplicates,
-    "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
-    "op10_secrets": op10_secrets}
+    "op1_pii": op1_pii,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_substrings": op3_substrings,
+    "op4_chat": op4_chat,
+    "op5_decontamination": op5_decontamination,
+    "op6_urls": op6_urls,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
+    "pipeline": pipeline,
+}
 SQL = {"op4_chat": OP4, "op6_urls": OP6}
