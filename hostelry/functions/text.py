@@ -73,16 +73,21 @@ DISTRICT_NAMES = {
 }
 
 
-@lru_cache(maxsize=1)
-def _accent_pairs() -> tuple[str, str]:
-    """Accented Latin letters and their base letter, from the Unicode decomposition rule."""
-    marked, plain = [], []
-    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        parts = unicodedata.normalize("NFD", chr(point))
-        if len(parts) > 1 and all(unicodedata.category(p) == "Mn" for p in parts[1:]):
-            marked.append(chr(point))
-            plain.append(parts[0])
-    return "".join(marked), "".join(plain)
+@lru_cache(maxsize=2)
+def _accent_pairs(form: str) -> tuple[str, str, dict[str, str]]:
+    """From the Unicode decomposition rule, over all scripts: characters with one base character, those base
+    characters, and what stands for characters with several. Korean syllables stay whole."""
+    marked, plain, several = [], [], {}
+    for point in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)):
+        parts = unicodedata.normalize(form, chr(point))
+        base = "".join(p for p in parts if unicodedata.category(p) != "Mn")
+        if base and base != chr(point):
+            if len(base) == 1 and point < 0x10000:
+                marked.append(chr(point))
+                plain.append(base)
+            else:
+                several[chr(point)] = base
+    return "".join(marked), "".join(plain), several
 
 
 def let(value: Column, body) -> Column:
@@ -91,11 +96,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def strip_accents(text: Column) -> Column:
-    """Text of single-byte characters has nothing to strip and is passed through."""
-    marked, plain = _accent_pairs()
-    stripped = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), marked, plain)
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(stripped)
+def strip_accents(text: Column, form: str = "NFD") -> Column:
+    """Text without marks over or under its letters, in any script; ``form="NFKD"`` also opens ligatures and the like.
+
+    Text of single-byte characters has nothing to strip and is passed through.
+    """
+    marked, plain, several = _accent_pairs(form)
+    single = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), marked, plain)
+    letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(lookup(several), c), c))
+    opened = F.when(single.rlike("[" + "".join(several) + "]"), F.array_join(letters, "")).otherwise(single)
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(opened)
+
+
+def strip_blanks(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def fold_upper(text: Column) -> Column:
@@ -106,7 +121,7 @@ def fold_upper(text: Column) -> Column:
 
 def fold_lower(text: Column) -> Column:
     """Lower case, no accents, trimmed; missing becomes the empty string."""
-    return F.trim(F.lower(strip_accents(F.coalesce(text, F.lit("")))))
+    return strip_blanks(F.lower(strip_accents(F.coalesce(text, F.lit("")), "NFKD")))
 
 
 def name_key(text: Column) -> Column:
@@ -228,7 +243,10 @@ def without_sentinel(text: Column, sentinel: str = "SN") -> Column:
 
 
 def display_name(text: Column, names: Mapping[str, str] = DISTRICT_NAMES) -> Column:
-    return F.coalesce(F.try_element_at(lookup(names), text), F.initcap(text))
+    """The name as given, or with a capital after everything that is no letter."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    capital = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2)))))
+    return F.coalesce(F.try_element_at(lookup(names), text), F.array_join(capital, ""))
 
 
 def address_line(road_type: Column, road_name: Column, number: Column, town: Column) -> Column:

@@ -15,7 +15,7 @@ def rings(features: DataFrame, key: str, coordinates: str) -> DataFrame:
     """Every ring of a multipolygon (parts → rings → points), with no outer or hole meaning."""
     parts = features.select(key, F.posexplode(coordinates).alias("part", "__rings"))
     return parts.select(key, "part", F.posexplode("__rings").alias("ring", "points")).select(
-        key, (F.col("part") * 100_000 + F.col("ring")).cast("long").alias("ring"), "points")
+        key, (F.shiftleft(F.col("part").cast("long"), 32) + F.col("ring")).alias("ring"), "points")
 
 
 def edges(ring_rows: DataFrame, key: str) -> DataFrame:

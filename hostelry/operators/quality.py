@@ -26,12 +26,10 @@ def none(name: str, rows: DataFrame) -> DataFrame:
 
 
 def same_rows(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Equal as bags of rows, by one count per distinct row on both sides."""
-    def side(rows, sign):
-        return rows.select(F.xxhash64(*rows.columns).alias("h1"), F.hash(*rows.columns).alias("h2"), F.lit(sign).alias("s"))
-
-    gaps = side(a, 1).unionByName(side(b.select(*a.columns), -1)).groupBy("h1", "h2").agg(F.sum("s").alias("s"))
-    return none(name, gaps.filter("s <> 0"))
+    """Equal as bags of rows: each distinct row (nulls match nulls) as often on one side as on the other."""
+    both = a.withColumn("__side", F.lit(1)).unionByName(b.select(*a.columns).withColumn("__side", F.lit(-1)))
+    gaps = both.groupBy(*a.columns).agg(F.sum("__side").alias("__gap"))
+    return none(name, gaps.filter("__gap <> 0"))
 
 
 def equal(name: str, a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Equal values collapse first. A group that still has many distinct values is cut into value ranges
 by a sketch of its own splits; range totals say which range holds the answer, and only that range
-is ordered.
+is ordered. Weights add as whole billionths, so the answer is that of exact arithmetic on either way.
 """
 
 from __future__ import annotations
@@ -13,23 +13,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostelry.operators.distribution import attach, spread_join
 from hostelry.session import durable
 
 
 RANGES = 256
-#: A group is cut into ranges when it holds more than one part in LARGE_PARTS of all distinct
-#: values, so fewer than LARGE_PARTS groups are, and their splits are a bounded broadcast.
-LARGE_PARTS = 20_000
-#: Below this many distinct values a group is ordered as it is.
+#: Distinct values of a group that are put in order together, about; a larger group is cut into ranges first.
+#: Both ways compare the same exact sums, so the setting only chooses the plan, never the answer.
 LARGE_FLOOR_SETTING = "spark.hostelry.largeGroup"
 LARGE_FLOOR = 2_000_000
+#: Weights and shares count in units of 1e-9, as whole numbers, so their sums do not depend on an order.
+UNIT = 1_000_000_000
 
 
 def _large_groups(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    total = sizes.select(F.sum("__values")).scalar()
     floor = int(sizes.sparkSession.conf.get(LARGE_FLOOR_SETTING, str(LARGE_FLOOR)))
-    n = F.col("__values")
-    return sizes.filter((n >= floor) & (n * LARGE_PARTS > total)).select(*keys)
+    return sizes.filter(F.col("__values") >= floor).select(*keys)
 
 
 def exact_quantiles(
@@ -53,11 +52,11 @@ def exact_quantiles(
         df.select(
             *[c.alias(k) for c, k in zip(source, keys)],
             column.cast("double").alias("__v"),
-            (F.lit(1.0) if weight is None else weight.cast("double")).alias("__w"),
+            (F.lit(1) if weight is None else F.when(~F.isnan(weight.cast("double")), F.round(weight.cast("double") * UNIT))).cast("decimal(28,0)").alias("__w"),
         )
         .filter(F.col("__v").isNotNull() & ~F.isnan("__v") & F.col("__w").isNotNull())
         .groupBy(*keys, "__v")
-        .agg(F.sum("__w").alias("__w"))
+        .agg(F.sum("__w").cast("decimal(28,0)").alias("__w"))
     )
     hist = durable(hist)  # the source is read once; what follows reads distinct values only
     sizes = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__values"))
@@ -80,7 +79,7 @@ def exact_quantiles(
     for name, q in probs.items():
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         if rule == "linear":
-            place = F.lit(q) * (F.col("__total") - 1)
+            place = F.lit(q) * (F.col("__total").cast("double") - 1)
             out.append((low + (high - low) * (place - F.floor(place))).alias(name))
         else:
             out.append(low.alias(name))
@@ -89,49 +88,28 @@ def exact_quantiles(
 
 def _in_ranges(hist: DataFrame, large: DataFrame, keys: Sequence[str], marks: dict, rule: str) -> DataFrame:
     """Histogram rows of the ranges that hold an answer, with the cumulative weight at their end."""
-    hot = F.broadcast(large)
     cuts = (
-        hist.join(hot, _on(hist, hot, keys), "left_semi")
+        hist.join(large, _on(hist, large, keys), "left_semi")
         .groupBy(*keys)
-        .agg(
-            F.percentile_approx(
-                "__v", [i / RANGES for i in range(1, RANGES)], RANGES * 8
-            ).alias("__cuts")
-        )
-    )
-    cuts = F.broadcast(cuts.withColumnsRenamed({k: f"h{k}" for k in keys}))
-    on_cuts = reduce(lambda a, b: a & b, [hist[k].eqNullSafe(cuts[f"h{k}"]) for k in keys])
-    ranged = (
-        hist.join(cuts, on_cuts, "left")
-        .withColumn(
-            "__range",
-            F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__v"))), F.lit(0)),
-        )
-        .select(*keys, "__range", "__v", "__w")
+        .agg(F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], RANGES * 8).alias("__cuts"))
     )
+    ranged = attach(hist, cuts, keys).withColumn(
+        "__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__v"))), F.lit(0))
+    ).select(*keys, "__range", "__v", "__w")
     # one row per (group, range): at most RANGES rows per group from here on
     sums = ranged.groupBy(*keys, "__range").agg(F.sum("__w").alias("__rw"))
     along = Window.partitionBy(*keys).orderBy("__range")
     whole = Window.partitionBy(*keys)
     sums = sums.select(
-        *[F.col(k).alias(f"s{k}") for k in keys],
-        F.col("__range").alias("s__range"),
-        (F.sum("__rw").over(along) - F.col("__rw")).alias("__before"),
-        F.col("__rw"),
-        F.sum("__rw").over(whole).alias("__total"),
-    )
+        *keys, "__range", (F.sum("__rw").over(along) - F.col("__rw")).alias("__before"), "__rw",
+        F.sum("__rw").over(whole).alias("__total"))
     start, end = F.col("__before"), F.col("__before") + F.col("__rw")
     wanted = reduce(
         lambda a, b: a | b,
         [_holds(t, start, end, rule) for low, high in marks.values() for t in (low, high)],
     )
-    sums = sums.filter(wanted)
-    on_sums = reduce(
-        lambda a, b: a & b,
-        [ranged[k].eqNullSafe(sums[f"s{k}"]) for k in keys] + [ranged["__range"] == sums["s__range"]],
-    )
     inside = Window.partitionBy(*keys, "__range").orderBy("__v")
-    return ranged.join(sums, on_sums).withColumn(
+    return spread_join(ranged, sums.filter(wanted), [*keys, "__range"]).withColumn(
         "__end", F.col("__before") + F.sum("__w").over(inside)
     )
 
@@ -141,15 +119,17 @@ def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def _targets(q: float, rule: str) -> tuple[Column, Column]:
+    """Cumulative weights that the answer's neighbours hold; for ``reach`` in units of a unit, so it is whole."""
     total = F.col("__total")
     if rule == "linear":
-        place = F.lit(float(q)) * (total - 1)
-        return F.floor(place).cast("double"), F.ceil(place).cast("double")
-    return F.lit(float(q)) * total, F.lit(float(q)) * total
+        place = F.lit(float(q)) * (total.cast("double") - 1)
+        return F.floor(place).cast("decimal(28,0)"), F.ceil(place).cast("decimal(28,0)")
+    share = F.lit(round(q * UNIT)).cast("decimal(10,0)") * total.cast("decimal(28,0)")
+    return share, share
 
 
 def _holds(target: Column, start: Column, end: Column, rule: str) -> Column:
     if rule == "linear":
         return (start <= target) & (target < end)
+    start, end = (x.cast("decimal(28,0)") * F.lit(UNIT).cast("decimal(10,0)") for x in (start, end))
     return ((start < target) | ((target <= 0) & (start <= 0))) & (target <= end)
-

@@ -100,7 +100,10 @@ def wide_to_long(wide: DataFrame, keys: Sequence[str], name: str, value: str) ->
 
 
 def long_to_wide(rows: DataFrame, row: str, column: str, domain: Sequence, value: Column) -> DataFrame:
-    """Pivot over a fixed domain; absent cells are zero."""
+    """Pivot over a fixed domain; absent cells are zero. A value outside the domain is an error, not a row less."""
+    known = F.coalesce(F.col(column).isin(list(domain)), F.lit(False))
+    message = F.concat(F.lit(f"{column} outside its domain: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    rows = rows.withColumn(column, F.when(known, F.col(column)).otherwise(F.raise_error(message).cast(rows.schema[column].dataType)))
     wide = rows.groupBy(row).pivot(column, list(domain)).agg(value)
     return wide.na.fill(0, [str(d) for d in domain])
 

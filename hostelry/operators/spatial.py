@@ -18,8 +18,6 @@ from hostelry.operators.distribution import spread_join
 from hostelry.session import durable
 
 SLACK = 1e-6
-#: Sites up to this count (a few MB of cells) may be broadcast; beyond it they are shuffled.
-SMALL_SITES = 20_000
 #: Sites a leaf cell may hold before it is cut further.
 LEAF_SITES = 32
 ALWAYS_OPEN = "\uffff"
@@ -48,13 +46,12 @@ def pairs_within(points: DataFrame, sites: DataFrame, radius: float, keys: Seque
 
 @dataclass(frozen=True)
 class Grid:
-    """Where a pyramid over sites starts, how many levels it has, and whether it may be broadcast."""
+    """Where a pyramid over sites starts and how many levels it has."""
 
     x: float
     y: float
     levels: int
     leaf: float
-    small: bool
 
 
 def grid_over(sites: DataFrame, by: Sequence[str] = (), leaf: float = 16.0) -> Grid | None:
@@ -72,17 +69,7 @@ def grid_over(sites: DataFrame, by: Sequence[str] = (), leaf: float = 16.0) -> G
         if cells.count().agg(F.max("count").alias("top")).first()["top"] <= LEAF_SITES:
             break
         levels, side = levels + 1, side / 4
-    return Grid(seen["x"], seen["y"], levels, side, seen["n"] <= SMALL_SITES)
-
-
-def _meet(front: DataFrame, cells: DataFrame, keys: Sequence[str], condition: Column | None, small: bool) -> DataFrame:
-    """Counted small sides are broadcast, so the frontier stays where it is; others are shuffled."""
-    if not small:
-        return spread_join(front, cells, keys, condition=condition)
-    side = cells.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    joined = front.join(F.broadcast(side), on if condition is None else on & condition)
-    return joined.drop(*[f"__r_{k}" for k in keys])
+    return Grid(seen["x"], seen["y"], levels, side)
 
 
 def nearest(
@@ -122,7 +109,7 @@ def nearest(
             *by, F.shiftright("cx", 2 * level).alias("cx"), F.shiftright("cy", 2 * level).alias("cy")
         ).agg(F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"), *gates)
         cells = cells.withColumns({"pcx": F.shiftright("cx", 2), "pcy": F.shiftright("cy", 2)})
-        met = _meet(front, cells, at, open_to, grid.small)
+        met = spread_join(front, cells, at, condition=open_to)
         dx = F.greatest(F.col("x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("x1"))
         dy = F.greatest(F.col("y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("y1"))
         fx = F.greatest(F.abs(F.col("x") - F.col("x0")), F.abs(F.col("x") - F.col("x1")))
@@ -131,7 +118,7 @@ def nearest(
         kept = scored.withColumn("ub", F.min("hi").over(mine)).filter(F.col("lo") <= F.col("ub") + SLACK)
         front = kept.select(*keep, F.col("cx").alias("pcx"), F.col("cy").alias("pcy"))
     leaves = placed.withColumnsRenamed({"cx": "pcx", "cy": "pcy"})
-    met = _meet(front, leaves, at, open_to, grid.small)
+    met = spread_join(front, leaves, at, condition=open_to)
     d = distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
     best = met.groupBy("pid", *by).agg(F.min(F.struct(d.alias("d"), F.col("sid"))).alias("best"))
     return best.select("pid", *by, "best.sid", "best.d")

@@ -316,10 +316,11 @@ def dense_matrix(spark, folder):
 
 
 @query("ag05_wide_to_long", "AG-05 AG-04", """
-SELECT l_returnflag, y AS year, n AS lines FROM (SELECT l_returnflag, unnest([1996,1997,1998]) AS y, unnest([count(*) FILTER (year(l_shipdate)=1996), count(*) FILTER (year(l_shipdate)=1997), count(*) FILTER (year(l_shipdate)=1998)]) AS n FROM lineitem GROUP BY 1)""")
+SELECT f.l_returnflag, y AS year, count(l_shipdate) AS lines FROM (SELECT DISTINCT l_returnflag FROM lineitem) f CROSS JOIN (SELECT unnest(range(1990, 2010))::INT AS y)
+LEFT JOIN lineitem l ON l.l_returnflag = f.l_returnflag AND year(l_shipdate) = y GROUP BY 1, 2""")
 def wide_to_long(spark, folder):
     rows = read(spark, folder, "lineitem").select("l_returnflag", F.year("l_shipdate").alias("y"))
-    wide = series.long_to_wide(rows, "l_returnflag", "y", [1996, 1997, 1998], F.count(F.lit(1)))
+    wide = series.long_to_wide(rows, "l_returnflag", "y", range(1990, 2010), F.count(F.lit(1)))
     long = series.wide_to_long(wide, ["l_returnflag"], "year", "lines")
     return long.withColumn("year", c("year").cast("int"))
 
@@ -537,7 +538,7 @@ def missing_bucket(spark, folder):
 # ---------------------------------------------------------------- series
 
 SNAP_SQL = """
-snap AS (SELECT DISTINCT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, user_id FROM events WHERE event_type = 'error'),
+snap AS (SELECT DISTINCT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, user_id FROM events),
 p AS (SELECT period, row_number() over (order by period) AS i FROM (SELECT DISTINCT period FROM snap)), s AS (SELECT i, user_id FROM snap JOIN p USING (period)),
 flow AS (SELECT p.period, p.i, (SELECT count(*) FROM s WHERE s.i = p.i) AS stock,
  case when p.i > 1 then (SELECT count(*) FROM s WHERE s.i = p.i AND user_id NOT IN (SELECT user_id FROM s z WHERE z.i = p.i - 1)) end AS inflow,
@@ -545,7 +546,7 @@ flow AS (SELECT p.period, p.i, (SELECT count(*) FROM s WHERE s.i = p.i) AS stock
 
 
 def snapshots(spark, folder):
-    return read(spark, folder, "events").filter("event_type = 'error'").select(
+    return read(spark, folder, "events").select(
         F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("period"), "user_id")
 
 

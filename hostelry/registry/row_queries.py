@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hostelry.functions import numeric
 from hostelry.operators import bins, dedup, funnel, projection
-from hostelry.operators.distribution import keep_first, top_per_group
+from hostelry.operators.distribution import dense_index, keep_first, top_per_group
 from hostelry.registry.core import query
 from hostelry.registry.fixtures import read, standin
 from hostelry.registry.text_queries import LICENCE_SQL, licensed
@@ -410,10 +410,10 @@ def top_per_area(spark, folder):
 
 
 @query("wd10_priority_order", "WD-10", """
-SELECT c_custkey, c_nationkey = 3 AS first_area FROM customer ORDER BY c_nationkey = 3 DESC, c_custkey LIMIT 100""")
+SELECT c_custkey, c_nationkey = 3 AS first_area, row_number() over (order by c_nationkey = 3 DESC, c_custkey) - 1 AS place FROM customer""")
 def priority_order(spark, folder):
     rows = read(spark, folder, "customer").select("c_custkey", (c("c_nationkey") == 3).alias("first_area"))
-    return rows.orderBy(c("first_area").desc(), "c_custkey").limit(100)
+    return dense_index(rows, [c("first_area").desc(), c("c_custkey")], "place")
 
 
 @query("ag21_duplicates_by_criterion", "AG-21", """

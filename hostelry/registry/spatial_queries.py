@@ -175,7 +175,7 @@ def rings(spark, folder):
 
 
 @query("geo04_rebuilt_polygons", "GEO-04", """
-SELECT id, 0::BIGINT AS ring, 'part' AS role, 0 AS depth, NULL::BIGINT AS parent FROM polys UNION ALL SELECT id, 100000, 'hole', 1, 0 FROM polys WHERE id % 6 = 0""", ("polys",))
+SELECT id, 0::BIGINT AS ring, 'part' AS role, 0 AS depth, NULL::BIGINT AS parent FROM polys UNION ALL SELECT id, 4294967296, 'hole', 1, 0 FROM polys WHERE id % 6 = 0""", ("polys",))
 def rebuilt_polygons(spark, folder):
     return polygons.nest(area_edges(spark, folder), "id").select("id", "ring", "role", "depth", "parent")
 

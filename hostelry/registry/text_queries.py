@@ -12,10 +12,12 @@ FOLD_SQL = r"regexp_replace(upper(strip_accents({0})), '[^\p{{L}}\p{{N}}_\s]', '
 @query("str01_folded_upper_text", "STR-01", r"""
 SELECT lang, count(DISTINCT f) AS texts, sum(length(f))::BIGINT AS chars,
        sum(length(f) - length(replace(f, 'E', '')))::BIGINT AS es
-FROM (SELECT lang, regexp_replace(upper(strip_accents(replace(text, 'ß', 'ss'))), '[^\p{L}\p{N}_\s]', ' ', 'g') AS f
+FROM (SELECT lang, regexp_replace(upper(strip_accents(replace(concat(text, case doc_id % 3 when 0 then ' Άθήνα Ή' when 1 then ' Йод ёлка' else ' x' end), 'ß', 'ss'))), '[^\p{L}\p{N}_\s]', ' ', 'g') AS f
       FROM documents) GROUP BY lang""")
 def folded_upper(spark, folder):
-    f = text.fold_upper(F.replace(F.col("text"), F.lit("ß"), F.lit("ss")))
+    # the engines write the capital of this letter in two ways
+    messy = F.expr("concat(text, case doc_id % 3 when 0 then ' Άθήνα Ή' when 1 then ' Йод ёлка' else ' x' end)")
+    f = text.fold_upper(F.replace(messy, F.lit("ß"), F.lit("ss")))
     return read(spark, folder, "documents").select("lang", f.alias("f")).groupBy("lang").agg(
         F.count_distinct("f").alias("texts"), F.sum(F.length("f")).alias("chars"),
         F.sum(F.length("f") - F.length(F.replace(F.col("f"), F.lit("E"), F.lit("")))).alias("es"),
@@ -24,11 +26,13 @@ def folded_upper(spark, folder):
 
 @query("str02_name_key_groups", "STR-02", """
 SELECT k, count(*) AS rows, min(p_partkey) AS first_part FROM (
-  SELECT p_partkey, trim(regexp_replace(lower(strip_accents(
-    case p_partkey % 3 when 0 then upper(p_name) when 1 then replace(p_name, 'e', 'é') else concat(' ', p_name, '!') end)),
+  SELECT p_partkey, trim(regexp_replace(replace(lower(strip_accents(
+    case p_partkey % 5 when 0 then upper(p_name) when 1 then replace(p_name, 'e', 'é') when 2 then concat(chr(9), p_name, ' Ά Й', chr(10))
+    when 3 then concat(p_name, ' ﬁn') else concat(' ', p_name, '!') end)), 'ﬁ', 'fi'),
     '[^a-z0-9]+', ' ', 'g')) AS k FROM part) GROUP BY k""")
 def name_key_groups(spark, folder):
-    messy = F.expr("case p_partkey % 3 when 0 then upper(p_name) when 1 then replace(p_name, 'e', 'é')"
+    messy = F.expr("case p_partkey % 5 when 0 then upper(p_name) when 1 then replace(p_name, 'e', 'é')"
+                   " when 2 then concat(char(9), p_name, ' Ά Й', char(10)) when 3 then concat(p_name, ' ﬁn')"
                    " else concat(' ', p_name, '!') end")
     return (
         read(spark, folder, "part").select("p_partkey", text.name_key(messy).alias("k"))
@@ -275,12 +279,15 @@ def single_category_lookup(spark, folder):
     return rows.groupBy("label").agg(F.count("*").alias("rows"))
 
 
-@query("str21_display_names", "STR-21", """
-SELECT case c_mktsegment when 'BUILDING' then 'Edificis' else concat(substr(c_mktsegment, 1, 1), lower(substr(c_mktsegment, 2)))
- end AS label, count(*) AS rows FROM customer GROUP BY 1""")
+@query("str21_display_names", "STR-21", r"""
+SELECT case s when 'BUILDING' then 'Edificis' else array_to_string(list_transform(regexp_extract_all(s, '(\p{L}+|[^\p{L}]+)'),
+ lambda r: concat(upper(r[1]), lower(r[2:]))), '') end AS label, count(*) AS rows FROM (SELECT concat(c_mktsegment, case c_custkey % 5 when 0 then ''
+ when 1 then '-MARTÍ' when 2 then ' L''EIXAMPLE (DRETA)' when 3 then ' 3RD ÉTAGE' else ' o''neil' end) AS s FROM customer) GROUP BY 1""")
 def display_names(spark, folder):
     rows = read(spark, folder, "customer").select(
-        text.display_name(F.col("c_mktsegment"), {"BUILDING": "Edificis"}).alias("label"))
+        text.display_name(F.expr(
+            "concat(c_mktsegment, case c_custkey % 5 when 0 then '' when 1 then '-MARTÍ' when 2 then ' L\\'EIXAMPLE (DRETA)'"
+            " when 3 then ' 3RD ÉTAGE' else ' o\\'neil' end)"), {"BUILDING": "Edificis"}).alias("label"))
     return rows.groupBy("label").agg(F.count("*").alias("rows"))
 
 

@@ -64,4 +64,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "durable")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that ``durable`` wrote and that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path is not None:
+            jvm = table.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -66,6 +66,15 @@ def test_weighted_quantile_matches_search(skewed, settings, large):
     assert got == rows.v.to_numpy()[np.searchsorted(share, 0.9)]
 
 
+@pytest.mark.parametrize("large", ["2000000", "10"])
+@pytest.mark.parametrize("weight", [0.1, 0.383, 0.7])
+def test_equal_weights_of_any_size_give_the_exact_median(spark, settings, large, weight):
+    settings(spark__hostelry__largeGroup=large)
+    rows = spark.range(300).selectExpr("id + 1 as g").selectExpr("g", "explode(sequence(1L, 2 * g)) as v")
+    got = exact_quantiles(rows, ["g"], "v", {"q": 0.5}, weight=F.lit(weight), rule="reach")
+    assert got.where("q <> g").count() == 0 and got.count() == 300
+
+
 def test_dense_index_is_a_ranking(skewed):
     rows = dense_index(skewed, [F.col("v"), F.col("id")]).orderBy("v", "id").select("index").collect()
     assert [r["index"] for r in rows] == list(range(60_000))

@@ -22,9 +22,9 @@ def sites_of(spark, frame):
     return spark.createDataFrame(frame).select(F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"), "k")
 
 
-@pytest.mark.parametrize("small", [20_000, 0])
-def test_nearest_matches_all_distances(spark, monkeypatch, small):
-    monkeypatch.setattr(spatial, "SMALL_SITES", small)
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_nearest_matches_all_distances(spark, settings, broadcast):
+    settings(spark__sql__autoBroadcastJoinThreshold=broadcast, spark__sql__adaptive__autoBroadcastJoinThreshold=broadcast)
     a, b = scattered(1, 300), scattered(2, 260)
     got = spatial.nearest(spark.createDataFrame(a).withColumnRenamed("id", "pid"), sites_of(spark, b), ["k"]).toPandas().set_index("pid")
     for r in a.itertuples():
@@ -34,9 +34,7 @@ def test_nearest_matches_all_distances(spark, monkeypatch, small):
         assert got.sid[r.id] == same.id[d <= d.min() + 1e-9].min()
 
 
-@pytest.mark.parametrize("small", [20_000, 0])
-def test_nearest_open_site_by_gate(spark, monkeypatch, small):
-    monkeypatch.setattr(spatial, "SMALL_SITES", small)
+def test_nearest_open_site_by_gate(spark):
     a, b = scattered(3, 120), scattered(4, 90)
     a["gate"] = [f"{i * 37 % 101:03d}" for i in a.id]
     b["gate"] = [None if i % 4 == 0 else f"{i * 17 % 101:03d}" for i in b.id]
@@ -122,7 +120,7 @@ def test_polygons_with_hole_island_and_border(spark):
     assert {r["p"]: r["polygon"] for r in found.collect()} == {1: 1, 2: None, 3: 1, 4: None, 5: 2, 6: None, 7: None}
     nested = polygons.nest(sides, "id")
     roles = {(r["id"], r["ring"]): (r["role"], r["parent"]) for r in nested.collect()}
-    assert roles == {(1, 0): ("part", None), (1, 100_000): ("hole", 0), (1, 200_000): ("part", None), (2, 0): ("part", None)}
+    assert roles == {(1, 0): ("part", None), (1, 1 << 32): ("hole", 0), (1, 2 << 32): ("part", None), (2, 0): ("part", None)}
     areas = {r["id"]: r["area"] for r in polygons.feature_areas(nested, "id").collect()}
     assert areas == {1: 68.0, 2: 9.0}
     stated = spark.createDataFrame([(1, 68.5), (2, 10.0)], "id int, stated double")
