@@ -6,18 +6,21 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostelry.operators.distribution import dense_index
 from hostelry.operators.quantiles import exact_quantiles
 from hostelry.session import durable
 
+#: Place of a level that the training rows do not have.
+UNSEEN = 2.0**31 - 2
 # Level of a missing category, level of all rare ones, rows a level needs.
 MISSING_LEVEL, RARE_LEVEL, MIN_FREQUENCY = "?", "infrequent", 10
 
@@ -34,7 +37,9 @@ class Table:
 
 @dataclass
 class Fitted:
-    """Levels learnt from the training rows and the fitted pipeline."""
+    """Levels learnt from the training rows and the fitted pipeline.
+
+    Fitting runs jobs: one for the levels, one for the medians, those of the learner."""
 
     table: Table
     levels: DataFrame
@@ -48,41 +53,84 @@ class Fitted:
         value = F.expm1("prediction") if self.log_target else F.col("prediction")
         return scored.withColumn("__p", value).select(*rows.columns, F.col("__p").alias(out))
 
+    def features(self, rows: DataFrame) -> DataFrame:
+        """What the learner sees: the key, ``x_<number>`` imputed and scaled, ``l_<category>`` as shown, and ``coded``,
+        how many places of the encoded categories are set."""
+        scored = self.model.transform(_fold_levels(rows, self.table, self.levels))
+        scaled = vector_to_array("__scaled")
+        ones = F.aggregate(F.slice(vector_to_array("features"), len(self.table.numeric) + 1, 2**30), F.lit(0.0), lambda a, x: a + x)
+        return scored.select(
+            self.table.key, *[scaled[i].alias(f"x_{n}") for i, n in enumerate(self.table.numeric)],
+            *[F.col(f"__s_{c}").alias(f"l_{c}") for c in self.table.categorical], ones.cast("int").alias("coded"))
+
+
+class ExactMedian(Estimator):
+    """Fills missing numbers with the exact median of the column (0 if it has no number)."""
+
+    def __init__(self, inputs: Sequence[str], outputs: Sequence[str]):
+        super().__init__()
+        self.inputs, self.outputs = list(inputs), list(outputs)
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        long = dataset.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in self.inputs])))
+        found = {r["c"]: r["m"] for r in exact_quantiles(long, ["c"], "v", {"m": 0.5}).collect()}  # one row per column
+        return FilledByMedian(self.inputs, self.outputs, found)
+
+
+class FilledByMedian(Model):
+    def __init__(self, inputs: Sequence[str], outputs: Sequence[str], medians: dict[str, float]):
+        super().__init__()
+        self.inputs, self.outputs, self.medians = inputs, outputs, medians
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        known = {o: F.when(~F.isnan(i), F.col(i)) for i, o in zip(self.inputs, self.outputs)}
+        return dataset.withColumns({
+            o: F.coalesce(known[o], F.lit(float(self.medians.get(i, 0.0)))) for i, o in zip(self.inputs, self.outputs)})
+
 
 def fold(key: Column, k: int, seed: int) -> Column:
-    """Fold number by a hash of the row id, the same on every run."""
-    return F.pmod(F.xxhash64(F.concat(F.lit(f"{seed}|"), key.cast("string"))), F.lit(k)).cast("int")
+    """Fold number by a hash of the row id, the same on every run and in any engine."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 8)
+    return (F.conv(digits, 16, 10).cast("long") % k).cast("int")
 
 
 def _learn_levels(rows: DataFrame, table: Table) -> DataFrame:
-    """Rows per level of every categorical column, in one aggregate."""
+    """Levels of every categorical column with what is shown for them and its place, most frequent first.
+
+    The table has a row per level and stays distributed; only the number of places comes to the driver.
+    """
+    if not table.categorical:
+        return rows.sparkSession.createDataFrame([], "c string, level string, shown string, place double")
     long = rows.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL)).alias("level"))
         for c in table.categorical])).alias("x")).select("x.*")
     counts = long.groupBy("c", "level").agg(F.count(F.lit(1)).alias("n"))
-    return durable(counts.select("c", "level", F.when(F.col("n") >= MIN_FREQUENCY, F.col("level")).otherwise(RARE_LEVEL).alias("shown")))
+    shown = counts.select("c", "level", "n", F.when(F.col("n") >= MIN_FREQUENCY, F.col("level")).otherwise(RARE_LEVEL).alias("shown"))
+    each = shown.groupBy("c", "shown").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "shown")) - 1
+    return durable(shown.drop("n").join(each.select("c", "shown", place.cast("double").alias("place")), ["c", "shown"]))
 
 
 def _fold_levels(rows: DataFrame, table: Table, levels: DataFrame) -> DataFrame:
-    """Rare levels become one; a level the training never saw becomes null and encodes as zeros."""
+    """Rare levels become one; a level the training never saw has a place that encodes as zeros."""
     out = rows
     for c in table.categorical:
-        mine = levels.filter(F.col("c") == c).select(F.col("level").alias(f"__l_{c}"), F.col("shown").alias(f"__s_{c}"))
-        out = out.join(mine, F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL)) == F.col(f"__l_{c}"), "left").drop(f"__l_{c}")
+        mine = levels.filter(F.col("c") == c).select(F.col("level").alias(f"__l_{c}"), F.col("shown").alias(f"__s_{c}"), F.col("place").alias(f"__i_{c}"))
+        out = out.join(mine, F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL)) == F.col(f"__l_{c}"), "left").drop(f"__l_{c}").withColumn(
+            f"__i_{c}", F.coalesce(f"__i_{c}", F.lit(UNSEEN)))
     return out.withColumns({f"__n_{n}": F.col(n).cast("double") for n in table.numeric})
 
 
 def _stages(table: Table, learner: Estimator) -> list:
     numbers = [f"__n_{n}" for n in table.numeric]
     filled = [f"__f_{n}" for n in table.numeric]
-    shown = [f"__s_{c}" for c in table.categorical]
-    indexed, coded = [f"{s}_i" for s in shown], [f"{s}_o" for s in shown]
+    placed, coded = [f"__i_{c}" for c in table.categorical], [f"__o_{c}" for c in table.categorical]
+    encoder = [OneHotEncoder(inputCols=placed, outputCols=coded, handleInvalid="keep")] if placed else []
     return [
-        Imputer(strategy="median", inputCols=numbers, outputCols=filled),
+        ExactMedian(numbers, filled),
         VectorAssembler(inputCols=filled, outputCol="__numbers"),
         StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True),
-        StringIndexer(inputCols=shown, outputCols=indexed, handleInvalid="keep"),
-        OneHotEncoder(inputCols=indexed, outputCols=coded),
+        *encoder,
         VectorAssembler(inputCols=["__scaled", *coded], outputCol="features"),
         learner,
     ]
@@ -144,19 +192,18 @@ class NaturalError(Evaluator):
         return False
 
 
-def learners(size: str = "full") -> dict[str, tuple[Estimator, dict[str, Sequence]]]:
+def learners() -> dict[str, tuple[Estimator, dict[str, Sequence]]]:
     """Learners with the grids that random search draws from. The two boosted ones of the original
-    catalogue are one here, as the library has one."""
-    small = size == "small"
+    catalogue are one here, as the library has one; its deepest tree, 30, stands for no limit."""
     forest, boosted, line = RandomForestRegressor(seed=42), GBTRegressor(seed=42), LinearRegression(elasticNetParam=0.0)
     return {
         "ridge": (line, {"regParam": [0.001, 0.01, 0.1, 1.0]}),
         "forest": (forest, {
-            "numTrees": [8, 12] if small else [300, 600], "maxDepth": [4, 5] if small else [12, 20],
+            "numTrees": [300, 600], "maxDepth": [12, 20, 30],
             "minInstancesPerNode": [1, 2, 4, 8], "featureSubsetStrategy": ["sqrt", "0.3", "0.6"]}),
         "boosted": (boosted, {
-            "stepSize": [0.1, 0.3] if small else [0.03, 0.06, 0.1], "maxIter": [4, 6] if small else [300, 600],
-            "maxDepth": [3, 4] if small else [4, 5, 6], "minInstancesPerNode": [10, 20, 40]}),
+            "stepSize": [0.03, 0.06, 0.1], "maxIter": [300, 600],
+            "maxDepth": [4, 5, 6], "minInstancesPerNode": [10, 20, 40]}),
     }
 
 
@@ -186,7 +233,8 @@ def search(rows: DataFrame, table: Table, catalogue, draws: int = 20, k: int = 5
 
 
 def importance(rows: DataFrame, fitted: Fitted, blocks: dict[str, Sequence[str]], repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Error lost when a block of columns is shuffled together, mean over repeats.
+    """Error lost when a block of columns is shuffled together, mean over repeats; a block of one column
+    gives that column's own. ``rows`` must be rows that the model was not fitted to (see ``split``).
 
     Shuffled rows are drawn by a second numbering of the same rows, by a hash per repeat; both
     numberings are distributed, and all repeats are one plan.
@@ -211,6 +259,12 @@ def importance(rows: DataFrame, fitted: Fitted, blocks: dict[str, Sequence[str]]
     return lines.select("block", "columns", "mae", (F.col("mae") - reference.scalar()).alias("lost"))
 
 
+def split(rows: DataFrame, key: str, held: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows to fit on, and one part in ``held`` to measure on."""
+    part = fold(F.col(key), held, seed)
+    return rows.filter(part != 0), rows.filter(part == 0)
+
+
 def one_or_many(rows: DataFrame, table: Table, learner: Estimator, segment: str, values: Sequence, k: int = 5, seed: int = 42) -> DataFrame:
     """Error by segment of one model and of one per segment, on the same folds."""
     whole = mae(out_of_fold(rows, table, learner, k, seed), table.target, [segment]).select(segment, F.col("mae").alias("one_model"), "rows")
@@ -232,6 +286,17 @@ def fill_missing(rows: DataFrame, fitted: Fitted, error: float, out: str = "fina
         "model_mae": F.lit(round(error, 2))})
 
 
+def estimate(
+    rows: DataFrame, table: Table, catalogue, draws: int = 20, k: int = 5, seeds: Sequence[int] = (0, 1, 2, 3, 4), seed: int = 42,
+) -> DataFrame:
+    """Search, repeated cross-validation of the winner, and the missing prices filled by it, as one job.
+
+    The error beside the values is the winner's mean over all folds of all splits."""
+    winner = search(rows, table, catalogue, draws, k, seed)[0][3]
+    error = repeated(rows, table, winner, k, seeds).first()["mean"]
+    return fill_missing(rows, fit(rows, table, winner), error)
+
+
 def impute_by_host(rows: DataFrame, evidence: DataFrame, row_id: str, host: str, area: str, capacity: str, price: str) -> DataFrame:
     """Mean price of the host's rows with the same area and capacity, only where its nearest priced
     row is far. ``evidence`` has the row id and ``far``."""

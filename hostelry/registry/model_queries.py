@@ -9,13 +9,18 @@ from hostelry.plans import pricemodel as pm
 from hostelry.registry.core import query
 from hostelry.registry.fixtures import read
 from hostelry.registry.spatial_queries import metres, points
+from hostelry.session import durable
 
 c = F.col
 TABLE = pm.Table("id", "price", ["quantity", "discount", "tax", "size", "retail"], ["flag", "kind", "brand", "segment"])
 
 
-def ridge():
-    return LinearRegression(elasticNetParam=0.0, regParam=0.01)
+# One number and plain least squares: SQL can say the same in closed form.
+ONE = pm.Table("id", "price", ["quantity"], [])
+
+
+def least_squares():
+    return LinearRegression(regParam=0.0, solver="normal")
 
 
 def lines(spark, folder):
@@ -31,11 +36,46 @@ def lines(spark, folder):
         c("p_type").alias("kind"), F.when(c("l_partkey") % 20 != 5, c("p_brand")).alias("brand"), c("c_mktsegment").alias("segment"))
 
 
-@query("ml01_fitted_features", "ML-01 ML-10")
+LINES_SQL = """lines AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id, case when l_orderkey % 20 <> 7 then l_extendedprice end AS price,
+ case when l_partkey % 20 <> 3 then l_quantity end AS quantity, l_discount AS discount, l_tax AS tax, p_size AS size, p_retailprice AS retail, l_returnflag AS flag,
+ p_type AS kind, case when l_partkey % 20 <> 5 then p_brand end AS brand, c_mktsegment AS segment
+ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+
+
+def fold_sql(seed, k=5):
+    return f"(('0x' || substr(md5(concat({seed}, '|', id)), 1, 8))::BIGINT % {k})"
+
+
+#: Out-of-fold predictions ``p`` of every known row for each seed; ``rows_`` is the table they come from.
+def folds_sql(seeds, rows="lines", name="oof"):
+    listed = ", ".join(map(str, seeds))
+    return f"""{name}_k AS (SELECT l.*, s.seed, {fold_sql('s.seed')} AS fold FROM {rows} l, (SELECT unnest([{listed}]) AS seed) s WHERE price IS NOT NULL),
+{name}_f AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
+{name}_m AS (SELECT seed, f, median(quantity) AS med FROM {name}_k JOIN {name}_f ON fold <> f GROUP BY 1, 2),
+{name}_fit AS (SELECT k.seed, f, any_value(med) AS med, regr_slope(ln(1 + price), coalesce(quantity, med)) AS slope, regr_intercept(ln(1 + price), coalesce(quantity, med)) AS start
+ FROM {name}_k k JOIN {name}_m m ON k.seed = m.seed AND fold <> f GROUP BY 1, 2),
+{name} AS (SELECT k.*, exp(start + slope * coalesce(quantity, med)) - 1 AS p FROM {name}_k k JOIN {name}_fit t ON k.seed = t.seed AND fold = f)"""
+
+
+def _numbers_sql():
+    return ", ".join(
+        f"round((coalesce({n}, (SELECT median({n}) FROM k)) - (SELECT avg(coalesce({n}, (SELECT median({n}) FROM k))) FROM k))"
+        f" / (SELECT stddev_samp(coalesce({n}, (SELECT median({n}) FROM k))) FROM k), 6) AS x_{n}" for n in TABLE.numeric)
+
+
+def _levels_sql():
+    return ", ".join(
+        f"(SELECT any_value(case when n >= 10 then v else 'infrequent' end) FROM (SELECT coalesce({x}, '?') AS v, count(*) AS n FROM k GROUP BY 1) z"
+        f" WHERE z.v = coalesce(lines.{x}, '?')) AS l_{x}" for x in TABLE.categorical)
+
+
+@query("ml01_fitted_features", "ML-01 ML-10", f"""
+WITH {LINES_SQL}, k AS (SELECT * FROM lines WHERE price IS NOT NULL), f AS (SELECT id, {_numbers_sql()}, {_levels_sql()} FROM lines)
+SELECT *, (l_flag IS NOT NULL)::INT + (l_kind IS NOT NULL)::INT + (l_brand IS NOT NULL)::INT + (l_segment IS NOT NULL)::INT AS coded FROM f""")
 def fitted_features(spark, folder):
     rows = lines(spark, folder)
-    scored = pm.fit(rows, TABLE, ridge()).predict(rows.filter("price is not null"))
-    return pm.mae(scored, "price", ["flag"])
+    seen = pm.fit(rows, TABLE, least_squares()).features(rows)
+    return seen.select("id", *[F.round(f"x_{n}", 6).alias(f"x_{n}") for n in TABLE.numeric], *[f"l_{x}" for x in TABLE.categorical], "coded")
 
 
 @query("ml02_median_baseline", "ML-02", """
@@ -45,46 +85,85 @@ def median_baseline(spark, folder):
     return pm.baseline(rows, "price").select(F.round("median", 3).alias("median"), F.round("mae", 4).alias("mae"))
 
 
-@query("ml03_cross_validation", "ML-03")
+@query("ml03_cross_validation", "ML-03", f"""
+WITH {LINES_SQL}, {folds_sql([42])} SELECT fold::INT AS fold, round(avg(abs(p - price)), 3) AS mae, count(*) AS rows FROM oof GROUP BY 1""")
 def cross_validation(spark, folder):
-    return pm.cross_validated(lines(spark, folder), TABLE, ridge(), k=3)
+    return pm.cross_validated(lines(spark, folder), ONE, least_squares()).select("fold", F.round("mae", 3).alias("mae"), "rows")
 
 
-@query("ml04_model_search", "ML-04")
+@query("ml04_model_search", "ML-04", f"""
+WITH {LINES_SQL}, {folds_sql([42])}, g AS (SELECT unnest([0.001, 0.01, 0.1, 1.0])::DOUBLE AS reg),
+t AS (SELECT reg, f, any_value(m.med) AS med, regr_slope(ln(1 + price), coalesce(quantity, m.med)) AS s0, avg(ln(1 + price)) AS ym, avg(coalesce(quantity, m.med)) AS xm,
+ stddev_samp(ln(1 + price)) AS sd FROM oof_k k JOIN oof_m m ON fold <> f, g GROUP BY 1, 2),
+e AS (SELECT reg, f, avg(abs(exp(ym + s0 / (1 + reg / sd) * (coalesce(quantity, med) - xm)) - 1 - price)) AS mae FROM oof_k JOIN t ON fold = f GROUP BY 1, 2)
+SELECT 'ridge' AS learner, round(min(mae), 1) AS mae, arg_min(reg, mae) AS reg FROM (SELECT reg, avg(mae) AS mae FROM e GROUP BY 1)""")
 def model_search(spark, folder):
-    report = pm.search(lines(spark, folder), TABLE, pm.learners("small"), draws=2, k=2)
-    return spark.createDataFrame([(n, e, p) for n, e, p, _ in report], "learner string, mae double, params string")
+    """The whole grid of the learner that has a closed form."""
+    line, grid = pm.learners()["ridge"]
+    report = pm.search(lines(spark, folder), ONE, {"ridge": (line, grid)})
+    return spark.createDataFrame(
+        [(n, round(e, 1), best.getRegParam()) for n, e, _, best in report], "learner string, mae double, reg double")
 
 
-@query("ml05_repeated_cross_validation", "ML-05")
+@query("ml05_repeated_cross_validation", "ML-05", f"""
+WITH {LINES_SQL}, {folds_sql(range(5))}, e AS (SELECT seed, fold, avg(abs(p - price)) AS mae FROM oof GROUP BY 1, 2)
+SELECT round(avg(mae), 3) AS mean, round(stddev_pop(mae), 3) AS spread, round(max(mae), 3) AS worst, round(min(mae), 3) AS best, count(*) AS folds FROM e""")
 def repeated_cross_validation(spark, folder):
-    return pm.repeated(lines(spark, folder), TABLE, ridge(), k=2, seeds=(0, 1))
+    return pm.repeated(lines(spark, folder), ONE, least_squares()).select(
+        *[F.round(x, 3).alias(x) for x in ("mean", "spread", "worst", "best")], "folds")
 
 
-@query("ml06_out_of_fold", "ML-06 AG-30")
+@query("ml06_out_of_fold", "ML-06 AG-30", f"""
+WITH {LINES_SQL}, {folds_sql([42])}, u AS (SELECT 'segment' AS cut, segment AS label, price, p FROM oof UNION ALL SELECT 'flag', flag, price, p FROM oof UNION ALL SELECT 'kind', kind, price, p FROM oof)
+SELECT cut, label, count(*) AS rows, round(avg(abs(p - price)), 3) AS mae, round(avg(p - price), 3) AS bias, round(median(price), 3) AS median_actual,
+ round(avg(abs(p - price)) * 100 / median(price), 3) AS mape FROM u GROUP BY 1, 2""")
 def out_of_fold(spark, folder):
-    return error_report(pm.out_of_fold(lines(spark, folder), TABLE, ridge(), k=2), "segment", "price", "prediction")
-
-
-@query("ml07_block_importance", "ML-07")
+    scored = durable(pm.out_of_fold(lines(spark, folder), ONE, least_squares()))
+    parts = [error_report(scored, cut, "price", "prediction").withColumnRenamed(cut, "label").withColumn("cut", F.lit(cut))
+             for cut in ("segment", "flag", "kind")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+        "cut", "label", "rows", *[F.round(x, 3).alias(x) for x in ("mae", "bias", "median_actual", "mape")])
+
+
+@query("ml07_block_importance", "ML-07", f"""
+WITH {LINES_SQL}, k AS (SELECT *, {fold_sql(42)} AS part FROM lines WHERE price IS NOT NULL),
+t AS (SELECT (SELECT median(quantity) FROM k WHERE part <> 0) AS med, regr_slope(ln(1 + price), coalesce(quantity, (SELECT median(quantity) FROM k WHERE part <> 0))) AS slope,
+ regr_intercept(ln(1 + price), coalesce(quantity, (SELECT median(quantity) FROM k WHERE part <> 0))) AS start FROM k WHERE part <> 0),
+h AS (SELECT id, price, quantity, row_number() over (order by id) AS pos FROM k WHERE part = 0), r AS (SELECT unnest(range(10)) AS r),
+m AS (SELECT r, quantity, row_number() over (partition by r order by md5(concat('42|', r, '|', id))) AS pos FROM h, r),
+e0 AS (SELECT avg(abs(exp(start + slope * coalesce(quantity, med)) - 1 - price)) AS mae FROM h, t),
+e1 AS (SELECT avg(mae) AS mae FROM (SELECT m.r, avg(abs(exp(start + slope * coalesce(m.quantity, med)) - 1 - price)) AS mae FROM h JOIN m USING (pos), t GROUP BY 1))
+SELECT 'quantity' AS block, 1 AS columns, round(e1.mae, 2) AS mae, round(e1.mae - e0.mae, 2) AS lost FROM e0, e1
+UNION ALL SELECT 'amount and part', 3, round(e1.mae, 2), round(e1.mae - e0.mae, 2) FROM e0, e1
+UNION ALL SELECT 'size', 1, round(e0.mae, 2), 0.0 FROM e0""")
 def block_importance(spark, folder):
-    rows = lines(spark, folder)
-    fitted = pm.fit(rows, TABLE, ridge())
-    return pm.importance(rows, fitted, {"amount": ["quantity"], "part": ["size", "retail", "kind", "brand"], "segment": ["segment"]}, repeats=2)
-
-
-@query("ml08_one_model_or_many", "ML-08")
+    seen, held = pm.split(lines(spark, folder), "id")
+    fitted = pm.fit(seen, ONE, least_squares())
+    blocks = {"quantity": ["quantity"], "amount and part": ["quantity", "size", "kind"], "size": ["size"]}
+    out = pm.importance(held, fitted, blocks)
+    return out.select("block", "columns", F.round("mae", 2).alias("mae"), (F.round("lost", 2) + F.lit(0.0)).alias("lost"))
+
+
+@query("ml08_one_model_or_many", "ML-08", f"""
+WITH {LINES_SQL}, a AS (SELECT * FROM lines WHERE flag = 'A'), n AS (SELECT * FROM lines WHERE flag = 'N'), r AS (SELECT * FROM lines WHERE flag = 'R'),
+{folds_sql([42])}, {folds_sql([42], 'a', 'oa')}, {folds_sql([42], 'n', 'ona')}, {folds_sql([42], 'r', 'ora')},
+many AS (SELECT flag, p, price FROM oa UNION ALL SELECT flag, p, price FROM ona UNION ALL SELECT flag, p, price FROM ora)
+SELECT flag, round(avg(abs(p - price)), 3) AS one_model, count(*) AS rows, (SELECT round(avg(abs(p - price)), 3) FROM many WHERE many.flag = oof.flag) AS own_model FROM oof GROUP BY 1""")
 def one_model_or_many(spark, folder):
-    return pm.one_or_many(lines(spark, folder), TABLE, ridge(), "flag", ["A", "N", "R"], k=2)
+    out = pm.one_or_many(lines(spark, folder), ONE, least_squares(), "flag", ["A", "N", "R"])
+    return out.select("flag", F.round("one_model", 3).alias("one_model"), "rows", F.round("own_model", 3).alias("own_model"))
 
 
-@query("ml09_filled_prices", "ML-09")
+@query("ml09_filled_prices", "ML-09", f"""
+WITH {LINES_SQL}, {folds_sql(range(5))}, e AS (SELECT avg(mae) AS mae FROM (SELECT avg(abs(p - price)) AS mae FROM oof GROUP BY seed, fold)),
+k AS (SELECT *, (SELECT median(quantity) FROM lines WHERE price IS NOT NULL) AS med FROM lines),
+t AS (SELECT regr_slope(ln(1 + price), coalesce(quantity, med)) AS slope, regr_intercept(ln(1 + price), coalesce(quantity, med)) AS start FROM k WHERE price IS NOT NULL)
+SELECT price IS NULL AS estimated, count(*) AS rows, count(coalesce(price, 0)) AS priced, round(avg(coalesce(price, exp(start + slope * coalesce(quantity, med)) - 1)), 1) AS mean_final,
+ round(any_value(mae), 2) AS model_mae FROM k, t, e GROUP BY 1""")
 def filled_prices(spark, folder):
-    rows = lines(spark, folder)
-    fitted = pm.fit(rows, TABLE, ridge())
-    error = pm.mae(fitted.predict(rows.filter("price is not null")), "price").first()["mae"]
-    out = pm.fill_missing(rows, fitted, error)
-    return out.groupBy("estimated").agg(F.count("*").alias("rows"), F.count("final").alias("priced"), F.max("model_mae").alias("model_mae"))
+    out = pm.estimate(lines(spark, folder), ONE, {"line": (least_squares(), {"regParam": [0.0]})})
+    return out.groupBy("estimated").agg(
+        F.count("*").alias("rows"), F.count("final").alias("priced"), F.round(F.avg("final"), 1).alias("mean_final"), F.max("model_mae").alias("model_mae"))
 
 
 @query("ml11_host_imputation", "ML-11 SJ-07", f"""
