@@ -24,6 +24,7 @@ are not read; ids are integers.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from hostelry.llm.words import Words, mix, shingles, words_of
 WIDTH = 13
 #: Characters of text in a chunk and behind a block of the sketch, on average.
 CHUNK_CHARS, BLOCK_CHARS = 4_000_000, 16_000_000
-#: Hash rows of the sketch, and cells per window in each.
-DEPTH, CELLS = 2, 16
+#: Hash rows of the sketch, cells per window in each, and characters of a word with its blank, about.
+DEPTH, CELLS, WORD_CHARS = 2, 8, 6
 _LAST = np.iinfo(np.int64).max
 _SALTS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -52,32 +53,79 @@ class _Chunk:
         self.ids = ids[self.order]
         self.words: Words = words_of([texts[i] for i in self.order])
         own = self.words.hashes()
+        self.own = own
         self.one, self.at = shingles(own, self.words.doc, width)
-        self.two, _ = shingles(mix(own ^ np.uint64(_SALTS[3])), self.words.doc, width)
+
+    @cached_property
+    def two(self) -> np.ndarray:
+        return shingles(mix(self.own ^ np.uint64(_SALTS[3])), self.words.doc, self.width)[0]
 
     def cells(self, row: int, cells: int) -> np.ndarray:
         """Cell of each window in a hash row."""
         return mix(self.one ^ np.uint64(_SALTS[row])) % np.uint64(cells)
 
-    def first_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of some windows: the order that brings equal ones together, and where each group of equal ones begins in it.
-
-        Equal windows stay in the order of the documents."""
-        order = windows[np.lexsort((self.two[windows], self.one[windows]))]
+    def groups(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some windows: the order that brings equal ones together, where each group of equal ones begins in it,
+        and the first window of each group, which is in its earliest document."""
+        order = windows[np.argsort(self.one[windows])]
+        one, two = self.one[order], self.two[order]
+        if ((one[1:] == one[:-1]) & (two[1:] != two[:-1])).any():
+            order = windows[np.lexsort((self.two[windows], self.one[windows]))]
+            one, two = self.one[order], self.two[order]
         new = np.ones(len(order), bool)
-        new[1:] = (self.one[order[1:]] != self.one[order[:-1]]) | (self.two[order[1:]] != self.two[order[:-1]])
-        return order, np.flatnonzero(new)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        starts = np.flatnonzero(new)
+        return order, starts, np.minimum.reduceat(order, starts) if len(starts) else starts
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _pack(cells: np.ndarray) -> bytes:
+    """Sorted distinct integers as Rice-coded gaps: a few bits more than the logarithm of the mean gap for each."""
+    if not len(cells):
+        return b""
+    gaps = np.concatenate([cells[:1], np.diff(cells) - np.uint64(1)])
+    k = int(np.log2(float(cells[-1]) / len(cells) + 1))
+    high = (gaps >> np.uint64(k)).astype(np.int64)
+    ones = np.cumsum(high + 1)
+    unary = np.zeros(int(ones[-1]), np.uint8)
+    unary[ones - 1] = 1
+    parts = [np.array([len(cells), len(unary), k], "<u8").tobytes(), np.packbits(unary).tobytes()]
+    parts += [((gaps >> np.uint64(8 * i)) & np.uint64(255)).astype(np.uint8).tobytes() for i in range(k // 8)]
+    for i in range(k // 8 * 8, k):
+        parts.append(np.packbits(((gaps >> np.uint64(i)) & np.uint64(1)).astype(np.uint8)).tobytes())
+    return b"".join(parts)
+
 
+def _unpack(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
+    n, length, k = (int(x) for x in np.frombuffer(packed, "<u8", 3))
+    at = 24 + -(-length // 8)
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, at - 24, 24), count=length))
+    gaps = (np.diff(ones, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
+    for i in range(k // 8):
+        gaps |= np.frombuffer(packed, np.uint8, n, at).astype(np.uint64) << np.uint64(8 * i)
+        at += n
+    for i in range(k // 8 * 8, k):
+        size = -(-n // 8)
+        gaps |= np.unpackbits(np.frombuffer(packed, np.uint8, size, at), count=n).astype(np.uint64) << np.uint64(i)
+        at += size
+    return np.cumsum(gaps + np.uint64(1), dtype=np.uint64) - np.uint64(1)
 
-def _pack(sorted_cells: np.ndarray) -> bytes:
-    """Sorted distinct integers as gaps of as few bytes as the largest needs; the first byte is their size."""
-    gaps = np.diff(sorted_cells, prepend=np.uint64(0)).astype(np.uint64)
-    size = next(s for s in (1, 2, 4, 8) if not len(gaps) or int(gaps.max()) < 1 << 8 * s)
-    return bytes([size]) + gaps.astype(f"<u{size}").tobytes()
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Integers in as few bytes as the largest needs; the first byte is their size."""
+    size = next(b for b in (1, 2, 4, 8) if b == 8 or not len(values) or -(1 << 8 * b - 1) <= values.min() and values.max() < 1 << 8 * b - 1)
+    return bytes([size]) + values.astype(f"<i{size}").tobytes()
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.uint64), dtype=np.uint64)
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<i{packed[0]}", offset=1).astype(np.int64)
 
 
 def _table(schema: pa.Schema, columns: list[list]) -> pa.Table:
@@ -100,7 +148,7 @@ def remove_repeats(
     slim = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
     chars = slim.agg(F.coalesce(F.sum(F.length("text_")), F.lit(0))).first()[0]
     n_chunks, n_blocks = (int(chars // c) + 1 for c in (chunk_chars, block_chars))
-    cells = max(1024, int(chars) // 2 * cells_per_window)  # a word has two characters or more, with its blank
+    cells = max(1024, int(chars) // WORD_CHARS * cells_per_window)
     span = -(-cells // n_blocks)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -112,7 +160,7 @@ def remove_repeats(
         chunk = _Chunk(rows, width)
         out = [[], [], []]
         for row in range(depth):
-            for block, part in _by_block(np.unique(chunk.cells(row, cells)), span):
+            for block, part in _by_block(_distinct(chunk.cells(row, cells)), span):
                 for column, value in zip(out, (row * n_blocks + block, key[0].as_py(), _pack(part)), strict=True):
                     column.append(value)
         return _table(sketch_schema, out)
@@ -123,7 +171,7 @@ def remove_repeats(
         """Which of its cells another chunk has too: per chunk one bit per cell, in order."""
         sets = [_unpack(x) for x in rows.column("cells_").to_pylist()]
         whole = np.sort(np.concatenate(sets))
-        many = np.unique(whole[1:][whole[1:] == whole[:-1]])
+        many = _distinct(whole[1:][whole[1:] == whole[:-1]])
         bits = []
         for own in sets:
             where = np.searchsorted(many, own)
@@ -140,12 +188,15 @@ def remove_repeats(
         maybe = np.ones(len(chunk.one), bool)
         for row in range(depth):
             own = chunk.cells(row, cells)
-            ordered = np.unique(own)
-            flags = [np.unpackbits(np.frombuffer(answer[row * n_blocks + block], np.uint8))[:len(part)] for block, part in _by_block(ordered, span)]
+            order = np.argsort(own)
+            ordered = own[order]
+            new = np.ones(len(own), bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            flags = [np.unpackbits(np.frombuffer(answer[row * n_blocks + block], np.uint8), count=len(part))
+                     for block, part in _by_block(ordered[new], span)]
             if len(own):
-                maybe &= np.concatenate(flags).astype(bool)[np.searchsorted(ordered, own)]
-        order, starts = chunk.first_of(np.flatnonzero(maybe))
-        first = order[starts]
+                maybe[order] &= np.concatenate(flags).astype(bool)[np.cumsum(new) - 1]
+        _, _, first = chunk.groups(np.flatnonzero(maybe))
         bucket = chunk.one[first] % np.uint64(n_blocks)
         out = [[], [], [], [], []]
         by = np.argsort(bucket, kind="stable")
@@ -153,7 +204,7 @@ def remove_repeats(
         for group in np.split(first[by], cuts) if len(first) else []:
             keys = np.stack([chunk.one[group], chunk.two[group]], axis=1)
             ids = chunk.ids[chunk.words.doc[chunk.at[group]]]
-            values = (int(chunk.one[group[0]] % np.uint64(n_blocks)), key[0].as_py(), keys.tobytes(), ids.tobytes(), group.astype("<u4").tobytes())
+            values = (int(chunk.one[group[0]] % np.uint64(n_blocks)), key[0].as_py(), keys.tobytes(), _narrow(ids), group.astype("<u4").tobytes())
             for column, value in zip(out, values, strict=True):
                 column.append(value)
         return _table(entry_schema, out)
@@ -164,7 +215,7 @@ def remove_repeats(
         """Places of the windows of which another chunk has an earlier document."""
         keys = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in rows.column("keys_").to_pylist()]
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("ids_").to_pylist()])
+        ids = np.concatenate([_wide(x) for x in rows.column("ids_").to_pylist()])
         at = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("at_").to_pylist()])
         keys = np.concatenate(keys)
         order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
@@ -185,12 +236,12 @@ def remove_repeats(
         chunk = _Chunk(rows, width)
         words = chunk.words
         doc = words.doc[chunk.at] if len(chunk.at) else np.zeros(0, np.int64)
-        order, starts = chunk.first_of(np.arange(len(chunk.one)))
+        order, starts, first = chunk.groups(np.arange(len(chunk.one)))
         gone = np.zeros(len(chunk.one), bool)
         if len(order):
             group_of = np.zeros(len(order), np.int64)
             group_of[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
-            gone = chunk.ids[doc] > chunk.ids[doc[order[starts]]][group_of]
+            gone = chunk.ids[doc] > chunk.ids[doc[first]][group_of]
             elsewhere = np.zeros(len(starts), bool)
             for part in late.column("late_").to_pylist():
                 elsewhere[group_of[np.frombuffer(part, "<u4")]] = True
@@ -199,14 +250,21 @@ def remove_repeats(
         np.add.at(cover, chunk.at[gone], 1)
         np.add.at(cover, chunk.at[gone] + width, -1)
         keep = np.cumsum(cover[:-1]) == 0
-        kept, n_removed = [], []
-        start, end = words.start.tolist(), words.end.tolist()
-        for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-            left = (np.flatnonzero(keep[a:b]) + a).tolist()
-            n_removed.append(int(b - a) - len(left))
-            kept.append(b" ".join([words.raw[start[i]:end[i]] for i in left]).decode("utf-8", "surrogatepass"))
+        # runs of kept words of one document: from word, to word
+        edge = np.ones(len(keep), bool)
+        edge[1:] = (keep[1:] != keep[:-1]) | (words.doc[1:] != words.doc[:-1])
+        heads = np.flatnonzero(edge)
+        tails = np.append(heads, len(keep))[1:]
+        pieces = [[] for _ in chunk.ids]
+        for a, b, d in zip(words.start[heads[keep[heads]]].tolist(), words.end[tails[keep[heads]] - 1].tolist(),
+                           words.doc[heads[keep[heads]]].tolist(), strict=True):
+            pieces[d] += words.raw[a:b].split()
+        kept = [b" ".join(p).decode("utf-8", "surrogatepass") for p in pieces]
+        n_words = np.diff(words.first)
+        total = np.concatenate([[0], np.cumsum(~keep)])
+        n_removed = total[words.first[1:]] - total[words.first[:-1]]
         ids = [None if i == _LAST else int(i) for i in chunk.ids]
-        return _table(final_schema, [ids, np.diff(words.first).tolist(), n_removed, kept])
+        return _table(final_schema, [ids, n_words.tolist(), n_removed.tolist(), kept])
 
     bits = dealt.groupBy("chunk_").applyInArrow(sketch, "block_ long, chunk_ int, cells_ binary").groupBy("block_").applyInArrow(
         merge, "chunk_ int, block_ long, bits_ binary")

@@ -75,6 +75,22 @@ def test_a_very_long_text(spark):
 
 
 def test_packing_keeps_any_gaps():
-    for values in ([], [0], [0, 1, 255, 256, 70_000, 2**33, 2**62]):
+    rng = np.random.default_rng(2)
+    sets = [[], [0], [0, 1, 255, 256, 70_000, 2**33, 2**62], *(sorted({*rng.integers(0, 10**k, 500).tolist()}) for k in (3, 6, 12, 18))]
+    for values in sets:
         cells = np.array(values, np.uint64)
         assert substrings._unpack(substrings._pack(cells)).tolist() == values
+    for values in ([], [0, -1], [127, -128], [128], [2**31 - 1], [2**63 - 1, -5]):
+        assert substrings._wide(substrings._narrow(np.array(values, np.int64))).tolist() == values
+
+
+def test_windows_whose_first_hashes_agree_stay_apart(spark, rows, monkeypatch):
+    real = substrings.shingles
+    monkeypatch.setattr(substrings, "shingles", lambda h, d, n: (lambda out: (out[0] % np.uint64(5), out[1]))(real(h, d, n)))
+    import pyarrow as pa
+
+    table = pa.table({"id_": pa.array([1, 2]), "text_": ["a b c d e f", "x b c d e g"]})
+    chunk = substrings._Chunk(table, 3)
+    chunk.two = real(chunk.own, chunk.words.doc, 3)[0]
+    order, starts, first = chunk.groups(np.arange(len(chunk.one)))
+    assert len(starts) == 6 and sorted(first.tolist()) == [0, 1, 2, 3, 4, 7]
