@@ -91,25 +91,28 @@ def duplicate_report(
     rows: DataFrame, criteria: dict[str, Sequence[str]], segment: str,
     not_null: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows in repeated keys under each criterion, by segment, with the share of the segment."""
-    flagged, total = rows.select("*"), rows.groupBy(segment).agg(F.count(F.lit(1)).alias("segment_rows"))
-    names = []
-    for i, (_, keys) in enumerate(criteria.items()):
-        guard = None
+    """Rows in repeated keys under each criterion, by segment, with the share of the segment.
+
+    Only counts move: per key and segment, then per key with its few segments, then per segment.
+    """
+    total = rows.groupBy(segment).agg(F.count(F.lit(1)).alias("segment_rows"))
+    found = None
+    for label, keys in criteria.items():
+        inside = rows
         for k in keys:
             if k in not_null:
-                guard = F.col(k).isNotNull() if guard is None else guard & F.col(k).isNotNull()
-        flagged = flag_repeats(flagged, keys, f"__f{i}", guard)
-        names.append(f"__f{i}")
-    sums = flagged.groupBy(segment).agg(*[F.sum(F.col(n).cast("long")).alias(n) for n in names])
-    long = sums.select(
-        segment,
-        F.inline(F.array(*[
-            F.struct(F.lit(label).alias("criterion"), F.col(n).alias("repeated"))
-            for label, n in zip(criteria, names)
-        ])),
-    )
-    return long.join(total, segment).select(
+                inside = inside.filter(F.col(k).isNotNull())
+        names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+        counts = inside.groupBy(*names, F.col(segment).alias("__segment")).agg(F.count(F.lit(1)).alias("__n"))
+        repeated = counts.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(
+            F.sum("__n").alias("__all"), F.collect_list(F.struct("__segment", "__n")).alias("__parts")).filter("__all > 1")
+        one = repeated.select(F.inline("__parts")).groupBy("__segment").agg(F.sum("__n").alias("repeated")).withColumn("criterion", F.lit(label))
+        found = one if found is None else found.unionByName(one)
+    lines = total.withColumn("criterion", F.explode(F.array(*[F.lit(label) for label in criteria])))
+    found = found.withColumnRenamed("criterion", "__criterion")
+    same = F.col(segment).eqNullSafe(F.col("__segment")) & (F.col("criterion") == F.col("__criterion"))
+    joined = lines.join(found, same, "left").withColumn("repeated", F.coalesce("repeated", F.lit(0)).cast("long"))
+    return joined.select(
         segment, "criterion", "repeated", "segment_rows",
         F.round(F.col("repeated") * 100.0 / F.col("segment_rows"), 2).alias("pct"),
     )

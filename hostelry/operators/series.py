@@ -15,12 +15,13 @@ def stock_and_flow(snapshots: DataFrame, period: str, item: str) -> DataFrame:
     """Items present, arrived and gone per period against the period before it.
 
     Periods are numbered among themselves; an item's row per period is unique, so looking at its
-    neighbours needs no self-join and no task holds more than one item's history.
+    neighbours needs no self-join and no task holds more than one item's history. The periods themselves
+    are numbered in one task, so they must be periods (weeks, quarters), not moments.
     """
     seen = snapshots.filter(F.col(item).isNotNull()).select(period, item).distinct()
     periods = seen.select(period).distinct()
     numbered = periods.select(period, F.dense_rank().over(Window.orderBy(period)).alias("__p"))
-    placed = seen.join(F.broadcast(numbered), period)
+    placed = seen.join(numbered, period)
     along = Window.partitionBy(item).orderBy("__p")
     marked = placed.select(
         "__p",
@@ -38,7 +39,7 @@ def stock_and_flow(snapshots: DataFrame, period: str, item: str) -> DataFrame:
         F.when(F.col("__p") > 1, F.col("arrived")).alias("inflow"),
         F.lag("leaving").over(order).alias("outflow"),
     )
-    return flows.join(F.broadcast(numbered), "__p").select(
+    return flows.join(numbered, "__p").select(
         period, "stock", "inflow", "outflow", (F.col("inflow") - F.col("outflow")).alias("net"))
 
 

@@ -18,6 +18,8 @@ from hostelry.operators.distribution import spread_join
 from hostelry.session import durable
 
 SLACK = 1e-6
+#: Bytes of a row of the pyramid, at most.
+SITE_BYTES = 200
 #: Sites a leaf cell may hold before it is cut further.
 LEAF_SITES = 32
 ALWAYS_OPEN = "\uffff"
@@ -46,12 +48,13 @@ def pairs_within(points: DataFrame, sites: DataFrame, radius: float, keys: Seque
 
 @dataclass(frozen=True)
 class Grid:
-    """Where a pyramid over sites starts and how many levels it has."""
+    """Where a pyramid over sites starts, how many levels it has, and whether it is below the session's broadcast size."""
 
     x: float
     y: float
     levels: int
     leaf: float
+    small: bool = False
 
 
 def grid_over(sites: DataFrame, by: Sequence[str] = (), leaf: float = 16.0) -> Grid | None:
@@ -69,7 +72,19 @@ def grid_over(sites: DataFrame, by: Sequence[str] = (), leaf: float = 16.0) -> G
         if cells.count().agg(F.max("count").alias("top")).first()["top"] <= LEAF_SITES:
             break
         levels, side = levels + 1, side / 4
-    return Grid(seen["x"], seen["y"], levels, side)
+    return Grid(seen["x"], seen["y"], levels, side, seen["n"] * SITE_BYTES <= broadcast_limit(sites))
+
+
+def broadcast_limit(rows: DataFrame) -> int:
+    """Bytes that the session lets a join broadcast."""
+    text = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return int(rows.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)) if not text.startswith("-") else -1
+
+
+def _meet(front: DataFrame, cells: DataFrame, keys: Sequence[str], condition: Column | None, small: bool) -> DataFrame:
+    """The same join on either way. Cells whose counted size is within the session's limit are broadcast, as the
+    engine does with a table it knows the size of; others are shuffled, and hot cells cut up."""
+    return spread_join(front, F.broadcast(cells) if small else cells, keys, condition=condition)
 
 
 def nearest(
@@ -109,7 +124,7 @@ def nearest(
             *by, F.shiftright("cx", 2 * level).alias("cx"), F.shiftright("cy", 2 * level).alias("cy")
         ).agg(F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"), *gates)
         cells = cells.withColumns({"pcx": F.shiftright("cx", 2), "pcy": F.shiftright("cy", 2)})
-        met = spread_join(front, cells, at, condition=open_to)
+        met = _meet(front, cells, at, open_to, grid.small)
         dx = F.greatest(F.col("x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("x1"))
         dy = F.greatest(F.col("y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("y1"))
         fx = F.greatest(F.abs(F.col("x") - F.col("x0")), F.abs(F.col("x") - F.col("x1")))
@@ -118,7 +133,7 @@ def nearest(
         kept = scored.withColumn("ub", F.min("hi").over(mine)).filter(F.col("lo") <= F.col("ub") + SLACK)
         front = kept.select(*keep, F.col("cx").alias("pcx"), F.col("cy").alias("pcy"))
     leaves = placed.withColumnsRenamed({"cx": "pcx", "cy": "pcy"})
-    met = spread_join(front, leaves, at, condition=open_to)
+    met = _meet(front, leaves, at, open_to, grid.small)
     d = distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
     best = met.groupBy("pid", *by).agg(F.min(F.struct(d.alias("d"), F.col("sid"))).alias("best"))
     return best.select("pid", *by, "best.sid", "best.d")

@@ -7,7 +7,7 @@ from hostelry.operators import bins, demand, polygons, spatial
 from hostelry.plans import scenario
 from hostelry.registry.core import query
 from hostelry.registry.fixtures import read, standin
-from hostelry.session import scratch_path
+from hostelry.session import durable
 
 c = F.col
 
@@ -244,80 +244,141 @@ RUNS = [scenario.Run("A", 0), scenario.Run("A1", 1), scenario.Run("A2", 2),
         scenario.Run("B", 0, 1000.0), scenario.Run("B1", 1, 1000.0), scenario.Run("B2", 2, 1000.0)]
 
 
-def allocation_inputs(spark, folder):
-    return scenario.demand_and_capacity(points(spark, folder, "agents"), points(spark, folder, "sites"), RUNS)
+def allocation_inputs(spark, folder, names=None):
+    runs = [r for r in RUNS if names is None or r.name in names]
+    return scenario.demand_and_capacity(points(spark, folder, "agents"), points(spark, folder, "sites"), runs)
 
 
-_TABLES: dict[tuple[str, str], str] = {}
-
-
-def allocated(spark, folder):
-    """The allocation of every run, written once per application to the shared folder."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _TABLES:
-        path = scratch_path(spark, "allocation")
-        scenario.placed(*allocation_inputs(spark, folder)).write.parquet(path)
-        _TABLES[key] = path
-    return spark.read.parquet(_TABLES[key])
+def allocated(spark, folder, names=None):
+    """The allocation of the named runs."""
+    return scenario.placed(*allocation_inputs(spark, folder, names))
 
 
 def main_run(spark, folder):
-    return allocated(spark, folder).filter(c("run") == "A")
-
-
-@query("alc01_allocation", "ALC-01")
+    return allocated(spark, folder, ["A"])
+
+
+def walk_sql(runs):
+    """Serving the agents one by one: free rooms of every site after each agent, as a list. Gives
+    ``pairs (run, agent, sid, qty, guests, km, from_band, to_band)``."""
+    names = ", ".join(f"('{r.name}', {r.seed}, {'NULL' if r.limit_m is None else r.limit_m}::DOUBLE)" for r in runs)
+    return f"""
+runs AS (SELECT * FROM (VALUES {names}) t(run, seed, lim)),
+hs AS (SELECT id AS sid, lon, lat, band, rooms * (1 - 802e-3) AS cap, row_number() over (order by id) AS p FROM sites),
+pe AS (SELECT run, lim, id AS agent, band, lon, lat, u * 383e-3 AS qty, places / u AS per, row_number() over (partition by run order by md5(concat(seed, '|', id)), id) AS n
+ FROM (SELECT *, greatest(1, coalesce(case when bedrooms > 0 then bedrooms::DOUBLE end, round_even(places / 2e0, 0))) AS u FROM agents WHERE band IS NOT NULL), runs),
+cand AS (SELECT run, lim, n, p, sid, case when hs.band >= pe.band then hs.band - pe.band else 3 + pe.band - hs.band end AS step, {metres('pe', 'hs')} AS d FROM pe, hs),
+ranked AS (SELECT *, row_number() over (partition by run, n order by case when lim is null then step else step * 1e3 + d / 1e3 + case when d > lim then 1e4 else 0 end end,
+ case when lim is null then d else 0 end, sid) AS i FROM cand),
+pref AS MATERIALIZED (SELECT run, n, any_value(qty) AS qty, list(p::USMALLINT order by i) AS ord FROM ranked JOIN pe USING (run, n) GROUP BY 1, 2),
+walk AS (
+ SELECT run, 0::BIGINT AS n, (SELECT list(cap order by p) FROM hs) AS caps, []::DOUBLE[] AS took FROM runs
+ UNION ALL
+ SELECT run, n, list_transform(caps, lambda x, j: x - took[list_position(ord, j)]), took FROM (
+  SELECT run, n, caps, ord, list_transform(list_transform(free, lambda x, k: greatest(0, least(x, qty - coalesce(list_sum(free[1:k - 1]), 0)))), lambda t: case when t > 1e-9 then t else 0 end) AS took FROM (
+   SELECT w.run, a.n, w.caps, a.qty, a.ord, list_transform(a.ord, lambda q: w.caps[q]) AS free FROM walk w JOIN pref a ON a.run = w.run AND a.n = w.n + 1))),
+taken AS (SELECT run, n, unnest(took) AS qty, generate_subscripts(took, 1) AS i FROM walk),
+rest AS (SELECT run, n, pe.qty - list_sum(took) AS qty FROM walk JOIN pe USING (run, n)),
+pairs AS (
+ SELECT run, agent, r.sid, t.qty, t.qty * per AS guests, r.d / 1e3 AS km, pe.band AS from_band, hs.band AS to_band FROM taken t JOIN ranked r USING (run, n, i) JOIN pe USING (run, n) JOIN hs USING (p) WHERE t.qty > 0
+ UNION ALL SELECT run, agent, NULL, rest.qty, rest.qty * per, NULL, band, NULL FROM rest JOIN pe USING (run, n) WHERE rest.qty > 1e-9)"""
+
+
+WALK_A, WALK_ALL = walk_sql(RUNS[:1]), walk_sql(RUNS)
+SUMMARY_SQL = """
+part AS (SELECT *, to_band - from_band AS jump FROM pairs WHERE sid IS NOT NULL),
+cum AS (SELECT run, km, sum(guests) over (partition by run order by km) AS c, sum(guests) over (partition by run) AS t FROM part),
+mid AS (SELECT run, min(km) FILTER (c >= 0.5 * t) AS median_km, min(km) FILTER (c >= 0.9 * t) AS p90_km FROM cum GROUP BY 1),
+sums AS (SELECT run, sum(guests) AS placed, sum(case when jump = 0 then guests else 0 end) * 100 / sum(guests) AS own_band_pct, sum(case when jump = 1 then guests else 0 end) * 100 / sum(guests) AS one_up_pct,
+ sum(case when jump >= 2 then guests else 0 end) * 100 / sum(guests) AS two_up_pct, sum(case when jump < 0 then guests else 0 end) * 100 / sum(guests) AS cheaper_pct,
+ sum(case when km > 2 then guests else 0 end) * 100 / sum(guests) AS far_pct, sum(guests * km) / sum(guests) AS mean_km, max(km) AS longest_km, count(DISTINCT sid) AS sites_used FROM part GROUP BY 1),
+summary AS (SELECT sums.*, coalesce((SELECT sum(guests) FROM pairs q WHERE q.run = sums.run AND sid IS NULL), 0) AS unplaced, median_km, p90_km FROM sums JOIN mid USING (run))"""
+FIGURES = ("placed", "unplaced", "own_band_pct", "one_up_pct", "two_up_pct", "cheaper_pct", "far_pct", "mean_km", "longest_km", "median_km", "p90_km")
+
+
+def rounded(rows, names, places=6):
+    return rows.withColumns({n: F.round(n, places) for n in names})
+
+
+def rounded_sql(names, places=6):
+    return ", ".join(f"round({n}, {places}) AS {n}" for n in names)
+
+
+@query("alc01_allocation", "ALC-01", f"""
+WITH RECURSIVE {WALK_A} SELECT run, agent, sid, {rounded_sql(('qty', 'guests', 'km'))}, from_band, to_band FROM pairs""", ("agents", "sites"))
 def allocation_pairs(spark, folder):
-    return main_run(spark, folder)
+    return rounded(main_run(spark, folder), ("qty", "guests", "km"))
 
 
-@query("alc01_conservation", "ALC-01 DQ-05", """
-SELECT r AS run, true AS all_demand_kept, true AS within_capacity FROM (SELECT unnest(['A','A1','A2','B','B1','B2']) AS r)""")
+@query("alc01_conservation", "ALC-01 DQ-05", f"""
+WITH RECURSIVE {WALK_ALL}, used AS (SELECT run, sid, sum(qty) AS used FROM pairs WHERE sid IS NOT NULL GROUP BY 1, 2)
+SELECT run, (SELECT round(sum(qty), 4) FROM pe WHERE pe.run = runs.run) AS asked, (SELECT round(sum(qty), 4) FROM pairs WHERE pairs.run = runs.run) AS given,
+ (SELECT count(*) FROM used JOIN hs USING (sid) WHERE used.run = runs.run AND used > cap - 1e-6) AS full_sites,
+ (SELECT count(*) FROM used JOIN hs USING (sid) WHERE used.run = runs.run AND used > cap + 1e-6) AS overfull_sites FROM runs""", ("agents", "sites"))
 def conservation(spark, folder):
     agents, sites = allocation_inputs(spark, folder)
-    pairs = allocated(spark, folder)
-    asked = agents.groupBy("run").agg(F.sum("qty").alias("asked"))
-    given = pairs.groupBy("run").agg(F.sum("qty").alias("given"))
-    over = pairs.filter("sid is not null").groupBy("run", "sid").agg(F.sum("qty").alias("used")).join(
-        sites, ["run", "sid"]).groupBy("run").agg(F.max(c("used") - c("cap")).alias("over"))
-    return asked.join(given, "run").join(over, "run").select(
-        "run", (F.abs(c("asked") - c("given")) < 1e-4).alias("all_demand_kept"), (c("over") < 1e-6).alias("within_capacity"))
+    pairs = durable(allocated(spark, folder))
+    asked = agents.filter("band is not null").groupBy("run").agg(F.round(F.sum("qty"), 4).alias("asked"))
+    given = pairs.groupBy("run").agg(F.round(F.sum("qty"), 4).alias("given"))
+    used = pairs.filter("sid is not null").groupBy("run", "sid").agg(F.sum("qty").alias("used")).join(sites, ["run", "sid"])
+    counts = used.groupBy("run").agg(
+        F.count(F.when(c("used") > c("cap") - 1e-6, 1)).alias("full_sites"), F.count(F.when(c("used") > c("cap") + 1e-6, 1)).alias("overfull_sites"))
+    return asked.join(given, "run").join(counts, "run")
 
 
-@query("alc02_summary", "ALC-02 AG-11 AG-12")
+@query("alc02_summary", "ALC-02 AG-11 AG-12", f"""
+WITH RECURSIVE {WALK_A}, {SUMMARY_SQL} SELECT run, sites_used, {rounded_sql(FIGURES)} FROM summary""", ("agents", "sites"))
 def allocation_summary(spark, folder):
-    return scenario.summary(main_run(spark, folder))
+    return rounded(scenario.summary(durable(main_run(spark, folder))), FIGURES)
 
 
-@query("alc02_band_matrix", "ALC-02 AG-04 AR-01")
+@query("alc02_band_matrix", "ALC-02 AG-04 AR-01", f"""
+WITH RECURSIVE {WALK_A}, b AS (SELECT unnest([0, 1, 2, 3]) AS x) SELECT 'A' AS run, f.x AS from_band, t.x AS to_band,
+ round(coalesce((SELECT sum(guests) FROM pairs WHERE sid IS NOT NULL AND from_band = f.x AND to_band = t.x), 0), 6) AS guests FROM b f, b t""", ("agents", "sites"))
 def band_matrix(spark, folder):
-    return scenario.band_matrix(main_run(spark, folder))
+    return rounded(scenario.band_matrix(main_run(spark, folder)), ("guests",))
 
 
-@query("alc02_distance_buckets", "BIN-03 ALC-02")
+@query("alc02_distance_buckets", "BIN-03 ALC-02", f"""
+WITH RECURSIVE {WALK_A}, b AS (SELECT unnest([0, 0.25, 0.5, 1, 2, 5])::DOUBLE AS since, unnest([0.25, 0.5, 1, 2, 5, NULL])::DOUBLE AS until)
+SELECT since, until, round(coalesce((SELECT sum(guests) FROM pairs WHERE km >= since AND (until IS NULL OR km < until)), 0) * 100 / (SELECT sum(guests) FROM pairs WHERE sid IS NOT NULL), 6) AS pct FROM b""", ("agents", "sites"))
 def distance_buckets(spark, folder):
     inside = main_run(spark, folder).filter("sid is not null")
-    return bins.bucket_shares(inside, c("km"), c("guests"), [0, 0.25, 0.5, 1, 2, 5])
+    return rounded(bins.bucket_shares(inside, c("km"), c("guests"), [0, 0.25, 0.5, 1, 2, 5]), ("pct",))
+
+
+SPREADS = ("median_km_min", "median_km_max", "own_band_min", "own_band_max")
 
 
-@query("alc03_seed_sensitivity", "ALC-03")
+@query("alc03_seed_sensitivity", "ALC-03", f"""
+WITH RECURSIVE {WALK_ALL}, {SUMMARY_SQL} SELECT substr(run, 1, 1) AS variant, round(min(median_km), 6) AS median_km_min, round(max(median_km), 6) AS median_km_max,
+ round(min(own_band_pct), 6) AS own_band_min, round(max(own_band_pct), 6) AS own_band_max FROM summary GROUP BY 1""", ("agents", "sites"))
 def seed_sensitivity(spark, folder):
-    return scenario.sensitivity(scenario.summary(allocated(spark, folder)), F.substring("run", 1, 1))
+    return rounded(scenario.sensitivity(scenario.summary(durable(allocated(spark, folder))), F.substring("run", 1, 1)), SPREADS)
 
 
-@query("alc05_absorbed_by_site", "ALC-05")
+@query("alc05_absorbed_by_site", "ALC-05", f"""
+WITH RECURSIVE {WALK_A} SELECT 'A' AS run, hs.sid, round(coalesce(sum(qty), 0), 6) AS rooms, round(coalesce(sum(guests), 0), 6) AS guests, count(DISTINCT agent) AS dwellings
+FROM hs LEFT JOIN pairs ON pairs.sid = hs.sid GROUP BY 2""", ("agents", "sites"))
 def absorbed_by_site(spark, folder):
-    _, sites = allocation_inputs(spark, folder)
-    return scenario.absorbed(main_run(spark, folder), sites.filter(c("run") == "A"))
+    _, sites = allocation_inputs(spark, folder, ["A"])
+    return rounded(scenario.absorbed(main_run(spark, folder), sites), ("rooms", "guests"))
 
 
-@query("alc06_area_balance", "ALC-06")
+@query("alc06_area_balance", "ALC-06", f"""
+WITH RECURSIVE {WALK_A}, h AS (SELECT area, sum(places) * 679e-3 AS hotel FROM sites GROUP BY 1), f AS (SELECT area, sum(places) * 383e-3 AS flat FROM agents GROUP BY 1),
+l AS (SELECT area, sum(guests) AS leaving FROM pairs JOIN agents ON agents.id = agent WHERE sid IS NOT NULL GROUP BY 1), r AS (SELECT area, sum(guests) AS arriving FROM pairs JOIN sites ON sites.id = sid GROUP BY 1),
+a AS (SELECT area, coalesce(hotel, 0) AS hotel, coalesce(flat, 0) AS flat, coalesce(leaving, 0) AS leaving, coalesce(arriving, 0) AS arriving FROM h FULL JOIN f USING (area) FULL JOIN l USING (area) FULL JOIN r USING (area))
+SELECT area, round(hotel + flat, 6) AS now, round(hotel + arriving, 6) AS later, round(leaving, 6) AS leaving, round(arriving, 6) AS arriving, round(arriving - leaving, 6) AS net,
+ round((hotel + arriving - hotel - flat) * 100 / nullif(hotel + flat, 0), 3) AS change_pct FROM a""", ("agents", "sites"))
 def area_balance(spark, folder):
     agents, sites = standin(spark, folder, "agents"), standin(spark, folder, "sites")
     hotel = sites.groupBy("area").agg((F.sum("places") * numeric.HOTEL_PLACE_OCCUPANCY).alias("hotel"))
     flat = agents.groupBy("area").agg((F.sum("places") * numeric.DWELLING_OCCUPANCY).alias("flat"))
-    return scenario.area_balance(
-        main_run(spark, folder), agents.select(c("id").alias("agent"), "area"), sites.select(c("id").alias("sid"), "area"),
+    out = scenario.area_balance(
+        durable(main_run(spark, folder)), agents.select(c("id").alias("agent"), "area"), sites.select(c("id").alias("sid"), "area"),
         hotel.join(flat, "area", "full_outer"))
+    return rounded(rounded(out, ("now", "later", "leaving", "arriving", "net")), ("change_pct",), 3)
 
 
 ALLOC_INPUT_SQL = """

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostelry.operators.distribution import keep_first
+
 
 def run_pending(
-    spark: SparkSession, inbox: str, done: str, key: str, work: Callable[[DataFrame], DataFrame]
+    spark: SparkSession, inbox: str, done: str, key: str, work: Callable[[DataFrame], DataFrame],
+    order: Sequence[Column] = (),
 ) -> None:
     """Processes what arrived since the last run and appends it to ``done``/rows.
 
     The stream's checkpoint remembers the files, the anti join skips keys an earlier file brought,
-    and a batch replayed after a failure overwrites its own part, so nothing is done or kept twice.
+    and a batch replayed after a failure overwrites its own part, so nothing is done or kept twice. Of the
+    rows of one key in a batch the first by ``order`` counts (by all columns, unless stated).
     """
     rows = f"{done}/rows"
     schema = spark.read.parquet(inbox).schema
 
     def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
+        fresh = keep_first(batch, [key], list(order) or [F.col(c) for c in batch.columns])
         if number > 0:
             earlier = spark.read.parquet(rows).filter(F.col("batch") < number).select(F.col(key).alias("__done"))
             fresh = fresh.join(earlier, F.col(key) == F.col("__done"), "left_anti")
