@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from hostelry.llm.frames import per_document
 
 #: Remembered matches per worker, and the longest match (in bytes) that is merged in a batch.
-MEMO = 800_000
+MEMO = 250_000
 SHORT = 64
 _NONE = np.int64(1) << np.int64(62)
 _BITS = 24

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostelry.operators.distribution import attach
-from hostelry.session import durable
+from hostelry.session import discard, durable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars: each step hangs the larger neighbours, then the smaller ones, of every node
     on its smallest neighbour, which takes a number of steps that grows with the logarithm of a path's length. A
     node's neighbours are only ever reduced to their minimum, so a hub with many links is an aggregate and a join
-    that can be cut up. Each round is written to the shared folder.
+    that can be cut up. Each round is written to the shared folder,
+    and the round before it goes.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -27,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = attach(down, low, ["a"]).select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b")))).alias("e"))
-        edges = durable(small.select("e.a", "e.b").where("a <> b").distinct())
+        last, edges = edges, durable(small.select("e.a", "e.b").where("a <> b").distinct())
+        discard(last)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before:
             break

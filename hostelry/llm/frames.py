@@ -5,25 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters of text handled at once in a task. A longer text is handled alone.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+
+
+def ranges(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive entries whose sizes add up to about ``limit``."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``limit`` characters each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+    return ranges([len(t) for t in texts], limit)
+
+
+def text_slices(*columns: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[list[str]]]]:
+    """Parts of Arrow text columns (without nulls) as lists, with the row they begin at; only one part is ever unpacked."""
+    sizes = [sum(row) for row in zip(*(pc.binary_length(c).to_pylist() for c in columns), strict=True)]
+    for a, b in ranges(sizes, limit):
+        yield a, [c.slice(a, b - a).to_pylist() for c in columns]
 
 
 def per_document(
@@ -43,11 +56,10 @@ def per_document(
         function = start()
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            texts = column.to_pylist()
-            for a, b in chunks(texts):
-                made = function(texts[a:b])
+            for a, (texts,) in text_slices(column):
+                made = function(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).cast(arrow.field(0).type)] + [
+                    [ids.slice(a, len(texts)).cast(arrow.field(0).type)] + [
                         value.cast(f.type) if isinstance(value, pa.Array) else pa.array(value, type=f.type)
                         for value, f in zip(made, list(arrow)[1:], strict=True)],
                     schema=arrow)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostelry.llm.components import components
-from hostelry.llm.frames import chunks, per_document
+from hostelry.llm.frames import per_document, text_slices
 from hostelry.llm.words import mix, shingles, words_of
 from hostelry.operators.distribution import attach
 from hostelry.session import durable
@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
 #: Members of a block of a bucket, about, and characters of text that one call of a task verifies, about.
-BLOCK, GROUP_CHARS = 256, 4_000_000
+BLOCK, GROUP_CHARS = 256, 2_000_000
 
 _RANDOM = np.random.default_rng(77)
 _TIMES = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -143,15 +143,13 @@ def _verify_pairs(pairs: DataFrame, n: int, similarity: float, miss: float) -> D
         least = least_matches(similarity, miss)
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for low, high in chunks([x + y for x, y in zip(one, two, strict=True)]):
-                texts = list(dict.fromkeys(one[low:high] + two[low:high]))
+            for low, (one, two) in text_slices(batch.column(2), batch.column(3)):
+                texts = list(dict.fromkeys(one + two))
                 place = {t: i for i, t in enumerate(texts)}
                 sets = shingle_sets(texts, n)
                 signed = np.stack([signature(s) for s in sets])
                 keep = []
-                for i in range(low, high):
-                    x, y = place[one[i]], place[two[i]]
+                for i, (x, y) in enumerate(zip((place[t] for t in one), (place[t] for t in two), strict=True), low):
                     if len(survivors(signed[x], signed[y:y + 1], least)):
                         common = np.intersect1d(sets[x], sets[y], assume_unique=True).size
                         if reaches(common, len(sets[x]), len(sets[y]), percent):

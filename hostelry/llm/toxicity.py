@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostelry.llm.frames import chunks, per_document
+from hostelry.llm.frames import per_document, text_slices
 from hostelry.llm.words import LOWER, words_of
+from hostelry.session import durable
 
 #: Labelled rows used for fitting, at most (by the hash of the id), and terms of a lexicon, at most.
 MAX_LABELLED = 12_000
@@ -152,8 +153,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (remainder(id_col) % 3 != 1)).groupBy(
         F.col(id_col).alias("key_")).agg(F.max(label_col).cast("int").alias("label_"))
     picked = known.orderBy(F.xxhash64("key_"), "key_").limit(max_labelled)
-    return docs.select(F.col(id_col).alias("key_"), F.col(text_col).alias("text_")).join(picked, "key_").select(
+    found = docs.select(F.col(id_col).alias("key_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(picked, "key_").select(
         F.struct("key_", "label_", (remainder("key_") / 3).cast("long").alias("part_")).alias("label"), "text_")
+    return durable(found)  # a bounded sample, read four times
 
 
 def learn_lexicons(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[int, Lexicon]:
@@ -165,19 +167,25 @@ def learn_lexicons(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[int, Lex
 
     def count(batches):
         for batch in batches:
-            info, column = batch.column(0), batch.column(1).to_pylist()
+            info = batch.column(0)
             label = np.array(info.field("label_").to_pylist(), np.int64)
             fold = np.array(info.field("part_").to_pylist(), np.int64) // 4 % 2
-            for a, b in chunks([t or "" for t in column]):
-                tokens = words_of([t or "" for t in column[a:b]], lower=True, blank=~_LETTERS)
+            for a, (texts,) in text_slices(batch.column(1)):
+                tokens = words_of(texts, lower=True, blank=~_LETTERS)
                 keys, owner = [], []
                 for hashes, owners in _terms(tokens):
-                    pair = np.unique(np.stack([hashes, tokens.doc[owners].astype(np.uint64)], axis=1), axis=0)
-                    keys.append(pair[:, 0])
-                    owner.append(pair[:, 1].astype(np.int64) + a)
+                    order = np.lexsort((hashes, tokens.doc[owners]))
+                    term, doc = hashes[order], tokens.doc[owners[order]]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+                    keys.append(term[new])
+                    owner.append(doc[new] + a)
                 keys, owner = np.concatenate(keys), np.concatenate(owner)
                 group = label[owner] * 2 + fold[owner]
-                terms, where = np.unique(keys, return_inverse=True)
+                order = np.argsort(keys)
+                terms, new = keys[order], np.ones(len(keys), bool)
+                new[1:] = terms[1:] != terms[:-1]
+                terms, where, group = terms[new], np.cumsum(new) - 1, group[order]
                 counts = np.stack([np.bincount(where[group == g], minlength=len(terms)) for g in range(4)], axis=1)
                 for f in (0, 1):
                     some = counts[:, f] + counts[:, 2 + f] > 0
