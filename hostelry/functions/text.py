@@ -103,7 +103,9 @@ def strip_accents(text: Column, form: str = "NFD") -> Column:
     """
     marked, plain, several = _accent_pairs(form)
     single = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), marked, plain)
-    letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(lookup(several), c), c))
+    pairs = "\x01".join(f"{k}\x02{v}" for k, v in several.items())  # one literal, folded to a map once
+    bases = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
+    letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(bases, c), c))
     opened = F.when(single.rlike("[" + "".join(several) + "]"), F.array_join(letters, "")).otherwise(single)
     return F.when(F.length(text) == F.octet_length(text), text).otherwise(opened)
 
