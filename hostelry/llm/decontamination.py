@@ -1,14 +1,13 @@
 """Training passages that copy benchmark items, also edited or paraphrased.
 
 1. Word n-grams of the items are looked up in every document, through a bit table of fixed size that lets every
-   true hit pass. A document's hits stay together with its text, which goes on only if it has several.
-2. How many documents have an n-gram says how rare it is. An item is found by its rare ones: those in at most
-   ``common`` of all documents, or in at most four times as many as the item's median one, so an item copied into
-   a large share of the corpus keeps its seeds too.
-3. Documents join items on rare seeds. A pair with two seeds or more close to one diagonal is aligned word by word
-   (Smith-Waterman, batches in numpy): 2 for the same word, 1 for the same first four letters, -1 for another word
-   or a gap. The score is the best local alignment over that of the whole item; from ``threshold`` on the document
-   counts as contaminated.
+   true hit pass. Hits closer than the longest item form a passage, which goes on with its words and, on both sides,
+   as many more as an alignment can reach. Equal passages are handled once, however many documents have them.
+2. Passages join items on all seeds: how common a seed is leaves no pair out. Join rows grow with the passages that
+   have a seed times the items that have it.
+3. A pair with two seeds or more close to one diagonal is aligned word by word (Smith-Waterman, batches in numpy):
+   2 for the same word, 1 for the same first four letters, -1 for another word or a gap. The score is the best local
+   alignment over that of the whole item; from ``threshold`` on the document counts as contaminated.
 
 Words are runs of letters and digits in lower case (A-Z), so changed punctuation changes nothing.
 
@@ -35,7 +34,6 @@ from hostelry.session import durable
 
 SEED = 3
 THRESHOLD = 0.5
-COMMON = 1e-4
 #: Bits of the table of seeds; more seeds let more false hits pass, which the join then drops.
 BITS = 1 << 23
 #: Diagonals this close belong to one alignment, and words read beyond its ends.
@@ -50,7 +48,7 @@ def tokens(texts: list[str]) -> Words:
 
 
 def seeds_of(items: DataFrame, text_col: str, n: int) -> DataFrame:
-    """``key_, seed_, at_``: the n-grams of each item, at their first place."""
+    """``key_, seed_, at_, last_``: the n-grams of each item, at their first place, and their last place."""
     def start():
         def function(texts):
             words = tokens(texts)
@@ -63,7 +61,8 @@ def seeds_of(items: DataFrame, text_col: str, n: int) -> DataFrame:
 
     kind = T.ArrayType(T.StructType([T.StructField("seed_", T.LongType()), T.StructField("at_", T.IntegerType())]))
     found = per_document(items, "key_", text_col, [T.StructField("seeds_", kind)], start)
-    return found.select("key_", F.explode("seeds_").alias("s")).groupBy("key_", F.col("s.seed_").alias("seed_")).agg(F.min("s.at_").alias("at_"))
+    return found.select("key_", F.explode("seeds_").alias("s")).groupBy("key_", F.col("s.seed_").alias("seed_")).agg(
+        F.min("s.at_").alias("at_"), F.max("s.at_").alias("last_"))
 
 
 def bit_table(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -77,8 +76,12 @@ def bit_table(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little")
 
 
-def _hits(docs: DataFrame, table: np.ndarray, n: int) -> DataFrame:
-    """``key_, id_, text_, hits_`` of documents with a hit. The text is kept where two hits or more are."""
+def _passages(docs: DataFrame, table: np.ndarray, n: int, reach: int, least: int) -> DataFrame:
+    """``key_, id_, text_, hits_`` of passages: hits at most ``reach`` words apart, with as many words on both sides.
+
+    Places are those in the passage. Hits further apart never belong to one alignment, so a passage with hits at fewer
+    than ``least`` places is in no pair.
+    """
     packed = np.packbits(table).tobytes()
     size = len(table)
 
@@ -90,20 +93,25 @@ def _hits(docs: DataFrame, table: np.ndarray, n: int) -> DataFrame:
             hashes, at = shingles(words.hashes(), words.doc, n)
             # the remainder of the signed value, as the table has it
             hit = np.flatnonzero(known[hashes.view(np.int64) % size])
-            doc = words.doc[at[hit]]
-            cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-            out, kept = [], []
-            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                out.append([{"seed_": int(h), "at_": int(p)} for h, p in zip(
-                    hashes[hit[a:b]].view(np.int64), at[hit[a:b]] - words.first[i], strict=True)])
-                kept.append(texts[i] if b > a else None)
-            return [kept, out]
+            doc, place, seed = words.doc[at[hit]], at[hit], hashes[hit].view(np.int64)
+            cuts = np.flatnonzero((np.diff(doc) > 0) | (np.diff(place) > reach)) + 1
+            out = [[] for _ in texts]
+            for a, b in zip([0, *cuts], [*cuts, len(hit)], strict=True):
+                if b == a or b - a < least:
+                    continue
+                first = max(words.first[doc[a]], place[a] - reach)
+                last = min(words.first[doc[a] + 1], place[b - 1] + n + reach) - 1
+                out[doc[a]].append({
+                    "text_": words.raw[words.start[first]:words.end[last]].decode("utf-8", "surrogatepass"),
+                    "hits_": [{"seed_": int(h), "at_": int(p)} for h, p in zip(seed[a:b], place[a:b] - first, strict=True)]})
+            return [out]
 
         return function
 
-    kind = T.ArrayType(T.StructType([T.StructField("seed_", T.LongType()), T.StructField("at_", T.IntegerType())]))
-    return per_document(docs, "id_", "text_", [T.StructField("kept_", T.StringType()), T.StructField("hits_", kind)], start).where(
-        F.size("hits_") > 0).select(F.xxhash64("id_", "kept_").alias("key_"), "id_", F.col("kept_").alias("text_"), "hits_")
+    hits = T.ArrayType(T.StructType([T.StructField("seed_", T.LongType()), T.StructField("at_", T.IntegerType())]))
+    kind = T.ArrayType(T.StructType([T.StructField("text_", T.StringType()), T.StructField("hits_", hits)]))
+    found = per_document(docs, "id_", "text_", [T.StructField("passages_", kind)], start)
+    return found.select("id_", F.inline("passages_")).select(F.xxhash64("text_").alias("key_"), "id_", "text_", "hits_")
 
 
 def align(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -151,31 +159,26 @@ def _item_words(text: str) -> np.ndarray:
 
 def find(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text: str = "text", n: int = SEED, threshold: float = THRESHOLD, common: float = COMMON,
+    item_text: str = "text", n: int = SEED, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """``id, item, score, seeds``: one row per contaminated document and item."""
+    """``id, item, score, seeds``: one row per contaminated document and item. ``seeds``: the most that a passage shares."""
     items = durable(benchmark.select(F.col(item_col).alias("item_"), F.coalesce(F.col(item_text), F.lit("")).alias("item_text_")).distinct().withColumn(
         "key_", F.xxhash64("item_", "item_text_")))
     seeds = durable(seeds_of(items, "item_text_", n))
     slim = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    hits = durable(_hits(slim, bit_table(seeds), n))
-    limit = int(common * slim.count()) + 1
-
-    # rare seeds of each item
-    each = hits.select("key_", "id_", F.explode("hits_").alias("h")).select("key_", F.col("h.seed_").alias("seed_"), F.col("h.at_").alias("place_"))
-    spread = hits.select(F.explode(F.array_distinct(F.transform("hits_", lambda h: h["seed_"]))).alias("seed_")).groupBy("seed_").agg(
-        F.count("*").alias("documents_"))
-    counted = attach(seeds, spread, ["seed_"]).withColumn("documents_", F.coalesce("documents_", F.lit(0)))
-    usual = counted.groupBy("key_").agg(F.median("documents_").alias("median_"), F.count("*").alias("n_seeds_"))
-    rare = attach(counted, usual, ["key_"]).where((F.col("documents_") <= limit) | (F.col("documents_") <= 4 * F.col("median_"))).select(
-        "seed_", F.col("key_").alias("item_key_"), F.col("at_").alias("item_at_"), F.least(F.lit(2), "n_seeds_").alias("need_"))
-
-    pairs = spread_join(each, rare, ["seed_"]).groupBy("key_", "item_key_").agg(
+    usual = seeds.groupBy("key_").agg(F.least(F.lit(2), F.count("*")).alias("need_"))
+    bounds = seeds.agg(F.max("last_").alias("last")).crossJoin(usual.agg(F.min("need_").alias("least"))).first()
+    reach = (bounds.last or 0) + n + SLACK
+    hits = durable(_passages(slim, bit_table(seeds), n, reach, bounds.least or 1))
+
+    once = hits.dropDuplicates(["key_"])
+    each = once.select("key_", F.explode("hits_").alias("h")).select("key_", F.col("h.seed_").alias("seed_"), F.col("h.at_").alias("place_"))
+    wanted = attach(seeds, usual, ["key_"]).select("seed_", F.col("key_").alias("item_key_"), F.col("at_").alias("item_at_"), "need_")
+    pairs = spread_join(each, wanted, ["seed_"]).groupBy("key_", "item_key_").agg(
         F.count_distinct("seed_").alias("seeds_"), F.max("need_").alias("need_"),
         F.collect_list(F.struct("place_", "item_at_")).alias("places_")).where(F.col("seeds_") >= F.col("need_"))
-    texts = hits.dropDuplicates(["key_"]).select("key_", "id_", "text_")
-    full = attach(attach(pairs, texts, ["key_"]), items.select(F.col("key_").alias("item_key_"), "item_", "item_text_"), ["item_key_"])
-    schema = T.StructType([full.schema["id_"], full.schema["item_"], T.StructField("score", T.DoubleType()), T.StructField("seeds", T.LongType())])
+    full = attach(attach(pairs, once.select("key_", "text_"), ["key_"]), items.select(F.col("key_").alias("item_key_"), "item_", "item_text_"), ["item_key_"])
+    schema = T.StructType([full.schema["key_"], full.schema["item_"], T.StructField("score", T.DoubleType()), T.StructField("seeds", T.LongType())])
 
     def run(batches):
         for batch in batches:
@@ -204,10 +207,10 @@ def find(
                     np.maximum.at(score, [owner[k] for k in part], best / (2 * np.array([len(one[k]) for k in part])))
             keep = np.flatnonzero(score >= threshold)
             yield pa.RecordBatch.from_arrays([
-                rows["id_"].take(pa.array(keep)), rows["item_"].take(pa.array(keep)), pa.array(score[keep]),
-                pa.array([seen[i] for i in keep], pa.int64())], ["id_", "item_", "score", "seeds"])
+                rows["key_"].take(pa.array(keep)), rows["item_"].take(pa.array(keep)), pa.array(score[keep]),
+                pa.array([seen[i] for i in keep], pa.int64())], ["key_", "item_", "score", "seeds"])
 
-    return full.mapInArrow(run, schema).groupBy(F.col("id_").alias(id_col), F.col("item_").alias(item_col)).agg(
+    return spread_join(hits.select("key_", "id_"), full.mapInArrow(run, schema), ["key_"]).groupBy(F.col("id_").alias(id_col), F.col("item_").alias(item_col)).agg(
         F.max("score").alias("score"), F.max("seeds").alias("seeds"))
 
 

@@ -106,3 +106,15 @@ def test_every_verbatim_passage_of_the_tables_is_found(spark):
     want = {(r.doc_id, i) for r in docs.collect() for i, t in texts.items() if t in f" {' '.join(r.text.split())} "}
     assert want and want <= got
     assert len({d for d, _ in got}) < 0.05 * docs.count()
+
+
+@pytest.mark.parametrize("copies", [2, 2000])
+def test_an_edited_copy_that_many_documents_share_is_found_in_all(spark, copies):
+    rng = random.Random(11)
+    item = [f"w{i}q" for i in range(39)]
+    edited = " ".join(w if k % 4 != 3 else f"other{k}" for k, w in enumerate(item))
+    pad = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60))) for _ in range(copies + 300)]
+    docs = [(i, f"{t} {edited} {t}" if i < copies else t) for i, t in enumerate(pad)]
+    got = run(spark, docs, [(0, " ".join(item))])
+    assert set(got) == {(i, 0) for i in range(copies)}
+    assert set(got.values()) == {plain_align(item, edited.split()) / (2 * len(item))}
