@@ -15,7 +15,8 @@ c = F.col
 TABLE = pm.Table("id", "price", ["quantity", "discount", "tax", "size", "retail"], ["flag", "kind", "brand", "segment"])
 
 
-# One number and plain least squares: SQL can say the same in closed form.
+# One number and plain least squares: SQL can say the same in closed form. These twins check the plans; the whole jobs,
+# over all columns of TABLE, are the ``_full`` queries beside them.
 ONE = pm.Table("id", "price", ["quantity"], [])
 
 
@@ -23,6 +24,22 @@ def least_squares():
     return LinearRegression(regParam=0.0, solver="normal")
 
 
+def each_learner(run):
+    """``run`` of every learner of the catalogue, with its name; a learner's rows are written before the next one's plan."""
+    parts = None
+    for name, (learner, _) in pm.learners().items():
+        part = durable(run(learner).withColumn("learner", F.lit(name)))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def cut_errors(scored):
+    """Error by segment, flag and kind."""
+    parts = [error_report(scored, cut, "price", "prediction").withColumnRenamed(cut, "label").withColumn("cut", F.lit(cut))
+             for cut in ("segment", "flag", "kind")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def lines(spark, folder):
     """Order lines with part and customer columns; one part of the numbers and prices is missing."""
     rows = read(spark, folder, "lineitem").join(read(spark, folder, "part"), c("l_partkey") == c("p_partkey")).join(
@@ -91,6 +108,12 @@ def cross_validation(spark, folder):
     return pm.cross_validated(lines(spark, folder), ONE, least_squares()).select("fold", F.round("mae", 3).alias("mae"), "rows")
 
 
+@query("ml03_full_cross_validation", "ML-03")
+def full_cross_validation(spark, folder):
+    rows = durable(lines(spark, folder))
+    return each_learner(lambda learner: pm.cross_validated(rows, TABLE, learner))
+
+
 @query("ml04_model_search", "ML-04", f"""
 WITH {LINES_SQL}, {folds_sql([42])}, g AS (SELECT unnest([0.001, 0.01, 0.1, 1.0])::DOUBLE AS reg),
 t AS (SELECT reg, f, any_value(m.med) AS med, regr_slope(ln(1 + price), coalesce(quantity, m.med)) AS s0, avg(ln(1 + price)) AS ym, avg(coalesce(quantity, m.med)) AS xm,
@@ -105,6 +128,13 @@ def model_search(spark, folder):
         [(n, round(e, 1), best.getRegParam()) for n, e, _, best in report], "learner string, mae double, reg double")
 
 
+@query("ml04_full_model_search", "ML-04")
+def full_model_search(spark, folder):
+    """Every learner with 20 draws from its grid (ridge: all four settings), over all columns."""
+    report = pm.search(lines(spark, folder), TABLE, pm.learners())
+    return spark.createDataFrame([(n, e, p) for n, e, p, _ in report], "learner string, mae double, params string")
+
+
 @query("ml05_repeated_cross_validation", "ML-05", f"""
 WITH {LINES_SQL}, {folds_sql(range(5))}, e AS (SELECT seed, fold, avg(abs(p - price)) AS mae FROM oof GROUP BY 1, 2)
 SELECT round(avg(mae), 3) AS mean, round(stddev_pop(mae), 3) AS spread, round(max(mae), 3) AS worst, round(min(mae), 3) AS best, count(*) AS folds FROM e""")
@@ -113,18 +143,28 @@ def repeated_cross_validation(spark, folder):
         *[F.round(x, 3).alias(x) for x in ("mean", "spread", "worst", "best")], "folds")
 
 
+@query("ml05_full_repeated_cross_validation", "ML-05")
+def full_repeated_cross_validation(spark, folder):
+    rows = durable(lines(spark, folder))
+    return each_learner(lambda learner: pm.repeated(rows, TABLE, learner))
+
+
 @query("ml06_out_of_fold", "ML-06 AG-30", f"""
 WITH {LINES_SQL}, {folds_sql([42])}, u AS (SELECT 'segment' AS cut, segment AS label, price, p FROM oof UNION ALL SELECT 'flag', flag, price, p FROM oof UNION ALL SELECT 'kind', kind, price, p FROM oof)
 SELECT cut, label, count(*) AS rows, round(avg(abs(p - price)), 3) AS mae, round(avg(p - price), 3) AS bias, round(median(price), 3) AS median_actual,
  round(avg(abs(p - price)) * 100 / median(price), 3) AS mape FROM u GROUP BY 1, 2""")
 def out_of_fold(spark, folder):
     scored = durable(pm.out_of_fold(lines(spark, folder), ONE, least_squares()))
-    parts = [error_report(scored, cut, "price", "prediction").withColumnRenamed(cut, "label").withColumn("cut", F.lit(cut))
-             for cut in ("segment", "flag", "kind")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+    return cut_errors(scored).select(
         "cut", "label", "rows", *[F.round(x, 3).alias(x) for x in ("mae", "bias", "median_actual", "mape")])
 
 
+@query("ml06_full_out_of_fold", "ML-06 AG-30")
+def full_out_of_fold(spark, folder):
+    rows = durable(lines(spark, folder))
+    return each_learner(lambda learner: cut_errors(durable(pm.out_of_fold(rows, TABLE, learner))))
+
+
 @query("ml07_block_importance", "ML-07", f"""
 WITH {LINES_SQL}, k AS (SELECT *, {fold_sql(42)} AS part FROM lines WHERE price IS NOT NULL),
 t AS (SELECT (SELECT median(quantity) FROM k WHERE part <> 0) AS med, regr_slope(ln(1 + price), coalesce(quantity, (SELECT median(quantity) FROM k WHERE part <> 0))) AS slope,
@@ -144,6 +184,17 @@ def block_importance(spark, folder):
     return out.select("block", "columns", F.round("mae", 2).alias("mae"), (F.round("lost", 2) + F.lit(0.0)).alias("lost"))
 
 
+#: Columns shuffled together, then every column by itself.
+BLOCKS = {"amount": ["quantity", "discount", "tax"], "part": ["size", "retail", "kind", "brand"], "order": ["flag", "segment"]} | {
+    f"{name} alone": [name] for name in [*TABLE.numeric, *TABLE.categorical]}
+
+
+@query("ml07_full_block_importance", "ML-07")
+def full_block_importance(spark, folder):
+    seen, held = pm.split(durable(lines(spark, folder)), "id")
+    return each_learner(lambda learner: pm.importance(held, pm.fit(seen, TABLE, learner), BLOCKS))
+
+
 @query("ml08_one_model_or_many", "ML-08", f"""
 WITH {LINES_SQL}, a AS (SELECT * FROM lines WHERE flag = 'A'), n AS (SELECT * FROM lines WHERE flag = 'N'), r AS (SELECT * FROM lines WHERE flag = 'R'),
 {folds_sql([42])}, {folds_sql([42], 'a', 'oa')}, {folds_sql([42], 'n', 'ona')}, {folds_sql([42], 'r', 'ora')},
@@ -154,6 +205,12 @@ def one_model_or_many(spark, folder):
     return out.select("flag", F.round("one_model", 3).alias("one_model"), "rows", F.round("own_model", 3).alias("own_model"))
 
 
+@query("ml08_full_one_model_or_many", "ML-08")
+def full_one_model_or_many(spark, folder):
+    rows = durable(lines(spark, folder))
+    return each_learner(lambda learner: pm.one_or_many(rows, TABLE, learner, "flag", ["A", "N", "R"]))
+
+
 @query("ml09_filled_prices", "ML-09", f"""
 WITH {LINES_SQL}, {folds_sql(range(5))}, e AS (SELECT avg(mae) AS mae FROM (SELECT avg(abs(p - price)) AS mae FROM oof GROUP BY seed, fold)),
 k AS (SELECT *, (SELECT median(quantity) FROM lines WHERE price IS NOT NULL) AS med FROM lines),
@@ -166,6 +223,13 @@ def filled_prices(spark, folder):
         F.count("*").alias("rows"), F.count("final").alias("priced"), F.round(F.avg("final"), 1).alias("mean_final"), F.max("model_mae").alias("model_mae"))
 
 
+@query("ml09_full_filled_prices", "ML-09")
+def full_filled_prices(spark, folder):
+    """Filled by the winner of the whole search, one row per order line."""
+    out = pm.estimate(durable(lines(spark, folder)), TABLE, pm.learners())
+    return out.select("id", "price", "estimated", "final", "model_mae")
+
+
 @query("ml11_host_imputation", "ML-11 SJ-07", f"""
 WITH u AS (SELECT * FROM agents WHERE price IS NULL), k AS (SELECT * FROM agents WHERE price IS NOT NULL),
 e AS (SELECT u.id, min({metres('u', 'k')}) >= 150 AS far FROM u JOIN k USING (host_id) GROUP BY u.id)
