@@ -1,16 +1,20 @@
 """Training passages that copy benchmark items, also edited or paraphrased.
 
-1. Word n-grams of the items are looked up in every document, through a bit table of fixed size that lets every
+1. Word n-grams of the items, of whole words and of first four letters, are looked up in every document, through a bit table of fixed size that lets every
    true hit pass. Hits closer than the longest item form a passage, which goes on with its words and, on both sides,
    as many more as an alignment can reach. Equal passages are handled once, however many documents have them.
 2. Passages join items on all seeds: how common a seed is leaves no pair out. Join rows grow with the passages that
    have a seed times the items that have it.
-3. A pair with two seeds or more close to one diagonal is aligned word by word (Smith-Waterman, batches in numpy):
+3. A pair with two seeds of whole words close to one diagonal, or with a quarter of the item's seeds, is aligned word by word (Smith-Waterman, batches in numpy):
    2 for the same word, 1 for the same first four letters, -1 for another word or a gap. The score is the best local
    alignment over that of the whole item; from ``threshold`` on the document counts as contaminated.
 
 Words are runs of letters and digits in lower case (A-Z), so changed punctuation changes nothing.
 
+Limit: a copy is never aligned, whatever it would score, without two places where ``n`` words in a row are the same, or a
+quarter of the item's places where they keep their first four letters and differ in them from each other (every third
+word replaced by an unlike one, say). A seed that an item repeats counts at its first place.
+
 Cases: null and empty texts match nothing; items with fewer words than a seed are never found; repeated rows of
 either table give one row per document and item id, with the best score; null ids are ids; extra columns are not
 read; an empty table on either side gives an empty table; very long texts are searched whole.
@@ -28,17 +32,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostelry.llm.frames import per_document
-from hostelry.llm.words import BLANK, Words, shingles, words_of
+from hostelry.llm.words import BLANK, Words, mix, shingles, words_of
 from hostelry.operators.distribution import attach, spread_join
 from hostelry.session import durable
 
 SEED = 3
 THRESHOLD = 0.5
+#: Without enough seeds of whole words, one place in so many of the item must be hit: texts can share beginnings by chance.
+BEGUN_SHARE = 4
 #: Bits of the table of seeds; more seeds let more false hits pass, which the join then drops.
 BITS = 1 << 23
 #: Diagonals this close belong to one alignment, and words read beyond its ends.
 SLACK = 12
 
+#: Keeps seeds of beginnings apart from those of whole words, also where all words are short.
+_BEGUN = np.uint64(0x5851F42D4C957F2D)
 _NO_WORD = BLANK.copy()
 _NO_WORD[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
@@ -47,21 +55,36 @@ def tokens(texts: list[str]) -> Words:
     return words_of(texts, lower=True, blank=_NO_WORD)
 
 
+def _seeds(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and first words of all windows, in order of place, and which are of whole words; the others are of
+    beginnings, if no two are the same."""
+    whole, at = shingles(words.hashes(), words.doc, n)
+    begins = words.hashes(4)
+    begun, _ = shingles(begins, words.doc, n)
+    apart = np.ones(len(at), bool)
+    for i in range(n):
+        for j in range(i):
+            apart &= begins[at + i] != begins[at + j]
+    keep = np.stack([np.ones(len(at), bool), apart], axis=1).ravel()
+    return np.stack([whole, mix(begun + _BEGUN)], axis=1).ravel()[keep], np.repeat(at, 2)[keep], np.tile([True, False], len(at))[keep]
+
+
 def seeds_of(items: DataFrame, text_col: str, n: int) -> DataFrame:
-    """``key_, seed_, at_, last_``: the n-grams of each item, at their first place, and their last place."""
+    """``key_, seed_, whole_, at_, last_``: the n-grams of each item, at their first place, and their last place."""
     def start():
         def function(texts):
             words = tokens(texts)
-            hashes, at = shingles(words.hashes(), words.doc, n)
+            hashes, at, whole = _seeds(words, n)
             cuts = np.searchsorted(at, words.first)
-            return ([[{"seed_": int(h), "at_": int(p)} for h, p in zip(hashes[a:b].view(np.int64), at[a:b] - first, strict=True)]
+            return ([[{"seed_": int(h), "at_": int(p), "whole_": bool(w)}
+                      for h, p, w in zip(hashes[a:b].view(np.int64), at[a:b] - first, whole[a:b], strict=True)]
                      for a, b, first in zip(cuts[:-1], cuts[1:], words.first[:-1], strict=True)],)
 
         return function
 
-    kind = T.ArrayType(T.StructType([T.StructField("seed_", T.LongType()), T.StructField("at_", T.IntegerType())]))
+    kind = T.ArrayType(T.StructType([T.StructField("seed_", T.LongType()), T.StructField("at_", T.IntegerType()), T.StructField("whole_", T.BooleanType())]))
     found = per_document(items, "key_", text_col, [T.StructField("seeds_", kind)], start)
-    return found.select("key_", F.explode("seeds_").alias("s")).groupBy("key_", F.col("s.seed_").alias("seed_")).agg(
+    return found.select("key_", F.explode("seeds_").alias("s")).groupBy("key_", F.col("s.seed_").alias("seed_"), F.col("s.whole_").alias("whole_")).agg(
         F.min("s.at_").alias("at_"), F.max("s.at_").alias("last_"))
 
 
@@ -90,14 +113,14 @@ def _passages(docs: DataFrame, table: np.ndarray, n: int, reach: int, least: int
 
         def function(texts):
             words = tokens(texts)
-            hashes, at = shingles(words.hashes(), words.doc, n)
+            hashes, at, _ = _seeds(words, n)
             # the remainder of the signed value, as the table has it
             hit = np.flatnonzero(known[hashes.view(np.int64) % size])
             doc, place, seed = words.doc[at[hit]], at[hit], hashes[hit].view(np.int64)
             cuts = np.flatnonzero((np.diff(doc) > 0) | (np.diff(place) > reach)) + 1
             out = [[] for _ in texts]
             for a, b in zip([0, *cuts], [*cuts, len(hit)], strict=True):
-                if b == a or b - a < least:
+                if b == a or len(np.unique(place[a:b])) < least:
                     continue
                 first = max(words.first[doc[a]], place[a] - reach)
                 last = min(words.first[doc[a] + 1], place[b - 1] + n + reach) - 1
@@ -140,13 +163,13 @@ def align(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def windows(at: np.ndarray, item_at: np.ndarray, size: int, need: int) -> list[tuple[int, int]]:
-    """Parts of a document, in words, where seeds of an item lie close to one diagonal."""
+def windows(at: np.ndarray, item_at: np.ndarray, whole: np.ndarray, size: int, need: int, many: int) -> list[tuple[int, int]]:
+    """Parts of a document, in words, where seeds of an item lie close to one diagonal: ``need`` of whole words, or ``many`` of any kind."""
     diagonal = at - item_at
     order = np.argsort(diagonal, kind="stable")
     out = []
     for group in np.split(order, np.flatnonzero(np.diff(diagonal[order]) > SLACK) + 1):
-        if len(np.unique(item_at[group])) >= need:
+        if len(np.unique(item_at[group][whole[group]])) >= need or len(np.unique(item_at[group])) >= many:
             out.append((max(0, int(diagonal[group].min()) - SLACK), int(diagonal[group].max()) + size + SLACK))
     return out
 
@@ -161,29 +184,33 @@ def find(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", n: int = SEED, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """``id, item, score, seeds``: one row per contaminated document and item. ``seeds``: the most that a passage shares."""
+    """``id, item, score, seeds``: one row per contaminated document and item. ``seeds``: the most places of the item that a passage hits."""
     items = durable(benchmark.select(F.col(item_col).alias("item_"), F.coalesce(F.col(item_text), F.lit("")).alias("item_text_")).distinct().withColumn(
         "key_", F.xxhash64("item_", "item_text_")))
     seeds = durable(seeds_of(items, "item_text_", n))
     slim = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    usual = seeds.groupBy("key_").agg(F.least(F.lit(2), F.count("*")).alias("need_"))
+    places = F.count_distinct("at_")
+    usual = seeds.groupBy("key_").agg(
+        F.least(F.lit(2), places).alias("need_"), F.greatest(F.least(F.lit(2), places), F.ceil(places / BEGUN_SHARE)).alias("many_"))
     bounds = seeds.agg(F.max("last_").alias("last")).crossJoin(usual.agg(F.min("need_").alias("least"))).first()
     reach = (bounds.last or 0) + n + SLACK
     hits = durable(_passages(slim, bit_table(seeds), n, reach, bounds.least or 1))
 
     once = hits.dropDuplicates(["key_"])
     each = once.select("key_", F.explode("hits_").alias("h")).select("key_", F.col("h.seed_").alias("seed_"), F.col("h.at_").alias("place_"))
-    wanted = attach(seeds, usual, ["key_"]).select("seed_", F.col("key_").alias("item_key_"), F.col("at_").alias("item_at_"), "need_")
+    wanted = attach(seeds, usual, ["key_"]).select("seed_", F.col("key_").alias("item_key_"), F.col("at_").alias("item_at_"), "whole_", "need_", "many_")
     pairs = spread_join(each, wanted, ["seed_"]).groupBy("key_", "item_key_").agg(
-        F.count_distinct("seed_").alias("seeds_"), F.max("need_").alias("need_"),
-        F.collect_list(F.struct("place_", "item_at_")).alias("places_")).where(F.col("seeds_") >= F.col("need_"))
+        F.count_distinct("item_at_").alias("seeds_"), F.max("need_").alias("need_"), F.max("many_").alias("many_"),
+        F.count_distinct(F.when(F.col("whole_"), F.col("item_at_"))).alias("wholes_"),
+        F.collect_list(F.struct("place_", "item_at_", "whole_")).alias("places_")).where(
+        (F.col("wholes_") >= F.col("need_")) | (F.col("seeds_") >= F.col("many_")))
     full = attach(attach(pairs, once.select("key_", "text_"), ["key_"]), items.select(F.col("key_").alias("item_key_"), "item_", "item_text_"), ["item_key_"])
     schema = T.StructType([full.schema["key_"], full.schema["item_"], T.StructField("score", T.DoubleType()), T.StructField("seeds", T.LongType())])
 
     def run(batches):
         for batch in batches:
             rows = {name: batch.column(name) for name in batch.schema.names}
-            need, seen = rows["need_"].to_pylist(), rows["seeds_"].to_pylist()
+            need, many, seen = (rows[c].to_pylist() for c in ("need_", "many_", "seeds_"))
             places, texts, wanted = (rows[c].to_pylist() for c in ("places_", "text_", "item_text_"))
             score = np.zeros(batch.num_rows)
             for low in range(0, batch.num_rows, 64):
@@ -195,8 +222,9 @@ def find(
                     item = _item_words(wanted[i])
                     at = np.array([p["place_"] for p in places[i]])
                     item_at = np.array([p["item_at_"] for p in places[i]])
+                    whole = np.array([p["whole_"] for p in places[i]])
                     first, last = words.first[i - low], words.first[i - low + 1]
-                    for a, b in windows(at, item_at, len(item), need[i]):
+                    for a, b in windows(at, item_at, whole, len(item), need[i], many[i]):
                         one.append(item)
                         other.append(both[first + a:min(first + b, last)])
                         owner.append(i)

@@ -118,3 +118,14 @@ def test_an_edited_copy_that_many_documents_share_is_found_in_all(spark, copies)
     got = run(spark, docs, [(0, " ".join(item))])
     assert set(got) == {(i, 0) for i in range(copies)}
     assert set(got.values()) == {plain_align(item, edited.split()) / (2 * len(item))}
+
+
+def test_a_copy_with_inflected_words_is_found(spark):
+    item = [f"{chr(97 + i // 6)}{chr(97 + i % 6)}stem{i}" for i in range(30)]
+    inflected = [f"{w}ing" if k % 3 == 1 else w for k, w in enumerate(item)]
+    pad = [f"pad{i}" for i in range(40)]
+    docs = [(0, " ".join([*pad, *inflected, *pad])), (1, " ".join(pad))]
+    assert run(spark, docs, [(0, " ".join(item))]) == {(0, 0): pytest.approx(50 / 60)}
+    short = item[:5]  # three 3-grams, none of whole words
+    assert run(spark, [(0, " ".join(["be", *(f"{w}ed" if k in (1, 3) else w for k, w in enumerate(short)), "so"]))], [(0, " ".join(short))]) == {
+        (0, 0): pytest.approx(8 / 10)}
