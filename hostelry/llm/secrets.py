@@ -112,20 +112,32 @@ def _readable(raw: bytes) -> str | None:
     return text if text and plain >= 0.9 * len(text) else None
 
 
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0)
+
+
 def _inflate(raw: bytes, limit: int) -> bytes | None | bool:
-    """Unpacked zlib or gzip data; None if it is not such; False if it is larger than ``limit``."""
+    """Unpacked zlib or gzip data, all members, as far as they go if they are cut off; None if there is none; False if it
+    is larger than ``limit``."""
+    view, at, out = memoryview(raw), 0, bytearray()
     try:
-        unpack = zlib.decompressobj(wbits=47)
-        out = unpack.decompress(raw, limit + 1)
+        while _packed(bytes(view[at:at + 2])):
+            unpack = zlib.decompressobj(wbits=47)
+            while at < len(view) and not unpack.eof:
+                part = view[at:at + 4096]
+                out += unpack.decompress(part, limit + 1 - len(out))
+                if len(out) > limit:
+                    return False
+                at += len(part) - len(unpack.unused_data)
     except zlib.error:
-        return None
-    return False if len(out) > limit else out if unpack.eof else None
+        pass  # what came before the broken part counts
+    return bytes(out) or None
 
 
 def _unpack(raw: bytes, limit: int) -> str | None | bool:
     """Text in decoded bytes, compressed any number of times or not at all."""
     seen = set()
-    while raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0):
+    while _packed(raw):
         mark = hashlib.sha256(raw).digest()
         if mark in seen:
             return None

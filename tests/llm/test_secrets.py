@@ -95,3 +95,10 @@ def test_rows_of_any_kind(spark):
 def test_a_very_long_text():
     text = "word " * 300_000 + 'secret: "0123456789abcdef0123456789abcdef"'
     assert [s[0] for s in secrets.scan_texts([text])[0]] == ["assign", "hex"]
+
+
+def test_every_member_of_a_compressed_run_is_read_also_if_cut_off():
+    core = b"some plain words and then password = hunter2hunter2 end"
+    for packed in (gzip.compress(b"first member, ") + gzip.compress(core), gzip.compress(core)[:-9], zlib.compress(core)[:-4]):
+        text = base64.b64encode(packed).decode()
+        assert {kind for kind, _, _ in secrets.hidden_spans(text)} == {"assign"}
