@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostelry.llm import bpe, chat, decontamination, near_duplicates, pii, quality, secrets, spans, substrings, toxicity, urls
+from hostelry.llm import (
+    bpe, chat, conversations, decontamination, mixing, near_duplicates, pii, quality, search, secrets, spans, substrings, toxicity, urls,
+)
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -127,6 +129,67 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return spans.digests(secrets.scan(table(spark, folder, "documents")), secrets.KINDS)
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, folder, "documents")))
+
+
+OP11 = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    md5(concat_ws('|', '0', coalesce(doc_id::varchar, ''), coalesce(text, ''))) as digest from documents),
+s as (
+  select source, sum(size)::bigint as source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 as w from d group by source),
+shared as (
+  select *, sum(source_size) over () - coalesce(sum(3 * source_size) over before, 0) as open, sum(w) over () - coalesce(sum(w) over before, 0) as open_w,
+    row_number() over (order by 3 * source_size / w, w, source) as i
+  from s window before as (order by 3 * source_size / w, w, source rows between unbounded preceding and 1 preceding)),
+level as (select open, open_w from shared where open * w <= 3 * source_size * open_w order by i limit 1),
+targets as (
+  select source, source_size, least((level.open * w)::double / level.open_w::double, 3.0::double * source_size) as target from s, level),
+queued as (
+  select d.*, coalesce(sum(size) over (partition by source order by digest, doc_id, size rows between unbounded preceding and 1 preceding), 0) as ahead from d)
+select doc_id, size, source_size, target, queued.source, (
+    greatest(0, least(size, floor(target) - ahead)) + greatest(0, least(size, floor(target) - ahead - source_size))
+    + greatest(0, least(size, floor(target) - ahead - 2 * source_size)))::bigint as taken
+from queued join targets on queued.source is not distinct from targets.source"""
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP12 = rf"""
+with tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest({TERMS}) as term from documents) group by all),
+n as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as terms from n),
+df as (select term, count(*) as df from tf group by term),
+asked as (select item_id, term, count(*) as times from (select item_id, unnest({TERMS}) as term from benchmark) group by all),
+scored as (
+  select item_id, doc_id, sum(times * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint
+    * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint as score
+  from asked join df using (term) join tf using (term) join n using (doc_id), whole group by item_id, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 20"""
+
+
+def _damaged(conversations: DataFrame) -> DataFrame:
+    def known(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    rows = conversations.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"), (
+        F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20).alias("harm"))
+    copies = F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    return rows.where("harm <> 0").select("conv_id", "turn", copies, F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"), (
+        F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))).alias("text")).drop("copy")
+
+
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    whole = table(spark, folder, "conversations")
+    return conversations.report(*conversations.repair(_damaged(whole)), whole)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -142,6 +205,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_mixing": op11_mixing,
+    "op12_search": op12_search,
+    "op13_conversations": op13_conversations,
     "pipeline": pipeline,
 }
-SQL = {"op4_chat": OP4, "op6_urls": OP6}
+SQL = {"op4_chat": OP4, "op6_urls": OP6, "op11_mixing": OP11, "op12_search": OP12}
