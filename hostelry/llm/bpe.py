@@ -6,7 +6,7 @@ root is the lowest rank, leftmost first. A merge changes three leaves (the token
 the left neighbour) and the paths above them, so a match of n bytes costs O(n log n) however long it is.
 Short matches are merged many at a time, one tree per row of an array.
 
-Matches found before are remembered in each Python worker, up to ``MEMO`` of them.
+Matches found before are remembered in each Python worker, up to ``MEMO`` bytes of them.
 
 Cases: null and empty texts give no tokens; repeated rows give repeated results; ids may be null or repeat;
 an empty table gives an empty table; other columns are ignored.
@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 
 from hostelry.llm.frames import per_document
 
-#: Remembered matches per worker, and the longest match (in bytes) that is merged in a batch.
-MEMO = 250_000
+#: Bytes of remembered matches, about, and the longest match (in bytes) that is merged in a batch.
+MEMO = 24_000_000
+#: What an entry takes besides its characters and ids.
+ENTRY = 180
 SHORT = 64
 _NONE = np.int64(1) << np.int64(62)
 _BITS = 24
@@ -54,6 +56,7 @@ class Codec:
         self.ranks = np.append(np.array(list(self.pairs.values()), np.int64)[order], -1)
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     # one long match
 
@@ -179,12 +182,19 @@ class Codec:
         """Packed ids of each text: little-endian unsigned 32-bit integers."""
         matches = [self.split(t) for t in texts]
         new = set(filterfalse(self.memo.__contains__, chain.from_iterable(matches)))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+        size = sum(map(len, new)) * 2 + ENTRY * len(new)
+        if self.held + size > MEMO:
+            self.forget()
             new = set().union(*matches)
+            size = sum(map(len, new)) * 2 + ENTRY * len(new)
+        self.held += size
         self.learn(new)
         return [b"".join(map(self.memo.__getitem__, found)) for found in matches]
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.held = 0
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 

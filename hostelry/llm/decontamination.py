@@ -22,7 +22,6 @@ read; an empty table on either side gives an empty table; very long texts are se
 
 from __future__ import annotations
 
-from functools import cache
 from uuid import uuid4
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostelry.llm.frames import per_document
+from hostelry.llm.frames import give_back, per_document
 from hostelry.llm.words import BLANK, Words, mix, shingles, words_of
 from hostelry.operators.distribution import attach, spread_join
 from hostelry.session import durable
@@ -44,6 +43,8 @@ BEGUN_SHARE = 4
 BITS = 1 << 23
 #: Diagonals this close belong to one alignment, and words read beyond its ends.
 SLACK = 12
+#: Items whose words a task remembers.
+ITEMS = 512
 
 #: Keeps seeds of beginnings apart from those of whole words, also where all words are short.
 _BEGUN = np.uint64(0x5851F42D4C957F2D)
@@ -174,7 +175,6 @@ def windows(at: np.ndarray, item_at: np.ndarray, whole: np.ndarray, size: int, n
     return out
 
 
-@cache
 def _item_words(text: str) -> np.ndarray:
     words = tokens([text])
     return np.stack([words.hashes(), words.hashes(4)], axis=1)
@@ -212,14 +212,18 @@ def find(
             rows = {name: batch.column(name) for name in batch.schema.names}
             need, many, seen = (rows[c].to_pylist() for c in ("need_", "many_", "seeds_"))
             places, texts, wanted = (rows[c].to_pylist() for c in ("places_", "text_", "item_text_"))
-            score = np.zeros(batch.num_rows)
+            score, known = np.zeros(batch.num_rows), {}
             for low in range(0, batch.num_rows, 64):
                 high = min(low + 64, batch.num_rows)
                 words = tokens(texts[low:high])
                 both = np.stack([words.hashes(), words.hashes(4)], axis=1)
                 one, other, owner = [], [], []
                 for i in range(low, high):
-                    item = _item_words(wanted[i])
+                    if wanted[i] not in known:
+                        if len(known) == ITEMS:
+                            known.clear()
+                        known[wanted[i]] = _item_words(wanted[i])
+                    item = known[wanted[i]]
                     at = np.array([p["place_"] for p in places[i]])
                     item_at = np.array([p["item_at_"] for p in places[i]])
                     whole = np.array([p["whole_"] for p in places[i]])
@@ -237,6 +241,7 @@ def find(
             yield pa.RecordBatch.from_arrays([
                 rows["key_"].take(pa.array(keep)), rows["item_"].take(pa.array(keep)), pa.array(score[keep]),
                 pa.array([seen[i] for i in keep], pa.int64())], ["key_", "item_", "score", "seeds"])
+        give_back()
 
     return spread_join(hits.select("key_", "id_"), full.mapInArrow(run, schema), ["key_"]).groupBy(F.col("id_").alias(id_col), F.col("item_").alias(item_col)).agg(
         F.max("score").alias("score"), F.max("seeds").alias("seeds"))

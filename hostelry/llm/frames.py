@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,6 +41,15 @@ def text_slices(*columns: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield a, [c.slice(a, b - a).to_pylist() for c in columns]
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine. Workers live on after a task, and an executor's memory counts what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def per_document(
     docs: DataFrame, id_col: str, text_col: str, fields: list[T.StructField], start: Callable[[], Callable],
 ) -> DataFrame:
@@ -63,6 +74,7 @@ def per_document(
                         value.cast(f.type) if isinstance(value, pa.Array) else pa.array(value, type=f.type)
                         for value, f in zip(made, list(arrow)[1:], strict=True)],
                     schema=arrow)
+        give_back()
 
     return slim.mapInArrow(run, schema)
 

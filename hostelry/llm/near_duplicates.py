@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostelry.llm.components import components
-from hostelry.llm.frames import per_document, text_slices
+from hostelry.llm.frames import give_back, per_document, text_slices
 from hostelry.llm.words import mix, shingles, words_of
 from hostelry.operators.distribution import attach
 from hostelry.session import durable
@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
 #: Members of a block of a bucket, about, and characters of text that one call of a task verifies, about.
-BLOCK, GROUP_CHARS = 256, 2_000_000
+BLOCK, GROUP_CHARS = 256, 1_000_000
 
 _RANDOM = np.random.default_rng(77)
 _TIMES = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -155,6 +155,7 @@ def _verify_pairs(pairs: DataFrame, n: int, similarity: float, miss: float) -> D
                         if reaches(common, len(sets[x]), len(sets[y]), percent):
                             keep.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+        give_back()
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 

@@ -19,16 +19,19 @@ _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Powers that a worker keeps; those of a longer buffer are made for it alone.
+KEPT_POWERS = 1 << 20
 
 
 def _power(kind: str, n: int) -> np.ndarray:
     """Powers 0 … n-1 of the hash step or of its inverse."""
     have = _powers[kind]
     if len(have) < n:
-        step = _STEP if kind == "up" else _INVERSE
-        have = np.full(max(n, 2 * len(have)), step, np.uint64)
+        have = np.full(max(n, min(2 * len(have), KEPT_POWERS)), _STEP if kind == "up" else _INVERSE, np.uint64)
         have[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(have)
+        np.multiply.accumulate(have, out=have)
+        if len(have) <= KEPT_POWERS:
+            _powers[kind] = have
     return have[:n]
 
 
