@@ -6,11 +6,16 @@ and the new layer is scanned and unwrapped again, until nothing changes (fixpoin
 was seen before (cycle). Each layer keeps, for every piece, the place in the text that it came from, so what
 is found in it maps back; a find inside a decoded run covers the whole run.
 
-Memory is bounded by ``max_layer`` bytes for one decompressed run. A run that would be larger is not dropped
-silently: it gets a span of kind ``oversize``.
+Base64 may be wrapped at any column. A decoded run that is not text stays where it is, and its bytes are scanned by
+themselves, with what is encoded in them. A run that unpacks to more than ``max_layer`` bytes is read as a stream, in
+pieces of that size that overlap, so it is scanned whole in bounded memory; its finds cover the run like any other.
+
+An escape that stands for the beginning of another escape (``%2525...``, ``&#38;#37;...``) is followed to the end in one
+step, so a layer never peels one sign of a long chain. What else nests (base64, escapes written in escapes) shrinks by
+a share with every layer, and the time stays near linear in the text and what it unpacks to.
 
 Cases: null and empty texts have no spans; repeated rows give repeated results; an empty table gives an empty
-table; other columns are not read; very long texts are scanned whole, in time linear in their length.
+table; other columns are not read; very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -31,9 +37,8 @@ from hostelry.llm.frames import chunks, per_document
 from hostelry.llm.spans import SPAN, blanked, code_points, digests, in_order  # noqa: F401
 
 KINDS = ("assign", "access", "hex")
-ALL_KINDS = (*KINDS, "oversize")
-#: Largest decompressed run, in bytes.
-MAX_LAYER = 16_000_000
+#: Largest decompressed run that becomes a layer, in bytes, and what pieces of a larger one share.
+MAX_LAYER, OVERLAP = 8_000_000, 4096
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _ASSIGN = re.compile(
@@ -42,6 +47,12 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _PERCENT_RUN = re.compile(r"(?:[^\s%]|%(?![0-9A-Fa-f]{2}))*+(?:%[0-9A-Fa-f]{2}[^\s%]*+(?:%(?![0-9A-Fa-f]{2})[^\s%]*+)*+)++")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: Lines of 16 signs or more, and the rest in the last one.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]{0,8}\r?\n[\x20\t]{0,8})++[A-Za-z0-9+/_-]++={0,2}")
+#: Escapes that stand for the first sign of an escape.
+_CHAIN = re.compile(
+    r"%(?:2[56]|5[Cc])|\\x(?:2[56]|5[Cc])|\\u00(?:2[56]|5[Cc])|\\u\{0{0,4}(?:2[56]|5[Cc])\}|&#x0{0,4}(?:2[56]|5[Cc]);|&#0{0,4}(?:3[78]|92);")
+_LONGEST = 12
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -116,47 +127,87 @@ def _packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0)
 
 
-def _inflate(raw: bytes, limit: int) -> bytes | None | bool:
-    """Unpacked zlib or gzip data, all members, as far as they go if they are cut off; None if there is none; False if it
-    is larger than ``limit``."""
-    view, at, out = memoryview(raw), 0, bytearray()
+def _inflated(raw: bytes, size: int) -> Iterator[bytes]:
+    """Unpacked zlib or gzip data, all members, as far as they go if they are cut off, in pieces of at most ``size`` bytes."""
+    at = 0
     try:
-        while _packed(bytes(view[at:at + 2])):
+        while _packed(raw[at:at + 2]):
             unpack = zlib.decompressobj(wbits=47)
-            while at < len(view) and not unpack.eof:
-                part = view[at:at + 4096]
-                out += unpack.decompress(part, limit + 1 - len(out))
-                if len(out) > limit:
-                    return False
+            while at < len(raw) and not unpack.eof:
+                part = raw[at:at + 4096]
+                out = unpack.decompress(part, size)
+                while out:
+                    yield out
+                    out = unpack.decompress(unpack.unconsumed_tail, size)
                 at += len(part) - len(unpack.unused_data)
     except zlib.error:
         pass  # what came before the broken part counts
-    return bytes(out) or None
 
 
-def _unpack(raw: bytes, limit: int) -> str | None | bool:
-    """Text in decoded bytes, compressed any number of times or not at all."""
-    seen = set()
+#: Digests of the bytes being read, so that bytes that hold themselves end.
+_reading: set[bytes] = set()
+
+
+def _kinds_in(raw: bytes, limit: int) -> set[str]:
+    """Kinds of secrets in bytes that are no text, or too many to be a layer, and in what they hold."""
+    mark = hashlib.sha256(raw).digest()
+    if mark in _reading:
+        return set()
+    _reading.add(mark)
+    try:
+        return _kinds_within(raw, limit)
+    finally:
+        _reading.discard(mark)
+
+
+def _kinds_within(raw: bytes, limit: int) -> set[str]:
+    found: set[str] = set()
+    if _packed(raw):
+        tail, held, some = b"", [], False
+        for piece in _inflated(raw, limit):
+            some = True
+            held.append(piece)
+            if sum(map(len, held)) >= limit:
+                whole = tail + b"".join(held)
+                found |= _kinds_in(whole, limit)
+                tail, held = whole[-OVERLAP:], []
+        if held:
+            found |= _kinds_in(tail + b"".join(held), limit)
+        if some:
+            return found
+    found |= {kind for kind, _, _ in base_spans(raw)}
+    if may_hide(raw):
+        found |= {kind for kind, _, _ in hidden_spans(raw.decode("utf-8", "replace"), limit)}
+    return found
+
+
+def _meaning(raw: bytes, limit: int) -> str | set[str] | None:
+    """What decoded bytes, compressed any number of times or not at all, stand for: a text, or else the kinds found in them."""
+    start, seen = raw, set()
     while _packed(raw):
         mark = hashlib.sha256(raw).digest()
         if mark in seen:
             return None
         seen.add(mark)
-        out = _inflate(raw, limit)
-        if out is False:
-            return False
-        if out is None:
+        pieces, size = [], 0
+        for piece in _inflated(raw, limit):
+            pieces.append(piece)
+            size += len(piece)
+            if size > limit:
+                return _kinds_in(start, limit) or None
+        if not size:
             break
-        raw = out
-    return _readable(raw)
+        raw = b"".join(pieces)
+    text = _readable(raw)
+    return _kinds_in(raw, limit) or None if text is None else text
 
 
-def _from_base64(run: str, limit: int) -> str | None | bool:
+def _from_base64(run: str, limit: int) -> str | set[str] | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        return _unpack(base64.b64decode(body + "=" * (-len(body) % 4), validate=True), limit)
+        return _meaning(base64.b64decode(body + "=" * (-len(body) % 4), validate=True), limit)
     except binascii.Error:
         return None
 
@@ -167,18 +218,45 @@ def _escaped(m: re.Match) -> str:
     return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else code
 
 
-def decoded_runs(text: str, limit: int) -> list[tuple[int, int, str | bool]]:
-    """Encoded runs of one layer that stand for something else, without overlaps: (start, end, meaning)."""
-    found: list[tuple[int, int, str | bool]] = []
+_BYTE = re.compile(r"%[0-9A-Fa-f]{2}")
+
+
+def _chains(text: str) -> list[tuple[int, int, str]]:
+    """Escapes that stand for the beginning of another one, with it, and so on: (start, end, the last escape of the chain)."""
+    out, end = [], 0
+    for m in _CHAIN.finditer(text):
+        if m.start() < end:
+            continue
+        last, at, links = m[0], m.end(), 0
+        while True:
+            sign = chr(int(last[1:], 16)) if last[0] == "%" else _escaped(_ESCAPE.match(last))
+            ahead = sign + text[at:at + _LONGEST]
+            follows = (_BYTE if sign == "%" else _ESCAPE).match(ahead) if sign in "%&\\" else None
+            if follows is None:
+                break
+            last, at, links = follows[0], at + len(follows[0]) - 1, links + 1
+        if links:
+            out.append((m.start(), at, last))
+            end = at
+    return out
+
+
+def decoded_runs(text: str, limit: int) -> list[tuple[int, int, str | set[str]]]:
+    """Encoded runs of one layer that stand for something else, without overlaps: (start, end, meaning); chains of escapes first."""
+    if chains := _chains(text):
+        return chains
+    found: list[tuple[int, int, str | set[str]]] = []
     if "%" in text:
         for m in _PERCENT_RUN.finditer(text):
-            out = unquote_to_bytes(m[0]).decode("utf-8", "replace")
-            if "\ufffd" in out and (packed := _unpack(unquote_to_bytes(m[0]), limit)) is not None:
-                out = packed  # the bytes were a compressed stream
+            raw = unquote_to_bytes(m[0])
+            out = raw.decode("utf-8", "replace")
+            if "\ufffd" in out and _packed(raw):
+                out = _meaning(raw, limit) or out  # the bytes were a compressed stream
             if out != m[0]:
                 found.append((m.start(), m.end(), out))
     found += [(m.start(), m.end(), out) for m in _ESCAPE.finditer(text) if (out := _escaped(m)) != m[0]]
     found += [(m.start(), m.end(), out) for m in _BASE64.finditer(text) if (out := _from_base64(m[0], limit)) is not None]
+    found += [(m.start(), m.end(), out) for m in _WRAPPED.finditer(text) if (out := _from_base64("".join(m[0].split()), limit)) is not None]
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for run in found:
@@ -227,8 +305,8 @@ def hidden_spans(text: str, limit: int = MAX_LAYER) -> set[tuple[str, int, int]]
 
         for a, b, meaning in runs:
             low, high, _ = place(a, b)
-            if meaning is False:
-                found.add(("oversize", low, high))
+            if isinstance(meaning, set):  # not a text: the run stays
+                found |= {(kind, low, high) for kind in meaning}
                 continue
             keep(at, a)
             new.append((meaning, low, high, True))
@@ -260,7 +338,7 @@ def scan_texts(texts: list[str], limit: int = MAX_LAYER) -> list[list[tuple[str,
     for i in sorted(set((np.searchsorted(bounds, may_hide(raw), "right") - 1).tolist())):
         known = {s[:3] for s in spans[i]}
         spans[i] += [(*s, False) for s in hidden_spans(texts[i], limit) if s not in known]
-    return [in_order(s, ALL_KINDS) for s in spans]
+    return [in_order(s, KINDS) for s in spans]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer: int = MAX_LAYER) -> DataFrame:

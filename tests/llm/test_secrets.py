@@ -3,9 +3,11 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
+import pytest
 from pyspark.sql import Row
 
 from hostelry.llm import secrets, spans
@@ -69,10 +71,39 @@ def test_a_cycle_ends(monkeypatch):
     assert secrets.hidden_spans("ping") == set()
 
 
-def test_an_oversize_layer_is_reported():
-    bomb = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
-    kinds = {s[0] for s in secrets.scan_texts([f"x {bomb}"], limit=1000)[0]}
-    assert "oversize" in kinds
+def test_a_run_over_the_layer_bound_is_read_as_a_stream():
+    """What gave only a span of kind oversize is now scanned whole."""
+    for at in (0, 999, 50_000, 99_990):
+        body = bytearray(b"z" * 100_000)
+        body[at:at] = b" password=hunter2222 "
+        bomb = base64.b64encode(zlib.compress(bytes(body))).decode()
+        assert ("assign", 2, 2 + len(bomb), False) in secrets.scan_texts([f"x {bomb}"], limit=8192)[0]
+
+
+def test_bytes_that_are_no_text_and_wrapped_base64():
+    noise = bytes(range(128, 188))
+    run = base64.b64encode(noise + b"password=hunter2222 " + noise).decode()
+    assert secrets.scan_texts([run]) == [[("assign", 0, len(run), False)]]
+    inner = base64.b64encode(noise + run.encode() + b" " + noise).decode()
+    assert secrets.scan_texts([inner]) == [[("assign", 0, len(inner), False)]]
+    plain = base64.b64encode(b"Dear reader, the password=hunter2222 is set. Yours, the keeper of the keys").decode()
+    for width, end in ((40, "\n"), (41, "\r\n"), (17, "\n  ")):
+        lines = end.join(plain[i:i + width] for i in range(0, len(plain), width))
+        assert secrets.scan_texts([f"key:\n{lines}\nend"]) == [[("assign", 5, 5 + len(lines), False)]]
+
+
+@pytest.mark.parametrize("text", [
+    "%" + "25" * 50_000 + "41", "a &" + "#38;" * 30_000 + "#37;41", "\\" + "x5c" * 33_000 + "x41", "%26#37;" + "26#37;" * 16_000 + "41",
+    "A" * 100_000, "%" * 100_000, "%4" * 50_000, "QUFB" * 25_000, ("A" * 20 + "\n") * 5_000])
+def test_long_chains_take_linear_time(text):
+    start = time.perf_counter()
+    secrets.scan_texts([text])
+    assert time.perf_counter() - start < 5
+
+
+def test_a_chain_is_followed_to_its_end():
+    for hidden in ("password%25252525253Dhunter2222", "pass%26#37;26#37;26#37;77ord=hunter2222", "password&#38;#38;#61;hunter2222", "password\\x5cx5cx3dhunter2222"):
+        assert [s[0] for s in secrets.scan_texts([f"see {hidden} ok"])[0]] == ["assign"]
 
 
 def test_rows_of_any_kind(spark):
