@@ -258,11 +258,15 @@ def base_spans(raw: bytes) -> list[tuple[str, int, int]]:
 
 
 def possible(kind: str, part: str) -> bool:
-    """Whether a labelled run can be what its label says."""
+    """Whether a labelled run can be what its label says; in time linear in its length.
+
+    In an email a local part holds no ``at`` and a word of the domain no ``dot`` as a word of its own: that is a separator."""
+    part = re.sub(r"\s+", " ", part)
     digits = re.sub(r"\D", "", part)
     if kind == "email":
         return bool(re.fullmatch(
-            r"[\w.%+-]+\s*(?:@|[\[({]\s*at\s*[\])}]|\bat\b)\s*[\w-]+(?:\s*(?:\.|[\[({]\s*dot\s*[\])}]|\bdot\b)\s*[\w-]+)+", part, re.I))
+            r"(?:(?!\bat\b)[\w.%+-])++\s?(?:@|[\[({]\s?at\s?[\])}]|\bat\b)\s?(?:(?!\bdot\b)[\w-])++"
+            r"(?:\s?(?:\.|[\[({]\s?dot\s?[\])}]|\bdot\b)\s?(?:(?!\bdot\b)[\w-])++)++", part, re.I))
     if kind == "ip":
         four = re.split(r"\s*(?:[\[({]?(?:\.|dot)[\])}]?|-)\s*", part)
         six = re.fullmatch(r"(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}", part)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -91,3 +92,13 @@ def test_long_runs_take_linear_time(chain):
 def test_without_examples_only_the_patterns_count(spark):
     docs = spark.createDataFrame([(1, "call (499) 555-6503 or a@b.de")], "doc_id long, text string")
     assert [s.kind for s in pii.scan(docs, examples=[]).first().spans] == ["email"]
+
+
+def test_labelled_runs_are_judged_in_linear_time():
+    start = time.perf_counter()
+    for tail in ("-dot" * 25_000 + " § dot com", " dot a" * 16_000 + " §", "-at" * 30_000, " " * 100_000 + "§", ".a" * 50_000 + "§"):
+        for kind in ("email", "ip", "card", "phone"):
+            assert not pii.possible(kind, "john at mail" + tail)
+    assert time.perf_counter() - start < 5
+    for part in ("john at mail dot com", "john.s [at] mail(dot)com", "a@b.co", "j_d  at  x-y . org"):
+        assert pii.possible("email", part)
