@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hostelry.operators import spatial
 from hostelry.operators.aggregates import error_report
 from hostelry.plans import pricemodel as pm
+from hostelry.plans import pricesearch as ps
 from hostelry.registry.core import query
 from hostelry.registry.fixtures import read
 from hostelry.registry.spatial_queries import metres, points
@@ -25,14 +26,27 @@ def least_squares():
 
 
 def each_learner(run):
-    """``run`` of every learner of the catalogue, with its name; a learner's rows are written before the next one's plan."""
+    """``run`` of every learner with one setting, with its name; a learner's rows are written before the next one's plan."""
     parts = None
-    for name, (learner, _) in pm.learners().items():
-        part = durable(run(learner).withColumn("learner", F.lit(name)))
+    for name, spec in ps.DEFAULTS.items():
+        part = durable(run(spec).withColumn("learner", F.lit(name)))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+def fold_errors(scored):
+    return pm.mae(scored, "price", ["seed", "fold"])
+
+
+def of_folds(errors):
+    return errors.agg(F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("spread"), F.max("mae").alias("worst"),
+                      F.min("mae").alias("best"), F.count(F.lit(1)).alias("folds"))
+
+
+#: Penalty of the ridge queries that have SQL.
+PENALTY = 0.1
+
+
 def cut_errors(scored):
     """Error by segment, flag and kind."""
     parts = [error_report(scored, cut, "price", "prediction").withColumnRenamed(cut, "label").withColumn("cut", F.lit(cut))
@@ -111,7 +125,7 @@ def cross_validation(spark, folder):
 @query("ml03_full_cross_validation", "ML-03")
 def full_cross_validation(spark, folder):
     rows = durable(lines(spark, folder))
-    return each_learner(lambda learner: pm.cross_validated(rows, TABLE, learner))
+    return each_learner(lambda spec: fold_errors(ps.out_of_fold(rows, TABLE, spec)).drop("seed"))
 
 
 @query("ml04_model_search", "ML-04", f"""
@@ -131,8 +145,8 @@ def model_search(spark, folder):
 @query("ml04_full_model_search", "ML-04")
 def full_model_search(spark, folder):
     """Every learner with 20 draws from its grid (ridge: all four settings), over all columns."""
-    report = pm.search(lines(spark, folder), TABLE, pm.learners())
-    return spark.createDataFrame([(n, e, p) for n, e, p, _ in report], "learner string, mae double, params string")
+    report = ps.search(durable(lines(spark, folder)), TABLE)
+    return spark.createDataFrame([(n, e, str(p)) for n, e, p in report], "learner string, mae double, params string")
 
 
 @query("ml05_repeated_cross_validation", "ML-05", f"""
@@ -146,7 +160,7 @@ def repeated_cross_validation(spark, folder):
 @query("ml05_full_repeated_cross_validation", "ML-05")
 def full_repeated_cross_validation(spark, folder):
     rows = durable(lines(spark, folder))
-    return each_learner(lambda learner: pm.repeated(rows, TABLE, learner))
+    return each_learner(lambda spec: of_folds(fold_errors(ps.out_of_fold(rows, TABLE, spec, seeds=range(5)))))
 
 
 @query("ml06_out_of_fold", "ML-06 AG-30", f"""
@@ -162,7 +176,7 @@ def out_of_fold(spark, folder):
 @query("ml06_full_out_of_fold", "ML-06 AG-30")
 def full_out_of_fold(spark, folder):
     rows = durable(lines(spark, folder))
-    return each_learner(lambda learner: cut_errors(durable(pm.out_of_fold(rows, TABLE, learner))))
+    return each_learner(lambda spec: cut_errors(durable(ps.out_of_fold(rows, TABLE, spec))))
 
 
 @query("ml07_block_importance", "ML-07", f"""
@@ -192,7 +206,7 @@ BLOCKS = {"amount": ["quantity", "discount", "tax"], "part": ["size", "retail",
 @query("ml07_full_block_importance", "ML-07")
 def full_block_importance(spark, folder):
     seen, held = pm.split(durable(lines(spark, folder)), "id")
-    return each_learner(lambda learner: pm.importance(held, pm.fit(seen, TABLE, learner), BLOCKS))
+    return each_learner(lambda spec: pm.importance(held, ps.fit(seen, TABLE, spec), BLOCKS))
 
 
 @query("ml08_one_model_or_many", "ML-08", f"""
@@ -208,7 +222,7 @@ def one_model_or_many(spark, folder):
 @query("ml08_full_one_model_or_many", "ML-08")
 def full_one_model_or_many(spark, folder):
     rows = durable(lines(spark, folder))
-    return each_learner(lambda learner: pm.one_or_many(rows, TABLE, learner, "flag", ["A", "N", "R"]))
+    return each_learner(lambda spec: ps.one_or_many(rows, TABLE, spec, "flag"))
 
 
 @query("ml09_filled_prices", "ML-09", f"""
@@ -226,7 +240,115 @@ def filled_prices(spark, folder):
 @query("ml09_full_filled_prices", "ML-09")
 def full_filled_prices(spark, folder):
     """Filled by the winner of the whole search, one row per order line."""
-    out = pm.estimate(durable(lines(spark, folder)), TABLE, pm.learners())
+    out = ps.estimate(durable(lines(spark, folder)), TABLE)
+    return out.select("id", "price", "estimated", "final", "model_mae")
+
+
+# Ridge over all nine columns, against normal equations in SQL: the columns of every training set are built row by row, and
+# its system is solved by conjugate gradients.
+
+_SET = "scope, seed, f"
+
+
+def ridge_sql(known, penalties=(PENALTY,), folds=range(5), name="rg"):
+    """CTEs up to ``<name>(scope, seed, f, pen, id, p)``: predictions of the rows of ``known`` (scope, seed, fold, and the columns
+    of ``lines``) in fold ``f`` by the rows outside it."""
+    n = name
+    numbers = " UNION ALL ".join(
+        f"SELECT {_SET}, id, fold = f AS held, '{x}' AS place, coalesce({x}, m_{x})::DOUBLE AS v FROM {n}_e JOIN {n}_med USING ({_SET})" for x in TABLE.numeric)
+    cats = " UNION ALL ".join(f"SELECT {_SET}, id, fold = f AS held, '{x}' AS c, coalesce({x}, '?') AS level FROM {n}_e" for x in TABLE.categorical)
+    add = "list_transform(list_zip({0}, {1}), lambda z: z[1] + {2} * z[2])"
+    return f"""{n}_e AS (SELECT k.*, f FROM ({known}) k, (SELECT unnest([{", ".join(map(str, folds))}]) AS f)),
+{n}_t AS (SELECT * FROM {n}_e WHERE fold <> f AND price IS NOT NULL),
+{n}_y AS (SELECT {_SET}, count(*)::DOUBLE AS n, avg(ln(1 + price)) AS ym, stddev_pop(ln(1 + price)) AS sd FROM {n}_t GROUP BY ALL),
+{n}_med AS (SELECT {_SET}, {", ".join(f"median({x}) AS m_{x}" for x in TABLE.numeric)} FROM {n}_t GROUP BY ALL),
+{n}_c AS (SELECT * FROM ({cats})),
+{n}_l AS (SELECT {_SET}, c, level, c || '|' || case when count(*) >= 10 then level else 'infrequent' end AS place FROM {n}_c
+ JOIN (SELECT {_SET}, id FROM {n}_t) USING ({_SET}, id) GROUP BY {_SET}, c, level),
+{n}_w AS (SELECT * FROM ({numbers}) UNION ALL SELECT {_SET}, id, held, place, 1.0 FROM {n}_c JOIN {n}_l USING ({_SET}, c, level)),
+{n}_i AS (SELECT place, row_number() over (order by place) AS i FROM (SELECT DISTINCT place FROM {n}_w)),
+{n}_x AS MATERIALIZED (SELECT {_SET}, id, held, i, v FROM {n}_w JOIN {n}_i USING (place)),
+{n}_xt AS MATERIALIZED (SELECT x.*, ln(1 + price) AS y FROM {n}_x x JOIN {n}_t USING ({_SET}, id)),
+{n}_s AS (SELECT {_SET}, i, sum(v) / any_value(n) AS mu, sum(v * y) / any_value(n) - sum(v) / any_value(n) * any_value(ym) AS cy,
+  sqrt(greatest(sum(v * v) / any_value(n) - pow(sum(v) / any_value(n), 2), 0)) AS sc FROM {n}_xt JOIN {n}_y USING ({_SET}) GROUP BY {_SET}, i),
+{n}_d AS (SELECT y.*, i.i, coalesce(mu, 0) AS mu, case when sc > 1e-9 * abs(mu) then sc else 1 end AS sc, case when sc > 1e-9 * abs(mu) then cy else 0 end AS cy,
+  sc > 1e-9 * abs(mu) AS used FROM {n}_y y CROSS JOIN {n}_i i LEFT JOIN {n}_s USING ({_SET}, i)),
+{n}_g AS MATERIALIZED (SELECT {_SET}, a.i AS i, b.i AS j, sum(a.v * b.v) AS g FROM {n}_xt a JOIN {n}_xt b USING ({_SET}, id) GROUP BY ALL),
+{n}_r AS (SELECT a.scope, a.seed, a.f, a.i, list(case when a.used and b.used then (coalesce(g, 0) / a.n - a.mu * b.mu) / (a.sc * b.sc) else 0 end ORDER BY b.i) AS line
+ FROM {n}_d a JOIN {n}_d b ON a.scope = b.scope AND a.seed = b.seed AND a.f = b.f LEFT JOIN {n}_g g ON g.scope = a.scope AND g.seed = a.seed AND g.f = a.f AND g.i = a.i AND g.j = b.i
+ GROUP BY ALL),
+{n}_a AS MATERIALIZED (SELECT {_SET}, list(line ORDER BY i) AS a FROM {n}_r GROUP BY ALL),
+{n}_b AS (SELECT {_SET}, pen, list(cy / sc ORDER BY i) AS b, any_value(pen / sd) AS shift FROM {n}_d, (SELECT unnest([{", ".join(map(str, penalties))}])::DOUBLE AS pen) GROUP BY ALL),
+{n}_cg AS (
+ SELECT {_SET}, pen, 0 AS it, list_transform(b, lambda z: 0.0::DOUBLE) AS x, b AS r, b AS p, list_inner_product(b, b) AS rs FROM {n}_b
+ UNION ALL SELECT {_SET}, pen, it, x, r, {add.format("r", "p", "rs / old")}, rs FROM (
+  SELECT {_SET}, pen, it, x, r, p, list_inner_product(r, r) AS rs, old FROM (
+   SELECT {_SET}, pen, it + 1 AS it, {add.format("x", "p", "(rs / pap)")} AS x, {add.format("r", "ap", "(-rs / pap)")} AS r, p, rs AS old FROM (
+    SELECT *, list_inner_product(p, ap) AS pap FROM (
+     SELECT c.*, list_transform(list_zip(list_transform(a.a, lambda line: list_inner_product(line, c.p)), c.p), lambda z: z[1] + b.shift * z[2]) AS ap
+     FROM {n}_cg c JOIN {n}_a a USING ({_SET}) JOIN {n}_b b USING ({_SET}, pen) WHERE it < 1500 AND rs > 1e-24))))),
+{n}_o AS (SELECT {_SET}, pen, arg_max(x, it) AS x FROM {n}_cg GROUP BY ALL),
+{n}_k AS (SELECT {_SET}, pen, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM {n}_o),
+{n}_q AS (SELECT k.*, w / sc AS beta, mu FROM {n}_k k JOIN {n}_d USING ({_SET}, i)),
+{n}_z AS (SELECT {_SET}, pen, any_value(ym) - sum(beta * mu) AS start FROM {n}_q JOIN {n}_y USING ({_SET}) GROUP BY {_SET}, pen),
+{n} AS (SELECT {_SET}, pen, id, exp(any_value(start) + sum(v * beta)) - 1 AS p FROM {n}_x JOIN {n}_q USING ({_SET}, i) JOIN {n}_z USING ({_SET}, pen) WHERE held GROUP BY {_SET}, pen, id)"""
+
+
+def known_sql(seeds, scope="''", where="price IS NOT NULL"):
+    listed = ", ".join(map(str, seeds))
+    return f"SELECT {scope} AS scope, s.seed, {fold_sql('s.seed')} AS fold, lines.* FROM lines, (SELECT unnest([{listed}]) AS seed) s WHERE {where}"
+
+
+@query("ml03_ridge_cross_validation", "ML-03", f"""
+WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql([42]))}
+SELECT f::INT AS fold, round(avg(abs(p - price)), 3) AS mae, count(*) AS rows FROM rg JOIN lines USING (id) GROUP BY 1""")
+def ridge_cross_validation(spark, folder):
+    return fold_errors(ps.out_of_fold(lines(spark, folder), TABLE, PENALTY)).select("fold", F.round("mae", 3).alias("mae"), "rows")
+
+
+@query("ml04_ridge_search", "ML-04", f"""
+WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql([42]), ps.PENALTIES)},
+e AS (SELECT pen, avg(mae) AS mae FROM (SELECT pen, f, avg(abs(p - price)) AS mae FROM rg JOIN lines USING (id) GROUP BY 1, 2) GROUP BY 1)
+SELECT 'ridge' AS learner, round(min(mae), 2) AS mae, arg_min(pen, mae) AS penalty FROM e""")
+def ridge_search(spark, folder):
+    name, mae, penalty = ps.search(durable(lines(spark, folder)), TABLE, {"ridge": ps.PENALTIES})[0]
+    return spark.createDataFrame([(name, round(mae, 2), penalty)], "learner string, mae double, penalty double")
+
+
+@query("ml05_ridge_repeated", "ML-05", f"""
+WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql(range(5)))}, e AS (SELECT seed, f, avg(abs(p - price)) AS mae FROM rg JOIN lines USING (id) GROUP BY 1, 2)
+SELECT round(avg(mae), 3) AS mean, round(stddev_pop(mae), 3) AS spread, round(max(mae), 3) AS worst, round(min(mae), 3) AS best, count(*) AS folds FROM e""")
+def ridge_repeated(spark, folder):
+    return of_folds(fold_errors(ps.out_of_fold(lines(spark, folder), TABLE, PENALTY, seeds=range(5)))).select(
+        *[F.round(x, 3).alias(x) for x in ("mean", "spread", "worst", "best")], "folds")
+
+
+@query("ml06_ridge_out_of_fold", "ML-06 AG-30", f"""
+WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql([42]))}, oof AS (SELECT lines.*, p FROM rg JOIN lines USING (id)),
+u AS (SELECT 'segment' AS cut, segment AS label, price, p FROM oof UNION ALL SELECT 'flag', flag, price, p FROM oof UNION ALL SELECT 'kind', kind, price, p FROM oof)
+SELECT cut, label, count(*) AS rows, round(avg(abs(p - price)), 3) AS mae, round(avg(p - price), 3) AS bias, round(median(price), 3) AS median_actual,
+ round(avg(abs(p - price)) * 100 / median(price), 3) AS mape FROM u GROUP BY 1, 2""")
+def ridge_out_of_fold(spark, folder):
+    return cut_errors(durable(ps.out_of_fold(lines(spark, folder), TABLE, PENALTY))).select(
+        "cut", "label", "rows", *[F.round(x, 3).alias(x) for x in ("mae", "bias", "median_actual", "mape")])
+
+
+@query("ml08_ridge_one_or_many", "ML-08", f"""
+WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql([42]) + " UNION ALL " + known_sql([42], "flag"))},
+e AS (SELECT flag, scope, abs(p - price) AS gap FROM rg JOIN lines USING (id))
+SELECT flag, round(avg(gap) FILTER (scope = ''), 3) AS one_model, count(*) FILTER (scope = '') AS rows, round(avg(gap) FILTER (scope <> ''), 3) AS own_model FROM e GROUP BY 1""")
+def ridge_one_or_many(spark, folder):
+    out = ps.one_or_many(lines(spark, folder), TABLE, PENALTY, "flag")
+    return out.select("flag", F.round("one_model", 3).alias("one_model"), "rows", F.round("own_model", 3).alias("own_model"))
+
+
+@query("ml09_ridge_filled_prices", "ML-09", f"""
+WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql(range(5)))}, e AS (SELECT avg(mae) AS mae FROM (SELECT seed, f, avg(abs(p - price)) AS mae FROM rg JOIN lines USING (id) GROUP BY 1, 2)),
+{ridge_sql("SELECT '' AS scope, 0 AS seed, case when price is null then -1 else 0 end AS fold, lines.* FROM lines", folds=[-1], name="fl")}
+SELECT id, price, price IS NULL AS estimated, coalesce(price, round(p, 2)) AS final, round(mae, 2) AS model_mae FROM lines LEFT JOIN fl USING (id), e""")
+def ridge_filled_prices(spark, folder):
+    """Every order line; missing prices by the one penalty, so that SQL can say the same."""
+    out = ps.estimate(durable(lines(spark, folder)), TABLE, {"ridge": [PENALTY]})
     return out.select("id", "price", "estimated", "final", "model_mae")
 
 
