@@ -1,5 +1,8 @@
 """Distance operators against plain loops on small fixtures."""
 
+import math
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -125,3 +128,66 @@ def test_polygons_with_hole_island_and_border(spark):
     assert areas == {1: 68.0, 2: 9.0}
     stated = spark.createDataFrame([(1, 68.5), (2, 10.0)], "id int, stated double")
     assert [r["id"] for r in polygons.area_offenders(polygons.feature_areas(nested, "id"), stated, "id", "stated").collect()] == [2]
+
+
+def held(x, y, sides):
+    """Even–odd by every edge, outside on the border."""
+    odd = False
+    for x1, y1, x2, y2 in sides:
+        if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            return False
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+def star(rng, x, y, size, n):
+    turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+    ring = [[x + size * rng.uniform(0.3, 1) * math.cos(t), y + size * rng.uniform(0.3, 1) * math.sin(t)] for t in turns]
+    return [*ring, ring[0]]
+
+
+def comb(x, y, teeth):
+    ring = [[x, y]]
+    for i in range(teeth):
+        ring += [[x + i, y + 50.0], [x + i + 0.5, y + 50.0], [x + i + 0.5, y + 1.0], [x + i + 1.0, y + 1.0]]
+    return [*ring, [x + teeth, y], [x, y]]
+
+
+def test_polygons_of_all_scales_against_every_edge(spark):
+    rng = random.Random(6)
+    shapes = [(i, [[star(rng, rng.uniform(-60, 60), rng.uniform(-60, 60), rng.choice([0.01, 1, 8, 40]), rng.choice([3, 9, 60]))]]) for i in range(40)]
+    shapes += [(90, [[square(0.0, 0.0, 1.0)], [square(0.25, 0.25, 0.5)]]), (91, [[comb(-20.0, -20.0, 30)]]), (92, [[square(-64.0, -64.0, 128.0)]])]
+    rows = spark.createDataFrame(shapes, "id int, c array<array<array<array<double>>>>")
+    sides = polygons.edges(polygons.rings(rows, "id", "c"), "id").withColumnRenamed("id", "poly")
+    plain = {i: [(*a, *b) for part in c for ring in part for a, b in zip(ring, ring[1:])] for i, c in shapes}
+    spots = [(rng.uniform(-70, 70), rng.uniform(-70, 70)) for _ in range(300)]
+    for edges_ in plain.values():  # vertices, places on borders and close to them, and level with vertices
+        for x1, y1, x2, y2 in rng.sample(edges_, min(6, len(edges_))):
+            spots += [(x1, y1), ((x1 + x2) / 2, (y1 + y2) / 2), (x1 + 1e-7, y1), (x1 - 0.2, y1), (x1, y1 + 0.3)]
+    spots += [(0.5, 0.5), (0.25, 0.3), (0.1, 0.25), (-19.75, 0.0), (-19.4, 0.0), (float("nan"), 0.0)]
+    points = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)] + [(9999, None, 0.0)], "p int, lon double, lat double")
+    got = {r["p"]: r["inside"] for r in polygons.containing(points, sides, "poly").collect()}
+    assert got == {i: sorted(k for k, e in plain.items() if held(*s, e)) for i, s in enumerate(spots)} | {9999: []}
+
+
+def test_cells_follow_edges_not_the_mix_of_sizes(spark):
+    small = [(i, [[square(1000.0 + 0.01 * i, 0.0, 0.005)]]) for i in range(400)]
+    big = [[(500 + 50 * math.sin(9 * t)) * f(t) for f in (math.cos, math.sin)] for t in np.linspace(0, 2 * math.pi, 4000, endpoint=False).tolist()]
+    big.append(big[0])
+    rows = spark.createDataFrame([*small, (999, [[big]])], "id int, c array<array<array<array<double>>>>")
+    sides = polygons.edges(polygons.rings(rows, "id", "c"), "id")
+    edges_ = sides.count()
+    seen = polygons.cover(sides, "id").select(F.explode("polygons").alias("p")).select("p.id", F.size("p.edges").alias("n"))
+    many = seen.agg(F.count("*").alias("cells"), F.sum("n").alias("carried")).first()
+    assert edges_ == 5600 and many["cells"] < 4 * edges_ and many["carried"] < 16 * edges_
+    assert seen.where("id < 400").groupBy("id").count().agg(F.max("count")).first()[0] <= 36
+
+
+def test_rings_meet_rings_of_their_own_feature_only(spark):
+    shapes = [(i, [[square(0.0, 0.0, 10.0)], [square(1.0, 1.0, 2.0)]]) for i in range(60)] + [(None, [[square(0.0, 0.0, 9.0)], [square(2.0, 2.0, 3.0)]])]
+    sides = polygons.edges(polygons.rings(spark.createDataFrame(shapes, "id int, c array<array<array<array<double>>>>"), "id", "c"), "id")
+    per_cell = polygons.cover(sides.withColumnRenamed("ring", "around"), "around", ["id"]).agg(F.max(F.size("polygons"))).first()[0]
+    assert per_cell <= 2
+    roles = {(r["id"], r["ring"]): r["role"] for r in polygons.nest(sides, "id").collect()}
+    assert all(roles[i, 0] == "part" and roles[i, 1 << 32] == "hole" for i in range(60))
