@@ -103,13 +103,30 @@ def strip_accents(text: Column, form: str = "NFD") -> Column:
     """
     marked, plain, several = _accent_pairs(form)
     single = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), marked, plain)
-    pairs = "\x01".join(f"{k}\x02{v}" for k, v in several.items())  # one literal, folded to a map once
-    bases = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
-    letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(bases, c), c))
-    opened = F.when(single.rlike("[" + "".join(several) + "]"), F.array_join(letters, "")).otherwise(single)
+    holds_several = F.length(F.translate(single, "".join(several), "")) < F.length(single)
+    opened = F.when(holds_several, F.array_join(F.transform(F.split(single, ""), lambda c: _opened(c, form)), "")).otherwise(single)
     return F.when(F.length(text) == F.octet_length(text), text).otherwise(opened)
 
 
+@lru_cache(maxsize=2)
+def _pages(form: str) -> tuple[str, str]:
+    """What stands for a character with several, in two levels: the place of each page of 256 code points (0: it holds
+    none), and the entries of the pages; both as one literal that is split once."""
+    several = _accent_pairs(form)[2]
+    used = sorted({ord(k) >> 8 for k in several})
+    places = [str(used.index(p) + 1) if p in used else "0" for p in range(max(used, default=0) + 1)]
+    entries = [several.get(chr(page << 8 | low), "") for page in used for low in range(256)]
+    return ",".join(places), "\x01".join(entries)
+
+
+def _opened(letter: Column, form: str) -> Column:
+    places, entries = (F.split(F.lit(x), sign) for x, sign in zip(_pages(form), (",", "\x01")))
+    code = F.ascii(letter)
+    page = F.coalesce(F.try_element_at(places, F.shiftright(code, 8) + 1).cast("int"), F.lit(0))
+    entry = F.try_element_at(entries, (page - 1) * 256 + code.bitwiseAND(F.lit(255)) + 1)
+    return F.when((page > 0) & (entry != ""), entry).otherwise(letter)
+
+
 def strip_blanks(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
