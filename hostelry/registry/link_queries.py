@@ -102,13 +102,13 @@ def repeated_keys(spark, folder):
     return linkage.repeated_keys(read(spark, folder, "orders").select(c("o_custkey").alias("k")), "k")
 
 
-# two sources that overlap in part: the registry lacks one nation group, the open source another,
-# and half of what it knows it knows by code
+# two sources over all rows that agree in part: some nation groups have another code and street in the registry, others
+# in the open source, and half of what that knows it knows by code
 LINK_SQL = """
-reg AS (SELECT c_custkey AS k, concat('HUTB-', lpad(cast(c_custkey as varchar(20)), 6, '0')) AS code, concat('Hotel ', c_name) AS name, 'Town' AS town, 'C' AS road_type,
-  concat('Major ', cast(c_custkey % 700 as varchar(20))) AS road_name, cast(c_custkey % 23 as varchar(20)) AS number, '1' AS floor, case when c_custkey % 4 = 0 then 'A' else 'B' end AS door FROM customer WHERE c_nationkey < 17),
-src AS (SELECT c_custkey AS id, case when c_custkey % 2 = 0 then concat('HUTB-', lpad(cast(c_custkey as varchar(20)), 6, '0')) end AS code, case when c_custkey % 7 = 0 then 'Other place' else c_name end AS name, 'TOWN' AS town, '' AS road_type,
-  concat('Carrer Major ', cast(c_custkey % 700 as varchar(20))) AS road_name, cast(c_custkey % 23 as varchar(20)) AS number, '01' AS floor, case when c_custkey % 4 = 0 then 'A' else 'B' end AS door, c_acctbal AS lat, 2 + c_custkey % 6 AS places FROM customer WHERE c_nationkey >= 5)"""
+reg AS (SELECT c_custkey AS k, concat('HUTB-', lpad(cast(c_custkey + case when c_nationkey < 17 then 0 else 500000 end as varchar(20)), 6, '0')) AS code, concat('Hotel ', c_name) AS name, 'Town' AS town, 'C' AS road_type,
+  concat('Major ', cast(c_custkey % 700 + case when c_nationkey < 17 then 0 else 1000 end as varchar(20))) AS road_name, cast(c_custkey % 23 as varchar(20)) AS number, '1' AS floor, case when c_custkey % 4 = 0 then 'A' else 'B' end AS door FROM customer),
+src AS (SELECT c_custkey AS id, case when c_custkey % 2 = 0 then concat('HUTB-', lpad(cast(c_custkey + case when c_nationkey >= 5 then 0 else 700000 end as varchar(20)), 6, '0')) end AS code, case when c_custkey % 7 = 0 then 'Other place' else c_name end AS name, 'TOWN' AS town, '' AS road_type,
+  concat('Carrer Major ', cast(c_custkey % 700 + case when c_nationkey >= 5 then 0 else 2000 end as varchar(20))) AS road_name, cast(c_custkey % 23 as varchar(20)) AS number, '01' AS floor, case when c_custkey % 4 = 0 then 'A' else 'B' end AS door, c_acctbal AS lat, 2 + c_custkey % 6 AS places FROM customer)"""
 LINK_BODY = """
 ex AS (SELECT reg.*, src.id AS sid, src.lat, src.places FROM reg LEFT JOIN src ON src.code = reg.code),
 loose AS (SELECT *, concat_ws('|', road_name, number, ltrim(floor, '0'), door) AS ak FROM src WHERE code IS NULL OR code NOT IN (SELECT code FROM reg)),
@@ -118,14 +118,16 @@ prs AS (SELECT p.code, l.id, l.lat, l.places, l.name FROM pend p JOIN loose l US
 
 def link_inputs(spark, folder):
     people = read(spark, folder, "customer")
-    registry = people.filter("c_nationkey < 17").selectExpr(
-        "concat('HUTB-', lpad(cast(c_custkey as string), 6, '0')) AS code", "concat('Hotel ', c_name) AS name", "'Town' AS town", "'C' AS road_type",
-        "concat('Major ', cast(c_custkey % 700 as string)) AS road_name", "cast(c_custkey % 23 as string) AS number", "'1' AS floor",
+    registry = people.selectExpr(
+        "concat('HUTB-', lpad(cast(c_custkey + case when c_nationkey < 17 then 0 else 500000 end as string), 6, '0')) AS code", "concat('Hotel ', c_name) AS name", "'Town' AS town", "'C' AS road_type",
+        "concat('Major ', cast(c_custkey % 700 + case when c_nationkey < 17 then 0 else 1000 end as string)) AS road_name",
+        "cast(c_custkey % 23 as string) AS number", "'1' AS floor",
         "case when c_custkey % 4 = 0 then 'A' else 'B' end AS door")
-    source = people.filter("c_nationkey >= 5").selectExpr(
-        "c_custkey AS id", "case when c_custkey % 2 = 0 then concat('HUTB-', lpad(cast(c_custkey as string), 6, '0')) end AS code",
+    source = people.selectExpr(
+        "c_custkey AS id", "case when c_custkey % 2 = 0 then concat('HUTB-', lpad(cast(c_custkey + case when c_nationkey >= 5 then 0 else 700000 end as string), 6, '0')) end AS code",
         "case when c_custkey % 7 = 0 then 'Other place' else c_name end AS name", "'TOWN' AS town", "'' AS road_type",
-        "concat('Carrer Major ', cast(c_custkey % 700 as string)) AS road_name", "cast(c_custkey % 23 as string) AS number", "'01' AS floor",
+        "concat('Carrer Major ', cast(c_custkey % 700 + case when c_nationkey >= 5 then 0 else 2000 end as string)) AS road_name",
+        "cast(c_custkey % 23 as string) AS number", "'01' AS floor",
         "case when c_custkey % 4 = 0 then 'A' else 'B' end AS door", "c_acctbal AS lat", "2 + c_custkey % 6 AS places")
     return registry, source
 

@@ -154,11 +154,15 @@ def point_tuples(spark, folder):
         c("p")[2].cast("bigint").alias("places"), c("p")[4].cast("boolean").alias("price_known"))
 
 
-@query("snk05_table_catalogue", "SNK-05", """
-SELECT 'customer' AS "table", (SELECT count(*) FROM customer) AS rows, 5 AS columns, 'c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment' AS column_names, 'generator' AS producer
-UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 3, 'n_nationkey, n_name, n_regionkey', 'generator'""")
+GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+         "labels", "conversations")
+
+
+@query("snk05_table_catalogue", "SNK-05", " UNION ALL ".join(
+    f"""SELECT '{n}' AS "table", (SELECT count(*) FROM {n}) AS rows, count(*)::INT AS columns, string_agg(column_name, ', ') AS column_names, 'generator' AS producer
+ FROM (DESCRIBE SELECT * FROM {n})""" for n in GIVEN))
 def table_catalogue(spark, folder):
-    return writers.catalogue(spark, {n: (f"{folder}/{n}.parquet", "generator") for n in ("customer", "nation")})
+    return writers.catalogue(spark, {n: (f"{folder}/{n}.parquet", "generator") for n in GIVEN})
 
 
 @query("js02_json_properties", "JS-01 SRC-08", "SELECT event_type, sum(cast(json_extract(props, '$.k') as bigint))::BIGINT AS k FROM events GROUP BY 1")
