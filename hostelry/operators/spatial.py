@@ -226,6 +226,59 @@ def evidence_of_host(rows: DataFrame, row_id: str, host: str, price: str, area:
     return out
 
 
+#: Halvings of a cell of side ``radius`` that totals may go down to, and distinct spots of a cell that are not worth more.
+HALVINGS, CELL_SPOTS = 10, 512
+
+
+def _partial_totals(spots: DataFrame, sites: DataFrame, radius: float, sums: Sequence[str], ring) -> DataFrame:
+    """Rows of ``sid, ring`` and sums that add up to the totals: one per site and cell that lies in one ring as a whole, one per
+    site and spot of the cells that a ring's edge cuts."""
+    fine = radius / 2**HALVINGS
+    placed = durable(spots.select("x", "y", *sums, cell(F.col("x"), fine).alias("fx"), cell(F.col("y"), fine).alias("fy")))
+
+    def at(level):
+        return [F.shiftright(c, HALVINGS - level).alias(n) for c, n in (("fx", "cx"), ("fy", "cy"))]
+
+    depth = 0
+    while depth < HALVINGS and (placed.groupBy(*at(depth)).count().agg(F.max("count")).first()[0] or 0) > CELL_SPOTS:
+        depth += 1
+    front = sites.select("sid", "sx", "sy", F.explode(around(cell(F.col("sx"), radius), cell(F.col("sy"), radius), 1)).alias("c")).select(
+        "sid", "sx", "sy", "c.cx", "c.cy")
+    parts = None
+    for level in range(depth):
+        cells = placed.groupBy(*at(level)).agg(
+            *[F.sum(c).alias(c) for c in sums], F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        met = spread_join(front, cells, ["cx", "cy"])
+        # rounding keeps order, so no point of the cell measures less than ``lo`` or more than ``hi``
+        low = [F.greatest(F.col(f"{n}0") - F.col(f"s{n}"), F.lit(0.0), F.col(f"s{n}") - F.col(f"{n}1")) for n in "xy"]
+        high = [F.greatest(F.abs(F.col(f"s{n}") - F.col(f"{n}0")), F.abs(F.col(f"s{n}") - F.col(f"{n}1"))) for n in "xy"]
+        lo, hi = (F.sqrt(a * a + b * b) for a, b in (low, high))
+        met = durable(met.select("sid", "sx", "sy", "cx", "cy", *sums, ring(lo).alias("ring"), ring(hi).alias("__far")).where("ring is not null"))
+        whole = met.where("ring = __far").select("sid", "ring", *sums)
+        parts = whole if parts is None else parts.unionByName(whole)
+        quarters = F.array(*[F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)])
+        front = met.where("__far is null or ring <> __far").select("sid", "sx", "sy", F.explode(quarters).alias("c")).select("sid", "sx", "sy", "c.cx", "c.cy")
+    leaves = placed.select("x", "y", *sums, *at(depth))
+    d = distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
+    met = spread_join(leaves, front, ["cx", "cy"], condition=d <= radius).select("sid", ring(d).alias("ring"), *sums)
+    return met if parts is None else parts.unionByName(met)
+
+
+def totals_within(spots: DataFrame, sites: DataFrame, radius: float, sums: Sequence[str], ring=None) -> DataFrame:
+    """Sums over the spots within a radius of each site: ``sid`` and the sums; sites without spots are left out.
+
+    ``spots`` has one row per place (``x``, ``y``); ``sites`` has ``sid``, ``sx``, ``sy``. With ``ring``, a function of a distance
+    that does not fall as it grows (null: too far), sums come per ``sid`` and ``ring``.
+
+    Spots stand in cells that are halved until the fullest holds few. A cell that lies in one ring as a whole adds its
+    totals at once; only cells that an edge cuts are opened. So a crowd costs its sites, not its pairs. Runs a count
+    and a join per halving; where no cell is crowded that is one count, and the join meets spots at once.
+    """
+    bands = (lambda d: F.when(d <= radius, F.lit(1))) if ring is None else ring
+    found = _partial_totals(spots, sites, radius, sums, bands)
+    return found.groupBy("sid", *([] if ring is None else ["ring"])).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def site_profile(sites: DataFrame, points: DataFrame, radius: float, sums: dict[str, Column]) -> DataFrame:
     """Count and sums of the points within a radius of each site; zero where there are none.
 
@@ -234,17 +287,15 @@ def site_profile(sites: DataFrame, points: DataFrame, radius: float, sums: dict[
     names = list(sums)
     spots = points.groupBy("x", "y").agg(
         F.count(F.lit(1)).alias("near"), *[F.sum(c).alias(n) for n, c in sums.items()])
-    pairs = pairs_within(spots, sites.select("sid", "sx", "sy"), radius)
-    totals = pairs.groupBy("sid").agg(F.sum("near").alias("near"), *[F.sum(n).alias(n) for n in names])
+    totals = totals_within(spots, sites, radius, ["near", *names])
     return sites.join(totals, "sid", "left").na.fill(0, ["near", *names])
 
 
 def ring_series(sites: DataFrame, points: DataFrame, step: float, rings: int, weight: Column) -> DataFrame:
     """Cumulative count and weight of points per site for radii 0, step, 2·step …"""
     spots = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
-    pairs = pairs_within(spots, sites.select("sid", "sx", "sy"), step * rings)
-    ring = F.ceil(F.col("d") / step).cast("int")
-    counts = pairs.groupBy("sid", ring.alias("ring")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    counts = totals_within(
+        spots, sites, step * rings, ["n", "w"], lambda d: F.when(d <= step * rings, F.ceil(d / step).cast("int")))
     frame = sites.select("sid", F.explode(F.sequence(F.lit(0), F.lit(rings))).alias("ring"))
     along = Window.partitionBy("sid").orderBy("ring")
     return frame.join(counts, ["sid", "ring"], "left").select(

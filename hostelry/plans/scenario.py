@@ -21,10 +21,11 @@ from hostelry.session import durable
 def food_demand(hotels: DataFrame, dwellings: DataFrame, food: DataFrame, radius: float, flat_weight: float = DWELLING_FOOD_WEIGHT) -> DataFrame:
     """Guests near each food site now and later. Hotels bring ``w`` now and ``extra`` later;
     dwellings bring ``w`` now, weighed down because they cook, and nothing later."""
-    today = spread(hotels, food, radius).select("sid", F.col("received").alias("hotel"))
-    flats = spread(dwellings, food, radius).select("sid", F.col("received").alias("flat"))
-    extra = spread(hotels, food, radius, "extra").select("sid", F.col("received").alias("extra"))
-    out = food.select("sid").join(today, "sid").join(flats, "sid").join(extra, "sid")
+    none = F.lit(None).cast("double")
+    sources = hotels.select("x", "y", F.col("w").alias("hotel"), none.alias("flat"), "extra").unionByName(
+        dwellings.select("x", "y", none.alias("hotel"), F.col("w").alias("flat"), none.alias("extra")))
+    got = spread(sources, food, radius, ["hotel", "flat", "extra"])
+    out = got.select("sid", *[F.col(f"received_{n}").alias(n) for n in ("hotel", "flat", "extra")])
     out = out.withColumns({
         "now": F.col("hotel") + F.lit(flat_weight) * F.col("flat"), "later": F.col("hotel") + F.col("extra")})
     return durable(out.withColumn("change_pct", change_pct(F.col("now"), F.col("later"))))

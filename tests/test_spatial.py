@@ -191,3 +191,48 @@ def test_rings_meet_rings_of_their_own_feature_only(spark):
     assert per_cell <= 2
     roles = {(r["id"], r["ring"]): r["role"] for r in polygons.nest(sides, "id").collect()}
     assert all(roles[i, 0] == "part" and roles[i, 1 << 32] == "hole" for i in range(60))
+
+
+def crowd(seed, n, width):
+    rng = np.random.default_rng(seed)
+    xy = rng.uniform(0, width, (n, 2)) + 1000.0
+    return pd.DataFrame({"x": xy[:, 0], "y": xy[:, 1], "n": 1, "w": rng.integers(1, 9, n).astype(float)})
+
+
+@pytest.mark.parametrize("width", [10.0, 300.0, 2000.0])
+def test_totals_of_a_crowd_against_all_distances(spark, width):
+    spots, at = crowd(1, 900, width), crowd(2, 40, width)
+    sites = pd.DataFrame({"sid": range(40), "sx": at["x"], "sy": at["y"]})
+    sites.loc[40] = [40, 9e6, 9e6]
+    sites["sid"] = sites["sid"].astype(int)
+    d = np.sqrt((spots["x"].to_numpy()[:, None] - sites["sx"].to_numpy()) ** 2 + (spots["y"].to_numpy()[:, None] - sites["sy"].to_numpy()) ** 2)
+    got = spatial.totals_within(spark.createDataFrame(spots), spark.createDataFrame(sites), 200.0, ["n", "w"]).collect()
+    want = {s: ((d[:, s] <= 200).sum(), spots["w"][d[:, s] <= 200].sum()) for s in range(41) if (d[:, s] <= 200).any()}
+    assert {r["sid"]: (r["n"], r["w"]) for r in got} == want
+    rings = spatial.ring_series(spark.createDataFrame(sites), spark.createDataFrame(spots), 25.0, 8, F.col("w")).collect()
+    assert all(r["points"] == (d[:, r["sid"]] <= r["radius"]).sum() for r in rings if r["radius"]) and len(rings) == 41 * 9
+
+
+def test_a_crowd_costs_its_sites_not_its_pairs(spark):
+    """Everything in one cell: four times the spots give the same rows per site."""
+    rows = []
+    for n in (1500, 6000):
+        spots, at = crowd(3, n, 40.0), crowd(4, 60, 40.0)
+        sites = spark.createDataFrame(pd.DataFrame({"sid": range(60), "sx": at["x"], "sy": at["y"]}))
+        parts = spatial._partial_totals(spark.createDataFrame(spots), sites, 200.0, ["n"], lambda d: F.when(d <= 200.0, 1))
+        rows.append(parts.count())
+        assert parts.agg(F.sum("n")).first()[0] == 60 * n
+    assert rows[1] == rows[0] <= 60 * 4
+
+
+def test_several_weights_ride_on_one_spread(spark):
+    a, b = scattered(8, 120), scattered(9, 30)
+    rng = np.random.default_rng(5)
+    a["w"], a["v"] = rng.uniform(1, 5, len(a)), rng.uniform(0, 2, len(a))
+    a.loc[::7, "v"] = np.nan
+    rows = spark.createDataFrame(a).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    places = sites_of(spark, b).drop("k")
+    both = {r["sid"]: r for r in demand.spread(rows, places, 150.0, ["w", "v"]).collect()}
+    for name in ("w", "v"):
+        alone = demand.spread(rows, places, 150.0, name).collect()
+        assert {r["sid"]: pytest.approx(r["received"]) for r in alone} == {k: r[f"received_{name}"] for k, r in both.items()}
