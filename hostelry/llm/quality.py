@@ -26,6 +26,8 @@ from hostelry.llm.words import BLANK, mix, shingles, words_of
 MAX_LABELLED = 2_000
 #: Lines of a training sequence; longer documents give several.
 TRAINING_LINES = 30
+#: Training sequences at most, of all labelled documents together; those with the least hash are taken.
+MAX_SEQUENCES = 8_000
 MIN_WORDS, MAX_REPEATED, MIN_CONTENT = 50, 0.5, 0.5
 
 
@@ -130,31 +132,34 @@ def measure(texts: list[str]) -> Lines:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        max_labelled: int = MAX_LABELLED) -> crf.Chain:
-    """Field fitted to at most ``max_labelled`` labelled documents (a job; its rows come to the driver as feature ids)."""
+        max_labelled: int = MAX_LABELLED, max_sequences: int = MAX_SEQUENCES) -> crf.Chain:
+    """Field fitted to at most ``max_sequences`` runs of ``TRAINING_LINES`` lines of at most ``max_labelled`` labelled documents.
+
+    A job; the runs come to the driver as feature ids. An id with several texts counts once, with the first of them in order."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
         F.col(id_col).alias("key_")).agg(F.min(label_col).cast("int").alias("label_"))
     picked = known.orderBy(F.xxhash64("key_"), "key_").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("key_"), F.col(text_col).alias("text_")).join(picked, "key_").select(
-        F.struct("key_", "label_").alias("label"), "text_")
+        F.struct("key_", "label_").alias("label"), F.coalesce("text_", F.lit("")).alias("text_")).groupBy("label").agg(F.min("text_").alias("text_"))
 
     def start():
         def function(batch):
             lines = measure(batch)
             first = lines.first(len(batch))
-            return ([lines.features[a:b].ravel().tolist() for a, b in zip(first[:-1], first[1:], strict=True)],)
+            return ([[lines.features[c:min(c + TRAINING_LINES, b)].ravel().tolist() for c in range(a, b, TRAINING_LINES)]
+                     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)],)
 
         return function
 
-    sets = per_document(texts, "label", "text_", [T.StructField("features", T.ArrayType(T.IntegerType()))], start).collect()
+    kind = T.ArrayType(T.ArrayType(T.IntegerType()))
+    runs = per_document(texts, "label", "text_", [T.StructField("runs", kind)], start).select("label", F.posexplode("runs").alias("no", "features"))
+    sets = runs.orderBy(F.xxhash64("label.key_", "no"), "label.key_", "no").limit(max_sequences).collect()
     rows, labels_, lengths = [], [], []
-    for row in sorted(sets, key=lambda r: (r.label.key_, r.features)):
-        ids = np.array(row.features, np.int64).reshape(-1, len(_SHARES))
-        for a in range(0, len(ids), TRAINING_LINES):
-            part = ids[a:a + TRAINING_LINES]
-            rows.append(part)
-            lengths.append(len(part))
-            labels_.append(np.full(len(part), int(row.label.label_ == 0)))
+    for row in sorted(sets, key=lambda r: (r.label.key_, r.no)):
+        part = np.array(row.features, np.int64).reshape(-1, len(_SHARES))
+        rows.append(part)
+        lengths.append(len(part))
+        labels_.append(np.full(len(part), int(row.label.label_ == 0)))
     if not rows:
         rows, labels_ = [np.zeros((0, len(_SHARES)), np.int64)], [np.zeros(0, np.int64)]
     return crf.train(np.concatenate(rows), np.concatenate(labels_), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64),

@@ -88,3 +88,28 @@ def test_a_very_long_line_and_many_lines():
     assert measured(["ab " * 200_000, "a b\n" * 50_000]) == [plain("ab " * 200_000)[:5], plain("a b\n" * 50_000)[:5]]
     lines = quality.measure(["a b\n" * 20_000])
     assert len(blank_chain().decode(lines.features, lines.first(1))) == 20_000
+
+
+def test_halves_of_mixed_texts_are_told_apart(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    chain = quality.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where("length(text) > 400").orderBy("doc_id").collect()
+    good, bad = ([r.text.strip("\n") for r in rows if r.quality == q and r.text.count("\n") >= 4][:30] for q in (1, 0))
+    mixed = [f"{a}\n{b}" if i % 2 else f"{b}\n{a}" for i, (a, b) in enumerate(zip(good, bad))]
+    lines = quality.measure(mixed)
+    marks, first = chain.decode(lines.features, lines.first(len(mixed))), lines.first(len(mixed))
+    wrong = {0: [], 1: []}
+    for i, (a, b) in enumerate(zip(good, bad)):
+        own, n = marks[first[i]:first[i + 1]], sum(bool(x.split()) for x in (a if i % 2 else b).split("\n"))
+        head, tail = (0, 1) if i % 2 else (1, 0)
+        wrong[head] += list(own[:n] != head)
+        wrong[tail] += list(own[n:] != tail)
+    assert len(mixed) > 10 and np.mean(wrong[0]) < 0.1 and np.mean(wrong[1]) < 0.2
+
+
+def test_training_is_bounded_in_runs_and_takes_an_id_once(spark):
+    docs = spark.createDataFrame([(1, "a b\n" * 4000), (1, "c d\n" * 4000), (2, "#*\n" * 500), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    once = quality.fit(docs.where("text is null or not text like 'c%'"), labels)
+    assert np.array_equal(quality.fit(docs, labels).weights, once.weights)
+    assert quality.fit(docs, labels, max_sequences=5).weights.any()
