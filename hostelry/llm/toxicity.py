@@ -155,7 +155,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     picked = known.orderBy(F.xxhash64("key_"), "key_").limit(max_labelled)
     found = docs.select(F.col(id_col).alias("key_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).join(picked, "key_").select(
         F.struct("key_", "label_", (remainder("key_") / 3).cast("long").alias("part_")).alias("label"), "text_")
-    return durable(found)  # a bounded sample, read four times
+    # an id with several texts counts once, with the first of them in order
+    return durable(found.groupBy("label").agg(F.min("text_").alias("text_")))  # a bounded sample, read four times
 
 
 def learn_lexicons(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[int, Lexicon]:

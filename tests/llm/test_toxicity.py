@@ -1,3 +1,5 @@
+import random
+import re
 import zlib
 
 import numpy as np
@@ -64,3 +66,38 @@ def test_features_say_what_they_should():
     assert got["capital_words"][2] == 1 and got["shouts"][2] > 0
     assert got["hidden"][3] == 1 and got["stretched"][4] == 1
     assert not any(got[name][5] for name in got)
+
+
+def plainly(text, known):
+    """The twelve features counted word by word."""
+    words, tokens = re.findall(r"[^ \t\n\v\f\r]+", text), re.findall(r"[A-Za-z\x80-\U0010ffff]+", text)
+    low = [t.translate({c: c + 32 for c in range(65, 91)}) for t in tokens]
+    strong = [i for i, t in enumerate(low) if t in known]
+    person = [i for i, t in enumerate(low) if t in ("you", "your")]
+    size = max(len(text), 1)
+    letters = [c for c in text if c.isascii() and c.isalpha()]
+    caps = [w for w in words if sum("A" <= c <= "Z" for c in w) >= 2 and not any("a" <= c <= "z" for c in w)]
+    return [len(strong) / max(len(tokens), 1), np.log1p(len(strong)), sum(any(abs(p - s) <= toxicity.NEAR for p in person) for s in strong) / max(len(strong), 1),
+            len(person) / max(len(tokens), 1), sum("A" <= c <= "Z" for c in letters) / max(len(letters), 1), len(caps) / max(len(words), 1),
+            text.count("!") / size, np.log1p(len(words))]
+
+
+def test_features_against_a_plain_count():
+    rng = random.Random(4)
+    known = ["idiot", "loser"]
+    keys = np.sort(toxicity.words_of(known).hashes())
+    texts = [" ".join(rng.choices(["you", "Your", "idiot", "LOSER", "fine", "WORDS", "a", "end!", "so,", "IDIOT!"], k=rng.randrange(0, 40))) for _ in range(300)]
+    got = toxicity.features(texts, toxicity.Lexicon(keys, keys))
+    names = ["strong", "log_strong", "near_person", "person", "capitals", "capital_words", "shouts", "log_words"]
+    at = [0, 2, 3, 4, 5, 6, 7, 11]
+    for row, text in zip(got, texts):
+        assert row[at] == pytest.approx(plainly(text, known)), (names, text)
+
+
+def test_an_id_with_many_texts_counts_once(spark):
+    texts = [(i, ("you vile idiot " if i % 2 else "a fine day ") * 5 + str(i)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    one = spark.createDataFrame(texts, "doc_id long, text string")
+    many = spark.createDataFrame(texts + [(i, t + " zz") for i, t in texts if i % 2] * 3, "doc_id long, text string")
+    sizes = [toxicity._labelled(d, labels, "doc_id", "text", "toxic", 100).count() for d in (one, many)]
+    assert sizes[0] == sizes[1] <= 60
