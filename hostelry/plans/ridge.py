@@ -167,9 +167,10 @@ def _solve(table: Table, penalties: Sequence[float]):
         rows = [(-1, "0", start.tolist())]
         rows += [(-1, str(1 + i), slopes[:, i].tolist()) for i in range(numbers)]
         rows += [(-1, str(1 + numbers + i), (slopes[:, i] * medians[i]).tolist()) for i in range(numbers)]
-        rows += [(int(name.partition("|")[0]), raw[j], slopes[:, numbers + i].tolist()) for i, (name, members) in enumerate(shown.items()) for j in members]
-        # levels outside the sums share the place of rare ones, where the training set has any
-        rows += [(int(name), f"{name}|", slopes[:, numbers + i].tolist()) for i, name in enumerate(shown) if "|" not in name]
+        for i, (name, members) in enumerate(shown.items()):
+            # levels outside the sums share the place of rare ones, where the training set has any
+            names = {raw[j] for j in members} | ({name} if "|" not in name else set())
+            rows += [(int(name.partition("|")[0]), place, slopes[:, numbers + i].tolist()) for place in sorted(names)]
         return pd.DataFrame([(scope, seed, left_out, *r) for r in rows], columns=[*_KEYS, "c", "place", "slopes"])
 
     return solve
@@ -196,7 +197,8 @@ class Solutions:
             # per training set, the rows of each level it has
             inside = levels.select("scope", "seed", "c", "level", "n", "total", F.explode(_others(k)).alias("fold")).groupBy(
                 *_KEYS, "c", "level").agg(F.max("total").alias("total"))
-            name = F.concat(F.col("c").cast("string"), F.lit("|"), F.when(F.col("total") >= MIN_FREQUENCY, F.col("level")).otherwise(""))
+            own = F.col("c").cast("string")
+            name = F.when(F.col("total") >= MIN_FREQUENCY, F.concat(own, F.lit("|"), "level")).otherwise(own)
             slopes = solved.where("c >= 0").drop("c")
             self.level = durable(spread_join(inside.withColumn("place", name), slopes, [*_KEYS, "place"]).select(*_KEYS, "c", "level", "slopes"))
         discard(ready, levels)

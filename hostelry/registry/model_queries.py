@@ -251,29 +251,29 @@ _SET = "scope, seed, f"
 
 
 def ridge_sql(known, penalties=(PENALTY,), folds=range(5), name="rg"):
-    """CTEs up to ``<name>(scope, seed, f, pen, id, p)``: predictions of the rows of ``known`` (scope, seed, fold, and the columns
-    of ``lines``) in fold ``f`` by the rows outside it."""
+    """CTEs up to ``<name>``: the rows of ``known`` (scope, seed, fold, and the columns of ``lines``) in fold ``f``, per penalty ``pen``,
+    with the prediction ``p`` by the rows outside it. Ids may repeat, so rows are numbered."""
     n = name
     numbers = " UNION ALL ".join(
-        f"SELECT {_SET}, id, fold = f AS held, '{x}' AS place, coalesce({x}, m_{x})::DOUBLE AS v FROM {n}_e JOIN {n}_med USING ({_SET})" for x in TABLE.numeric)
-    cats = " UNION ALL ".join(f"SELECT {_SET}, id, fold = f AS held, '{x}' AS c, coalesce({x}, '?') AS level FROM {n}_e" for x in TABLE.categorical)
+        f"SELECT {_SET}, rid, fold = f AS held, '{x}' AS place, coalesce({x}, m_{x})::DOUBLE AS v FROM {n}_e JOIN {n}_med USING ({_SET})" for x in TABLE.numeric)
+    cats = " UNION ALL ".join(f"SELECT {_SET}, rid, fold = f AS held, '{x}' AS c, coalesce({x}, '?') AS level FROM {n}_e" for x in TABLE.categorical)
     add = "list_transform(list_zip({0}, {1}), lambda z: z[1] + {2} * z[2])"
-    return f"""{n}_e AS (SELECT k.*, f FROM ({known}) k, (SELECT unnest([{", ".join(map(str, folds))}]) AS f)),
+    return f"""{n}_e AS MATERIALIZED (SELECT k.*, f FROM (SELECT *, row_number() OVER () AS rid FROM ({known})) k, (SELECT unnest([{", ".join(map(str, folds))}]) AS f)),
 {n}_t AS (SELECT * FROM {n}_e WHERE fold <> f AND price IS NOT NULL),
 {n}_y AS (SELECT {_SET}, count(*)::DOUBLE AS n, avg(ln(1 + price)) AS ym, stddev_pop(ln(1 + price)) AS sd FROM {n}_t GROUP BY ALL),
 {n}_med AS (SELECT {_SET}, {", ".join(f"median({x}) AS m_{x}" for x in TABLE.numeric)} FROM {n}_t GROUP BY ALL),
 {n}_c AS (SELECT * FROM ({cats})),
 {n}_l AS (SELECT {_SET}, c, level, c || '|' || case when count(*) >= 10 then level else 'infrequent' end AS place FROM {n}_c
- JOIN (SELECT {_SET}, id FROM {n}_t) USING ({_SET}, id) GROUP BY {_SET}, c, level),
-{n}_w AS (SELECT * FROM ({numbers}) UNION ALL SELECT {_SET}, id, held, place, 1.0 FROM {n}_c JOIN {n}_l USING ({_SET}, c, level)),
+ JOIN (SELECT {_SET}, rid FROM {n}_t) USING ({_SET}, rid) GROUP BY {_SET}, c, level),
+{n}_w AS (SELECT * FROM ({numbers}) UNION ALL SELECT {_SET}, rid, held, place, 1.0 FROM {n}_c JOIN {n}_l USING ({_SET}, c, level)),
 {n}_i AS (SELECT place, row_number() over (order by place) AS i FROM (SELECT DISTINCT place FROM {n}_w)),
-{n}_x AS MATERIALIZED (SELECT {_SET}, id, held, i, v FROM {n}_w JOIN {n}_i USING (place)),
-{n}_xt AS MATERIALIZED (SELECT x.*, ln(1 + price) AS y FROM {n}_x x JOIN {n}_t USING ({_SET}, id)),
+{n}_x AS MATERIALIZED (SELECT {_SET}, rid, held, i, v FROM {n}_w JOIN {n}_i USING (place)),
+{n}_xt AS MATERIALIZED (SELECT x.*, ln(1 + price) AS y FROM {n}_x x JOIN {n}_t USING ({_SET}, rid)),
 {n}_s AS (SELECT {_SET}, i, sum(v) / any_value(n) AS mu, sum(v * y) / any_value(n) - sum(v) / any_value(n) * any_value(ym) AS cy,
   sqrt(greatest(sum(v * v) / any_value(n) - pow(sum(v) / any_value(n), 2), 0)) AS sc FROM {n}_xt JOIN {n}_y USING ({_SET}) GROUP BY {_SET}, i),
 {n}_d AS (SELECT y.*, i.i, coalesce(mu, 0) AS mu, case when sc > 1e-9 * abs(mu) then sc else 1 end AS sc, case when sc > 1e-9 * abs(mu) then cy else 0 end AS cy,
   sc > 1e-9 * abs(mu) AS used FROM {n}_y y CROSS JOIN {n}_i i LEFT JOIN {n}_s USING ({_SET}, i)),
-{n}_g AS MATERIALIZED (SELECT {_SET}, a.i AS i, b.i AS j, sum(a.v * b.v) AS g FROM {n}_xt a JOIN {n}_xt b USING ({_SET}, id) GROUP BY ALL),
+{n}_g AS MATERIALIZED (SELECT {_SET}, a.i AS i, b.i AS j, sum(a.v * b.v) AS g FROM {n}_xt a JOIN {n}_xt b USING ({_SET}, rid) GROUP BY ALL),
 {n}_r AS (SELECT a.scope, a.seed, a.f, a.i, list(case when a.used and b.used then (coalesce(g, 0) / a.n - a.mu * b.mu) / (a.sc * b.sc) else 0 end ORDER BY b.i) AS line
  FROM {n}_d a JOIN {n}_d b ON a.scope = b.scope AND a.seed = b.seed AND a.f = b.f LEFT JOIN {n}_g g ON g.scope = a.scope AND g.seed = a.seed AND g.f = a.f AND g.i = a.i AND g.j = b.i
  GROUP BY ALL),
@@ -291,7 +291,8 @@ def ridge_sql(known, penalties=(PENALTY,), folds=range(5), name="rg"):
 {n}_k AS (SELECT {_SET}, pen, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM {n}_o),
 {n}_q AS (SELECT k.*, w / sc AS beta, mu FROM {n}_k k JOIN {n}_d USING ({_SET}, i)),
 {n}_z AS (SELECT {_SET}, pen, any_value(ym) - sum(beta * mu) AS start FROM {n}_q JOIN {n}_y USING ({_SET}) GROUP BY {_SET}, pen),
-{n} AS (SELECT {_SET}, pen, id, exp(any_value(start) + sum(v * beta)) - 1 AS p FROM {n}_x JOIN {n}_q USING ({_SET}, i) JOIN {n}_z USING ({_SET}, pen) WHERE held GROUP BY {_SET}, pen, id)"""
+{n}_p AS (SELECT {_SET}, pen, rid, exp(any_value(start) + sum(v * beta)) - 1 AS p FROM {n}_x JOIN {n}_q USING ({_SET}, i) JOIN {n}_z USING ({_SET}, pen) WHERE held GROUP BY {_SET}, pen, rid),
+{n} AS (SELECT * FROM {n}_p JOIN {n}_e USING ({_SET}, rid))"""
 
 
 def known_sql(seeds, scope="''", where="price IS NOT NULL"):
@@ -301,14 +302,14 @@ def known_sql(seeds, scope="''", where="price IS NOT NULL"):
 
 @query("ml03_ridge_cross_validation", "ML-03", f"""
 WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql([42]))}
-SELECT f::INT AS fold, round(avg(abs(p - price)), 3) AS mae, count(*) AS rows FROM rg JOIN lines USING (id) GROUP BY 1""")
+SELECT f::INT AS fold, round(avg(abs(p - price)), 3) AS mae, count(*) AS rows FROM rg GROUP BY 1""")
 def ridge_cross_validation(spark, folder):
     return fold_errors(ps.out_of_fold(lines(spark, folder), TABLE, PENALTY)).select("fold", F.round("mae", 3).alias("mae"), "rows")
 
 
 @query("ml04_ridge_search", "ML-04", f"""
 WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql([42]), ps.PENALTIES)},
-e AS (SELECT pen, avg(mae) AS mae FROM (SELECT pen, f, avg(abs(p - price)) AS mae FROM rg JOIN lines USING (id) GROUP BY 1, 2) GROUP BY 1)
+e AS (SELECT pen, avg(mae) AS mae FROM (SELECT pen, f, avg(abs(p - price)) AS mae FROM rg GROUP BY 1, 2) GROUP BY 1)
 SELECT 'ridge' AS learner, round(min(mae), 2) AS mae, arg_min(pen, mae) AS penalty FROM e""")
 def ridge_search(spark, folder):
     name, mae, penalty = ps.search(durable(lines(spark, folder)), TABLE, {"ridge": ps.PENALTIES})[0]
@@ -316,7 +317,7 @@ def ridge_search(spark, folder):
 
 
 @query("ml05_ridge_repeated", "ML-05", f"""
-WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql(range(5)))}, e AS (SELECT seed, f, avg(abs(p - price)) AS mae FROM rg JOIN lines USING (id) GROUP BY 1, 2)
+WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql(range(5)))}, e AS (SELECT seed, f, avg(abs(p - price)) AS mae FROM rg GROUP BY 1, 2)
 SELECT round(avg(mae), 3) AS mean, round(stddev_pop(mae), 3) AS spread, round(max(mae), 3) AS worst, round(min(mae), 3) AS best, count(*) AS folds FROM e""")
 def ridge_repeated(spark, folder):
     return of_folds(fold_errors(ps.out_of_fold(lines(spark, folder), TABLE, PENALTY, seeds=range(5)))).select(
@@ -324,7 +325,7 @@ def ridge_repeated(spark, folder):
 
 
 @query("ml06_ridge_out_of_fold", "ML-06 AG-30", f"""
-WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql([42]))}, oof AS (SELECT lines.*, p FROM rg JOIN lines USING (id)),
+WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql([42]))}, oof AS (SELECT * FROM rg),
 u AS (SELECT 'segment' AS cut, segment AS label, price, p FROM oof UNION ALL SELECT 'flag', flag, price, p FROM oof UNION ALL SELECT 'kind', kind, price, p FROM oof)
 SELECT cut, label, count(*) AS rows, round(avg(abs(p - price)), 3) AS mae, round(avg(p - price), 3) AS bias, round(median(price), 3) AS median_actual,
  round(avg(abs(p - price)) * 100 / median(price), 3) AS mape FROM u GROUP BY 1, 2""")
@@ -335,7 +336,7 @@ def ridge_out_of_fold(spark, folder):
 
 @query("ml08_ridge_one_or_many", "ML-08", f"""
 WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql([42]) + " UNION ALL " + known_sql([42], "flag"))},
-e AS (SELECT flag, scope, abs(p - price) AS gap FROM rg JOIN lines USING (id))
+e AS (SELECT flag, scope, abs(p - price) AS gap FROM rg)
 SELECT flag, round(avg(gap) FILTER (scope = ''), 3) AS one_model, count(*) FILTER (scope = '') AS rows, round(avg(gap) FILTER (scope <> ''), 3) AS own_model FROM e GROUP BY 1""")
 def ridge_one_or_many(spark, folder):
     out = ps.one_or_many(lines(spark, folder), TABLE, PENALTY, "flag")
@@ -343,9 +344,10 @@ def ridge_one_or_many(spark, folder):
 
 
 @query("ml09_ridge_filled_prices", "ML-09", f"""
-WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql(range(5)))}, e AS (SELECT avg(mae) AS mae FROM (SELECT seed, f, avg(abs(p - price)) AS mae FROM rg JOIN lines USING (id) GROUP BY 1, 2)),
+WITH RECURSIVE {LINES_SQL}, {ridge_sql(known_sql(range(5)))}, e AS (SELECT avg(mae) AS mae FROM (SELECT seed, f, avg(abs(p - price)) AS mae FROM rg GROUP BY 1, 2)),
 {ridge_sql("SELECT '' AS scope, 0 AS seed, case when price is null then -1 else 0 end AS fold, lines.* FROM lines", folds=[-1], name="fl")}
-SELECT id, price, price IS NULL AS estimated, coalesce(price, round(p, 2)) AS final, round(mae, 2) AS model_mae FROM lines LEFT JOIN fl USING (id), e""")
+SELECT id, price, estimated, final, round(mae, 2) AS model_mae FROM (
+ SELECT id, price, false AS estimated, price AS final FROM lines WHERE price IS NOT NULL UNION ALL SELECT id, NULL, true, round(p, 2) FROM fl), e""")
 def ridge_filled_prices(spark, folder):
     """Every order line; missing prices by the one penalty, so that SQL can say the same."""
     out = ps.estimate(durable(lines(spark, folder)), TABLE, {"ridge": [PENALTY]})
