@@ -8,7 +8,7 @@ from hostelry.registry.core import query
 from hostelry.registry.fixtures import read, standin
 from hostelry.registry.spatial_queries import features
 from hostelry.session import scratch_path
-from hostelry.sources import readers, writers
+from hostelry.sources import readers, records, writers
 
 c = F.col
 
@@ -76,6 +76,20 @@ def lost_rows(spark, folder):
     return readers.lost_rows(spark, drifting_files(spark, folder), r"period=([^/]+)", "N_EXPEDIENT")
 
 
+@query("src05_quoted_records", "SRC-05 SRC-06", """
+SELECT cast(doc_id as varchar) AS doc_id, md5(coalesce(text, '') || chr(10) || '"' || coalesce(source, '') || '"') AS digest, length(coalesce(text, '')) AS size FROM documents""")
+def quoted_records(spark, folder):
+    """Every document as one quoted field over as many lines as it has, with a break and quotes put in."""
+    path = scratch_path(spark, "quoted")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit('\n"'), F.coalesce("source", F.lit("")), F.lit('"'))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = read(spark, folder, "documents").withColumn("text", F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
+    rows.select(F.concat_ws(",", c("doc_id").cast("string"), quoted, F.length(F.coalesce("text", F.lit(""))).cast("string")).alias("value")).write.text(path)
+    f = records.fields(c("value"))
+    return records.read_records(spark, path).select(f.alias("f")).select(
+        c("f")[0].alias("doc_id"), F.md5(c("f")[1]).alias("digest"), c("f")[2].cast("bigint").alias("size"))
+
+
 @query("src07_gzip_csv", "SRC-07", "SELECT count(*) AS rows, sum(c_custkey)::BIGINT AS keys FROM customer")
 def gzip_csv(spark, folder):
     rows = readers.read_strings(spark, customer_csv(spark, folder, compression="gzip"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostelry.functions.numeric import locale_number
-
-BOM = "﻿"
+from hostelry.sources import records
+from hostelry.sources.records import BOM
 
 
 def without_bom(rows: DataFrame) -> DataFrame:
@@ -43,13 +43,6 @@ def read_locale(spark: SparkSession, path: str, text_columns: Sequence[str]) ->
 
 # ---------------------------------------------------------------- drifting headers
 
-_FIELDS = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
-def _fields(line: Column) -> Column:
-    return F.transform(F.split(line, _FIELDS), lambda f: F.btrim(f, F.lit(' "')))
-
-
 def _names(header: Column, width: Column) -> Column:
     """Header names for the real width: a fused last name is split, names missing in the middle are
     filled in before the two trustworthy last ones, repeated names are numbered."""
@@ -70,16 +63,12 @@ def _names(header: Column, width: Column) -> Column:
     return F.element_at(F.transform(F.array(bound), number), 1)
 
 
-def _period_lines(spark: SparkSession, path: str, period: str) -> DataFrame:
-    lines = spark.read.text(path)
-    return lines.select(
-        F.regexp_extract(F.col("_metadata.file_path"), period, 1).alias("period"),
-        F.ltrim(F.regexp_replace("value", "\r$", ""), F.lit(BOM)).alias("line"),
-    ).filter(F.col("line") != "")
+def _period_records(spark: SparkSession, path: str, period: str) -> DataFrame:
+    return records.read_records(spark, path).select(F.regexp_extract("file_", period, 1).alias("period"), records.fields(F.col("value")).alias("f"))
 
 
 def _aligned(spark: SparkSession, path: str, period: str, first_column: str) -> DataFrame:
-    lines = _period_lines(spark, path, period).withColumn("f", _fields(F.col("line")))
+    lines = _period_records(spark, path, period)
     is_header = F.element_at("f", 1) == first_column
     widths = lines.filter(~is_header).groupBy("period", F.size("f").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     real = widths.groupBy("period").agg(F.max(F.struct("n", "w")).alias("m")).select("period", F.col("m.w").alias("w"))
@@ -93,7 +82,7 @@ def read_drifting(spark: SparkSession, path: str, period: str, first_column: str
 
     ``period`` is a pattern whose first group names the period in the file path. The real width of a
     period is its commonest row width; wider rows are dropped, narrower ones end in nulls. A name the
-    header lacks is null.
+    header lacks is null. Quoted fields may hold separators, line breaks and doubled quotes.
     """
     rows = _aligned(spark, path, period, first_column).filter(F.size("f") <= F.size("names"))
     def at(name):
