@@ -107,3 +107,19 @@ def test_resumed_stream_does_each_key_once(spark, tmp_path):
     run_pending(spark, inbox, done, "id", calls)
     rows = spark.read.parquet(f"{done}/rows")
     assert rows.count() == 15 and rows.filter("batch = 0").count() == 10
+
+
+def test_a_resumed_batch_reads_only_the_buckets_of_its_keys(spark, tmp_path):
+    inbox, done = str(tmp_path / "in"), str(tmp_path / "done")
+    work = lambda b: b.select("id", F.lit("done").alias("r"))
+    spark.range(40).write.parquet(inbox)
+    run_pending(spark, inbox, done, "id", work, buckets=8)
+    bucket = F.pmod(F.xxhash64("id"), F.lit(8))
+    mine = spark.range(200).filter(bucket == 3)
+    for file in [*tmp_path.glob("done/rows/batch=0/*.parquet"), *(f for f in tmp_path.glob("done/keys/batch=0/bucket=*/*.parquet") if "bucket=3" not in str(f))]:
+        file.write_bytes(b"unreadable")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    mine.coalesce(1).write.mode("append").parquet(inbox)
+    run_pending(spark, inbox, done, "id", work, buckets=8)
+    got = {r.id for r in spark.read.parquet(f"{done}/rows/batch=1").collect()}
+    assert got == {r.id for r in mine.collect() if r.id >= 40}
