@@ -1,8 +1,8 @@
 """Exact quantiles of groups of any size.
 
-Equal values collapse first. A group that still has many distinct values is cut into value ranges
-by a sketch of its own splits; range totals say which range holds the answer, and only that range
-is ordered. Weights add as whole billionths, so the answer is that of exact arithmetic on either way.
+Equal values collapse first. A group that still has many distinct values, by a mergeable sketch of their number, is
+cut into value ranges by a sketch of its own splits; range totals say which range holds the answer, and only that
+range is ordered. Nothing is written in between: the sketches only choose the plan. Weights add as whole billionths, so the answer is that of exact arithmetic on either way.
 """
 
 from __future__ import annotations
@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostelry.operators.distribution import attach, spread_join
-from hostelry.session import durable
 
 
 RANGES = 256
-#: Distinct values of a group that are put in order together, about; a larger group is cut into ranges first.
+#: Distinct values of a group that are put in order together, about and by sketch; a larger group is cut into ranges first.
 #: Both ways compare the same exact sums, so the setting only chooses the plan, never the answer.
 LARGE_FLOOR_SETTING = "spark.hostelry.largeGroup"
 LARGE_FLOOR = 2_000_000
@@ -48,18 +47,16 @@ def exact_quantiles(
     keys = [f"__k{i}" for i in range(len(by))] or ["__k0"]
     source = [F.col(c) for c in by] or [F.lit(0)]
     column = F.col(value) if isinstance(value, str) else value
-    hist = (
+    rows = (
         df.select(
             *[c.alias(k) for c, k in zip(source, keys)],
             column.cast("double").alias("__v"),
             (F.lit(1) if weight is None else F.when(~F.isnan(weight.cast("double")), F.round(weight.cast("double") * UNIT))).cast("decimal(28,0)").alias("__w"),
         )
         .filter(F.col("__v").isNotNull() & ~F.isnan("__v") & F.col("__w").isNotNull())
-        .groupBy(*keys, "__v")
-        .agg(F.sum("__w").cast("decimal(28,0)").alias("__w"))
     )
-    hist = durable(hist)  # the source is read once; what follows reads distinct values only
-    sizes = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__values"))
+    hist = rows.groupBy(*keys, "__v").agg(F.sum("__w").cast("decimal(28,0)").alias("__w"))
+    sizes = rows.groupBy(*keys).agg(F.approx_count_distinct("__v", 0.1).alias("__values"))
     marks = {name: _targets(q, rule) for name, q in probs.items()}
     large = _large_groups(sizes, keys)
     if large.isEmpty():
