@@ -1,8 +1,9 @@
 """Training passages that copy benchmark items, also edited or paraphrased.
 
-1. Word n-grams of the items, of whole words and of first four letters, are looked up in every document, through a bit table of fixed size that lets every
-   true hit pass. Hits closer than the longest item form a passage, which goes on with its words and, on both sides,
-   as many more as an alignment can reach. Equal passages are handled once, however many documents have them.
+1. Word n-grams of the items, of whole words and of first four letters, are looked up in every document, through a table of fixed size that lets every
+   true hit pass and says how long the items with the seed get. Hits that one item can reach both of form a passage,
+   which goes on with its words and, on both sides, as many more as an alignment of those items can reach: an item of
+   any length lengthens only the passages that have its seeds. Equal passages are handled once, however many documents have them.
 2. Passages join items on all seeds: how common a seed is leaves no pair out. Join rows grow with the passages that
    have a seed times the items that have it.
 3. A pair with two seeds of whole words close to one diagonal, or with a quarter of the item's seeds, is aligned word by word (Smith-Waterman, batches in numpy):
@@ -22,6 +23,7 @@ read; an empty table on either side gives an empty table; very long texts are se
 
 from __future__ import annotations
 
+import zlib
 from uuid import uuid4
 
 import numpy as np
@@ -39,7 +41,7 @@ SEED = 3
 THRESHOLD = 0.5
 #: Without enough seeds of whole words, one place in so many of the item must be hit: texts can share beginnings by chance.
 BEGUN_SHARE = 4
-#: Bits of the table of seeds; more seeds let more false hits pass, which the join then drops.
+#: Places of the table of seeds, a byte each; more seeds let more false hits pass, which the join then drops.
 BITS = 1 << 23
 #: Diagonals this close belong to one alignment, and words read beyond its ends.
 SLACK = 12
@@ -89,42 +91,50 @@ def seeds_of(items: DataFrame, text_col: str, n: int) -> DataFrame:
         F.min("s.at_").alias("at_"), F.max("s.at_").alias("last_"))
 
 
-def bit_table(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bit table of the seeds; what comes to the driver is bounded by ``bits``."""
-    place = F.pmod("seed_", F.lit(bits))
-    words = seeds.select(F.shiftright(place, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(seed_, {bits}) % 32 as int))").alias("b")).groupBy("w").agg(
-        F.bit_or("b").alias("b")).collect()
-    table = np.zeros(bits // 32, np.uint32)
-    for row in words:
-        table[row.w] = row.b
-    return np.unpackbits(table.view(np.uint8), bitorder="little")
+def reach_table(seeds: DataFrame, n: int, bits: int = BITS) -> np.ndarray:
+    """How far an alignment of an item with the seed can reach, as a power of two: 0 where no seed is, else the least k
+    with 2^k words enough for the longest of them. What comes to the driver is bounded by ``bits``."""
+    longest = seeds.groupBy("key_").agg(F.ceil(F.log2(F.max("last_") + (n + SLACK))).cast("int").alias("power_"))
+    found = attach(seeds, longest, ["key_"]).groupBy(F.pmod("seed_", F.lit(bits)).cast("int").alias("place")).agg(F.max("power_").alias("power")).toArrow()
+    table = np.zeros(bits, np.uint8)
+    table[found["place"].to_numpy()] = found["power"].to_numpy()
+    return table
 
 
-def _passages(docs: DataFrame, table: np.ndarray, n: int, reach: int, least: int) -> DataFrame:
-    """``key_, id_, text_, hits_`` of passages: hits at most ``reach`` words apart, with as many words on both sides.
+def runs(doc: np.ndarray, low: np.ndarray, place: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """First hits of passages. ``low`` and ``high``: how far back and on each hit reaches; two hits belong together if
+    each reaches the other, and so does everything between them."""
+    on, back = np.maximum.accumulate(high), np.minimum.accumulate(low[::-1])[::-1]
+    return np.flatnonzero((np.diff(doc) > 0) | (on[:-1] < place[1:]) | (back[1:] > place[:-1])) + 1
+
+
+def _passages(docs: DataFrame, table: np.ndarray, n: int, least: int) -> DataFrame:
+    """``key_, id_, text_, hits_`` of passages: hits in reach of each other, with as many words on both sides.
 
     Places are those in the passage. Hits further apart never belong to one alignment, so a passage with hits at fewer
     than ``least`` places is in no pair.
     """
-    packed = np.packbits(table).tobytes()
+    packed = zlib.compress(table.tobytes(), 1)
     size = len(table)
 
     def start():
-        known = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        known = np.frombuffer(zlib.decompress(packed), np.uint8)
 
         def function(texts):
             words = tokens(texts)
             hashes, at, _ = _seeds(words, n)
             # the remainder of the signed value, as the table has it
-            hit = np.flatnonzero(known[hashes.view(np.int64) % size])
+            power = known[hashes.view(np.int64) % size]
+            hit = np.flatnonzero(power)
             doc, place, seed = words.doc[at[hit]], at[hit], hashes[hit].view(np.int64)
-            cuts = np.flatnonzero((np.diff(doc) > 0) | (np.diff(place) > reach)) + 1
+            reach = np.left_shift(1, power[hit].astype(np.int64))
+            low, high = np.maximum(place - reach, words.first[doc]), np.minimum(place + n + reach, words.first[doc + 1]) - 1
+            cuts = runs(doc, low, place, high)
             out = [[] for _ in texts]
             for a, b in zip([0, *cuts], [*cuts, len(hit)], strict=True):
                 if b == a or len(np.unique(place[a:b])) < least:
                     continue
-                first = max(words.first[doc[a]], place[a] - reach)
-                last = min(words.first[doc[a] + 1], place[b - 1] + n + reach) - 1
+                first, last = low[a:b].min(), high[a:b].max()
                 out[doc[a]].append({
                     "text_": words.raw[words.start[first]:words.end[last]].decode("utf-8", "surrogatepass"),
                     "hits_": [{"seed_": int(h), "at_": int(p)} for h, p in zip(seed[a:b], place[a:b] - first, strict=True)]})
@@ -175,6 +185,17 @@ def windows(at: np.ndarray, item_at: np.ndarray, whole: np.ndarray, size: int, n
     return out
 
 
+def _alike(order: list[int], one: list[np.ndarray], other: list[np.ndarray]) -> list[list[int]]:
+    """Up to 128 pairs that are aligned together, of like sizes: none waits for one much longer than itself."""
+    parts = []
+    for k in order:
+        if parts and len(parts[-1]) < 128 and all(len(x[k]) <= 2 * len(x[parts[-1][0]]) + 16 for x in (one, other)):
+            parts[-1].append(k)
+        else:
+            parts.append([k])
+    return parts
+
+
 def _item_words(text: str) -> np.ndarray:
     words = tokens([text])
     return np.stack([words.hashes(), words.hashes(4)], axis=1)
@@ -192,9 +213,8 @@ def find(
     places = F.count_distinct("at_")
     usual = seeds.groupBy("key_").agg(
         F.least(F.lit(2), places).alias("need_"), F.greatest(F.least(F.lit(2), places), F.ceil(places / BEGUN_SHARE)).alias("many_"))
-    bounds = seeds.agg(F.max("last_").alias("last")).crossJoin(usual.agg(F.min("need_").alias("least"))).first()
-    reach = (bounds.last or 0) + n + SLACK
-    hits = durable(_passages(slim, bit_table(seeds), n, reach, bounds.least or 1))
+    least = usual.agg(F.min("need_").alias("least")).first().least
+    hits = durable(_passages(slim, reach_table(seeds, n), n, least or 1))
 
     once = hits.dropDuplicates(["key_"])
     each = once.select("key_", F.explode("hits_").alias("h")).select("key_", F.col("h.seed_").alias("seed_"), F.col("h.at_").alias("place_"))
@@ -233,8 +253,7 @@ def find(
                         other.append(both[first + a:min(first + b, last)])
                         owner.append(i)
                 order = sorted(range(len(one)), key=lambda k: (len(one[k]), len(other[k])))
-                for cut in range(0, len(order), 128):  # pairs of like sizes together
-                    part = order[cut:cut + 128]
+                for part in _alike(order, one, other):
                     best = align([one[k] for k in part], [other[k] for k in part])
                     np.maximum.at(score, [owner[k] for k in part], best / (2 * np.array([len(one[k]) for k in part])))
             keep = np.flatnonzero(score >= threshold)

@@ -129,3 +129,57 @@ def test_a_copy_with_inflected_words_is_found(spark):
     short = item[:5]  # three 3-grams, none of whole words
     assert run(spark, [(0, " ".join(["be", *(f"{w}ed" if k in (1, 3) else w for k, w in enumerate(short)), "so"]))], [(0, " ".join(short))]) == {
         (0, 0): pytest.approx(8 / 10)}
+
+
+def test_a_giant_item_lengthens_no_other_passage(spark, corpus):
+    docs, items, truth = corpus
+    rng = random.Random(13)
+    giant = " ".join(f"giant{rng.randrange(10**6)}" for _ in range(4_000))
+    docs = [*docs, (1000, f"{docs[3][1]} {giant} {docs[5][1]}"), (1001, "pad " * 3000 + items[2][1] + " pad" * 3000)]
+    items = [*items, (50, giant)]
+    assert set(run(spark, docs, items)) == truth | {(1000, 50), (1001, 2)}
+    seeds = dc.seeds_of(spark.createDataFrame([(i, t) for i, t in items], "key_ long, text string"), "text", dc.SEED).persist()
+    slim = spark.createDataFrame(docs, "id_ long, text_ string").where("id_ <> 1000")
+    assert all(len(r.text_.split()) < 600 for r in dc._passages(slim, dc.reach_table(seeds, dc.SEED), dc.SEED, 1).collect())
+
+
+def test_runs_keep_all_hits_together_that_reach_each_other():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        place = np.sort(rng.integers(0, 200, rng.integers(1, 15)))
+        reach = 2 ** rng.integers(0, 7, len(place))
+        part = np.zeros(len(place), int)
+        part[dc.runs(np.zeros(len(place)), place - reach, place, place + reach)] = 1
+        part = np.cumsum(part)
+        for i in range(len(place)):
+            for j in range(i):
+                assert part[i] == part[j] or place[i] - place[j] > min(reach[i], reach[j])
+
+
+@pytest.mark.parametrize("changed", [0.1, 0.2, 0.3])
+def test_recall_of_edited_copies_against_alignment_of_every_pair(spark, changed):
+    rng = random.Random(int(changed * 100))
+    vocabulary = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}word" for i in range(3000)] + ["the", "of", "and", "in"] * 150
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(12, 40)))) for i in range(25)]
+
+    def edited(word):
+        kind = rng.random()
+        if kind > changed:
+            return [word]
+        return [[], [word, rng.choice(vocabulary)], [word + "ing"], [rng.choice(vocabulary)], [rng.choice(vocabulary)]][rng.randrange(5)]
+
+    docs = []
+    for i in range(150):
+        words = rng.choices(vocabulary, k=rng.randint(5, 60))
+        words[3:3] = [x for w in items[i % 25][1].split() for x in edited(w)]
+        docs.append((i, " ".join(words)))
+    codes, texts = [dc._item_words(t) for _, t in items], [dc._item_words(t) for _, t in docs]
+    truth = set()
+    for k, code in enumerate(codes):
+        scores = dc.align([code] * len(docs), texts) / (2 * len(code))
+        truth |= {(docs[i][0], items[k][0]) for i in np.flatnonzero(scores >= dc.THRESHOLD)}
+    got = set(run(spark, docs, items))
+    assert got <= truth and len(truth) >= 100
+    recall = len(got) / len(truth)
+    print(f"recall at {changed}: {recall:.3f} of {len(truth)}")
+    assert recall >= 0.9
