@@ -75,6 +75,7 @@ def placed(agents: DataFrame, sites: DataFrame) -> DataFrame:
 
 def summary(pairs: DataFrame, far_km: float = 2.0) -> DataFrame:
     """Per run: guests placed and not, shares by band change, weighted distances, sites used."""
+    pairs = durable(pairs.select("run", "sid", "guests", "from_band", "to_band", "km"))  # read three times below
     inside = F.col("sid").isNotNull()
     g, jump = F.col("guests"), F.col("to_band") - F.col("from_band")
 
