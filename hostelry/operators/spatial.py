@@ -6,16 +6,18 @@ location are one location, and searches for the nearest descend a pyramid of occ
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostelry.functions.geo import PLANE, Plane, around, cell, distance
 from hostelry.operators.distribution import spread_join
-from hostelry.session import durable
+from hostelry.session import discard, durable
 
 SLACK = 1e-6
 #: Bytes of a row of the pyramid, at most.
@@ -171,13 +173,68 @@ def near_same_key(rows: DataFrame, keys: Sequence[str], row_id: str, radius: flo
         flag, F.coalesce(F.col("__near"), F.lit(False))).drop("__id", "__near")
 
 
+#: Cells of a tile's side, a power of two and no less than two rims, cells it sees beyond that (its rim), rows of a cell it looks at in a round, and rows of a task's call, about.
+TILE_BITS, RIM, LISTED, CALL_ROWS = 5, 4, 64, 20_000
+_REACH = [(du, dv) for du in range(-2, 3) for dv in range(-2, 3)]
+
+
+def _certain(tiles: Sequence[int], us: Sequence[int], vs: Sequence[int], xs: Sequence[float], ys: Sequence[float], cut: Sequence[bool], radius: float, last: int) -> list[int]:
+    """Rows, newest first, that are kept whatever lies outside their tile's view, which goes from cell 0 to ``last`` both ways. ``cut``: the cell
+    may have older rows than this, unseen."""
+    kept, unsure, unseen, out = {}, {}, set(), []
+    for i, (t, u, v, x, y) in enumerate(zip(tiles, us, vs, xs, ys, strict=True)):
+        around_it = [(t, u + du, v + dv) for du, dv in _REACH]
+
+        def close(spot):
+            return math.sqrt((x - spot[0]) * (x - spot[0]) + (y - spot[1]) * (y - spot[1])) <= radius
+
+        if not any(c in kept and close(kept[c]) for c in around_it):
+            sees_all = 2 <= u <= last - 2 and 2 <= v <= last - 2 and not any(c in unseen for c in around_it)
+            if sees_all and not any(close(spot) for c in around_it for spot in unsure.get(c, ())):
+                kept[t, u, v] = x, y
+                out.append(i)
+            else:
+                unsure.setdefault((t, u, v), []).append((x, y))
+        if cut[i]:
+            unseen.add((t, u, v))
+    return out
+
+
+def _winners(undecided: DataFrame, rows: int, radius: float) -> DataFrame:
+    """Rows of ``undecided`` (``__name, __o, x, y, cx, cy``) that one look at tiles of cells proves to be kept."""
+    newest = [F.col("__o").desc(), "x", "y"]
+    seen = undecided.withColumn("__rank", F.row_number().over(Window.partitionBy("__name", "cx", "cy").orderBy(*newest))).filter(F.col("__rank") <= LISTED)
+    for c in "xy":
+        tiles = [F.shiftright(F.col(f"c{c}") + d, TILE_BITS) for d in (-RIM, RIM)]
+        seen = seen.withColumn(f"t{c}", F.explode(F.array_distinct(F.array(*tiles))))
+    calls = 2 * rows // CALL_ROWS + 1
+    seen = seen.withColumn("__call", F.pmod(F.xxhash64("__name", "tx", "ty"), F.lit(calls)))
+    seen = seen.withColumn("__at", F.row_number().over(Window.partitionBy("__call").orderBy(*newest)))
+    schema = undecided.select("__name", F.col("__o.id").alias("__id"), "x", "y", "cx", "cy").schema
+    names, bits, rim, listed = schema.names, TILE_BITS, RIM, LISTED
+
+    def run(table):
+        table = table.sort_by("__at")
+        number = {}
+        tx, ty, cx, cy, xs, ys, rank = (table.column(c).to_pylist() for c in ("tx", "ty", "cx", "cy", "x", "y", "__rank"))
+        tiles = [number.setdefault(t, len(number)) for t in zip(table.column("__name").to_pylist(), tx, ty, strict=True)]
+        us, vs = ([c - (t << bits) + rim for c, t in zip(cells, at, strict=True)] for cells, at in ((cx, tx), (cy, ty)))
+        found = _certain(tiles, us, vs, xs, ys, [r == listed for r in rank], radius, (1 << bits) + 2 * rim - 1)
+        return table.take(pa.array(found, pa.int64())).select(names)
+
+    inside = seen.select("__call", "__at", "__rank", "__name", F.col("__o.id").alias("__id"), "x", "y", "cx", "cy", "tx", "ty")
+    return inside.groupBy("__call").applyInArrow(run, schema).distinct()
+
+
 def keep_newest_apart(rows: DataFrame, name: str, row_id: str, newest: Sequence[Column], radius: float) -> DataFrame:
     """Greedy by name: newest first, drop what lies within ``radius`` of a kept one.
 
     Rows kept are more than a radius apart, so a cell with that diagonal holds at most one of them.
-    Each round the newest open row of a cell is kept when no cell in reach has a newer open row, and
-    open rows near it are dropped; the work per round is linear in the open rows. Ends when none is
-    open. Rows without a name pass.
+    Cells are looked at in tiles of 32 by 32 and a rim, at most 64 rows of each, in one bounded step a tile: a row is
+    kept there if every newer row in its reach is in view and dropped. Then open rows near kept ones go. A round settles
+    whole chains of rows within a tile, and the newest open row of each name at least, so rounds follow the tiles that
+    a chain crosses, newest to oldest, not its length. Ends when no row is open, and leaves one table of
+    ids in the shared folder. Equal rows of one id count once in the order and are all kept. Rows without a name pass.
     """
     side = radius / 1.4142135623730951
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(newest)], F.col(row_id).alias("id"))
@@ -185,24 +242,21 @@ def keep_newest_apart(rows: DataFrame, name: str, row_id: str, newest: Sequence[
     undecided = durable(rows.filter(F.col(name).isNotNull()).select(
         F.col(name).alias("__name"), order.alias("__o"), "x", "y",
         cell(F.col("x"), side).alias("cx"), cell(F.col("y"), side).alias("cy")))
-    kept = None
-    while not undecided.isEmpty():
-        heads = durable(undecided.groupBy(*spot).agg(
-            F.max("__o").alias("__head"), F.max_by(F.struct("x", "y"), "__o").alias("__at")))
-        reach = heads.select("__name", "__head", F.explode(around(F.col("cx"), F.col("cy"), 2)).alias("__c")).select(
-            "__name", "__c.cx", "__c.cy", "__head")
-        strongest = reach.groupBy(*spot).agg(F.max("__head").alias("__top"))
-        winners = durable(heads.join(strongest, spot).filter(F.col("__head") == F.col("__top")).select(
-            *spot, F.col("__head").alias("__won"), F.col("__at.x").alias("sx"), F.col("__at.y").alias("sy")))
-        kept = winners if kept is None else kept.unionByName(winners)
-        shade = winners.select("__name", "sx", "sy", F.explode(around(F.col("cx"), F.col("cy"), 2)).alias("__c")).select(
+    rounds = []
+    while left := undecided.count():
+        winners = durable(_winners(undecided, left, radius))
+        rounds.append(winners)
+        shade = winners.select("__name", F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode(around(F.col("cx"), F.col("cy"), 2)).alias("__c")).select(
             "__name", "__c.cx", "__c.cy", "sx", "sy")
         d = distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
-        undecided = durable(spread_join(undecided, shade, spot, how="left_anti", condition=d <= radius))
+        last, undecided = undecided, durable(spread_join(undecided, shade, spot, how="left_anti", condition=d <= radius))
+        discard(last)
+    discard(undecided)
     unnamed = rows.filter(F.col(name).isNull())
-    if kept is None:
+    if not rounds:
         return unnamed
-    ids = kept.select(F.col("__won.id").alias("__kept"))
+    ids = durable(reduce(DataFrame.unionByName, [w.select(F.col("__id").alias("__kept")) for w in rounds]))
+    discard(*rounds)
     return rows.join(ids, rows[row_id] == ids["__kept"], "left_semi").unionByName(unnamed)
 
 

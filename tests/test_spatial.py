@@ -104,6 +104,45 @@ def test_keep_newest_apart_matches_greedy(spark):
     assert got == want
 
 
+def greedy(frame, radius):
+    """Ids that survive a plain walk from the newest to the oldest row of each name."""
+    want = set()
+    for _, g in frame.groupby("name"):
+        kept = []
+        for r in g.sort_values(["seen", "id"], ascending=False).itertuples():
+            if all(np.hypot(r.x - q.x, r.y - q.y) > radius for q in kept):
+                kept.append(r)
+        want |= {r.id for r in kept}
+    return want
+
+
+def corners(spark, frame, radius):
+    return {r["id"] for r in spatial.keep_newest_apart(spark.createDataFrame(frame), "name", "id", [F.col("seen")], radius).collect()}
+
+
+def test_chains_over_tiles_and_crowded_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    line = pd.DataFrame({"x": np.arange(300) * 7.0 - 900, "y": 0.0, "name": "line", "seen": np.arange(300)})
+    crowd = pd.DataFrame({"x": rng.normal(0, 9, 700), "y": rng.normal(0, 9, 700), "name": "crowd", "seen": rng.integers(0, 9, 700)})
+    field = pd.DataFrame({"x": rng.uniform(-400, 400, 700), "y": rng.uniform(-400, 400, 700), "name": "field", "seen": rng.integers(0, 400, 700)})
+    frame = pd.concat([line, crowd, field], ignore_index=True)
+    frame["id"] = rng.permutation(len(frame))
+    rounds = []
+    plain = spatial._winners
+    monkeypatch.setattr(spatial, "_winners", lambda *a: rounds.append(a[1]) or plain(*a))
+    assert corners(spark, frame, 10.0) == greedy(frame, 10.0)
+    # the longest chain has 300 rows and crosses 10 tiles, each in one round
+    assert len(rounds) <= 14
+
+
+def test_small_views_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"x": rng.normal(0, 30, 250), "y": rng.normal(0, 30, 250), "name": "n", "seen": rng.integers(0, 40, 250), "id": np.arange(250)})
+    for option, value in (("TILE_BITS", 3), ("LISTED", 2), ("CALL_ROWS", 10)):
+        monkeypatch.setattr(spatial, option, value)
+    assert corners(spark, frame, 10.0) == greedy(frame, 10.0)
+
+
 def test_corner_distances(spark):
     plane = pd.DataFrame({"id": [1, 2, 3, 4], "x": [0.0, 6.0, 100.0, 111.0], "y": [0.0] * 4, "name": list("aabb"), "seen": [1, 2, 1, 2]})
     out = spatial.keep_newest_apart(spark.createDataFrame(plane), "name", "id", [F.col("seen")], 10.0)
