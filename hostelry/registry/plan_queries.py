@@ -234,7 +234,20 @@ def establishments(spark, folder):
     return out.select("id", "stars", "lodging", "in_chain", "official", "adr", "probable_duplicate")
 
 
-@query("reg02_food_sites", "REG-02 STR-18 STR-19 STR-20 WD-03 SJ-06")
+_FLAT = "sqrt(pow((a.lat-b.lat)*111320e0,2) + pow((a.lon-b.lon)*(111320e0*cos(radians(4139e-2))),2))"
+
+
+@query("reg02_food_sites", "REG-02 STR-18 STR-19 STR-20 WD-03 SJ-06", f"""
+WITH RECURSIVE r AS (SELECT cast(id as varchar) AS id, case when id % 40 <> 0 then name end AS name, lat, lon, visited, id % 9 <> 0 AS identified, id % 300 AS street,
+  case kind when 'ECONOMY' then 'bar' when 'SMALL' then 'restaurant' else 'fast' end AS site_type FROM food WHERE kind IN ('ECONOMY', 'SMALL', 'PROMO')),
+l AS (SELECT * FROM (SELECT *, row_number() over (partition by identified, case when not identified then id end, name, street, site_type order by visited desc, id desc) AS k FROM r)
+ WHERE k = 1 OR NOT identified),
+e AS (SELECT a.id AS a, b.id AS b FROM l a JOIN l b ON a.name = b.name AND (a.visited > b.visited OR (a.visited = b.visited AND a.id > b.id)) AND {_FLAT} <= 10),
+ord AS (SELECT id, row_number() over (order by visited desc, id desc) AS i FROM l WHERE id IN (SELECT a FROM e UNION SELECT b FROM e)),
+walk(i, dropped) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
+ SELECT w.i + 1, case when exists (SELECT 1 FROM e JOIN ord o ON o.id = e.b WHERE o.i = w.i + 1 AND NOT list_contains(w.dropped, e.a))
+  then list_append(w.dropped, (SELECT id FROM ord WHERE ord.i = w.i + 1)) else w.dropped end FROM walk w WHERE w.i < (SELECT count(*) FROM ord))
+SELECT site_type, count(*) AS sites, count(name) AS named FROM l WHERE id NOT IN (SELECT unnest(dropped) FROM (SELECT dropped FROM walk ORDER BY i DESC LIMIT 1)) GROUP BY 1""", ("food",))
 def food_sites(spark, folder):
     rows = standin(spark, folder, "food").withColumns({
         "address": F.concat(F.lit("Street "), (c("id") % 300).cast("string"), F.when(c("id") % 9 == 0, " LOC NA").otherwise(" LOC 1")),
