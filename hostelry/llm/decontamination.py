@@ -4,8 +4,9 @@
    true hit pass and says how long the items with the seed get. Hits that one item can reach both of form a passage,
    which goes on with its words and, on both sides, as many more as an alignment of those items can reach: an item of
    any length lengthens only the passages that have its seeds. Equal passages are handled once, however many documents have them.
-2. Passages join items on all seeds: how common a seed is leaves no pair out. Join rows grow with the passages that
-   have a seed times the items that have it.
+2. Passages join items on the rare seeds of each item, as the passages count them: all but so many of its commonest ones
+   that a pair with enough seeds to be aligned cannot have those alone. So rarity leaves no pair out, also where
+   an item or its copies have common seeds only. The common seeds are looked up for joined pairs alone.
 3. A pair with two seeds of whole words close to one diagonal, or with a quarter of the item's seeds, is aligned word by word (Smith-Waterman, batches in numpy):
    2 for the same word, 1 for the same first four letters, -1 for another word or a gap. The score is the best local
    alignment over that of the whole item; from ``threshold`` on the document counts as contaminated.
@@ -28,7 +29,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,6 +202,38 @@ def _item_words(text: str) -> np.ndarray:
     return np.stack([words.hashes(), words.hashes(4)], axis=1)
 
 
+def with_rarity(seeds: DataFrame, usual: DataFrame, each: DataFrame) -> DataFrame:
+    """The seeds of items that occur in ``each``, and which of them are ``common_``.
+
+    A pair is aligned from ``need_`` places with seeds of whole words on, or from ``many_`` places of any kind. Common are the
+    ``need_`` - 1 seeds of whole words and the ``many_`` - ``need_`` of beginnings that occur most often. They are fewer than
+    either bound, so a pair that reaches one has a seed that is not common.
+    """
+    counts = each.groupBy("seed_").agg(F.count("*").alias("times_"))
+    counted = attach(attach(seeds, counts, ["seed_"]).where(F.col("times_").isNotNull()), usual, ["key_"])
+    rank = F.row_number().over(Window.partitionBy("key_", "whole_").orderBy(F.col("times_").desc(), "seed_"))
+    spare = F.when(F.col("whole_"), F.col("need_") - 1).otherwise(F.col("many_") - F.col("need_"))
+    return counted.select("seed_", F.col("key_").alias("item_key_"), F.col("at_").alias("item_at_"), "whole_", "need_", "many_", (rank <= spare).alias("common_"))
+
+
+def _pairs(each: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Passages and items with enough seeds to be aligned: ``key_, item_key_, need_, many_, places_, seeds_``."""
+    place = F.struct("place_", "item_at_", "whole_")
+    rare = spread_join(each, wanted.where("not common_"), ["seed_"])
+    first = durable(rare.groupBy("key_", "item_key_").agg(
+        F.max("need_").alias("need_"), F.max("many_").alias("many_"), F.collect_list(place).alias("rare_")))
+    open_ = spread_join(first.select("key_", "item_key_"), wanted.where("common_").select("item_key_", "seed_", "item_at_", "whole_"), ["item_key_"])
+    more = spread_join(open_, each, ["key_", "seed_"]).groupBy("key_", "item_key_").agg(F.collect_list(place).alias("more_"))
+    both = attach(first, more, ["key_", "item_key_"]).withColumn("places_", F.when(F.col("more_").isNull(), F.col("rare_")).otherwise(F.concat("rare_", "more_")))
+
+    def distinct(places):
+        return F.size(F.array_distinct(F.transform(places, lambda p: p["item_at_"]))).cast("long")
+
+    wholes = distinct(F.filter("places_", lambda p: p["whole_"]))
+    return both.select("key_", "item_key_", "need_", "many_", "places_", distinct(F.col("places_")).alias("seeds_"), wholes.alias("wholes_")).where(
+        (F.col("wholes_") >= F.col("need_")) | (F.col("seeds_") >= F.col("many_"))).drop("wholes_")
+
+
 def find(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", n: int = SEED, threshold: float = THRESHOLD,
@@ -217,13 +250,8 @@ def find(
     hits = durable(_passages(slim, reach_table(seeds, n), n, least or 1))
 
     once = hits.dropDuplicates(["key_"])
-    each = once.select("key_", F.explode("hits_").alias("h")).select("key_", F.col("h.seed_").alias("seed_"), F.col("h.at_").alias("place_"))
-    wanted = attach(seeds, usual, ["key_"]).select("seed_", F.col("key_").alias("item_key_"), F.col("at_").alias("item_at_"), "whole_", "need_", "many_")
-    pairs = spread_join(each, wanted, ["seed_"]).groupBy("key_", "item_key_").agg(
-        F.count_distinct("item_at_").alias("seeds_"), F.max("need_").alias("need_"), F.max("many_").alias("many_"),
-        F.count_distinct(F.when(F.col("whole_"), F.col("item_at_"))).alias("wholes_"),
-        F.collect_list(F.struct("place_", "item_at_", "whole_")).alias("places_")).where(
-        (F.col("wholes_") >= F.col("need_")) | (F.col("seeds_") >= F.col("many_")))
+    each = durable(once.select("key_", F.explode("hits_").alias("h")).select("key_", F.col("h.seed_").alias("seed_"), F.col("h.at_").alias("place_")))
+    pairs = _pairs(each, durable(with_rarity(seeds, usual, each)))
     full = attach(attach(pairs, once.select("key_", "text_"), ["key_"]), items.select(F.col("key_").alias("item_key_"), "item_", "item_text_"), ["item_key_"])
     schema = T.StructType([full.schema["key_"], full.schema["item_"], T.StructField("score", T.DoubleType()), T.StructField("seeds", T.LongType())])
 

@@ -183,3 +183,35 @@ def test_recall_of_edited_copies_against_alignment_of_every_pair(spark, changed)
     recall = len(got) / len(truth)
     print(f"recall at {changed}: {recall:.3f} of {len(truth)}")
     assert recall >= 0.9
+
+
+def test_pairs_of_rare_seeds_are_all_pairs_with_enough_seeds(spark):
+    rng = random.Random(17)
+    hot = list(range(6))  # seeds that most passages and items have
+    items = {i: rng.sample(range(6, 200), rng.randint(0, 14)) + rng.sample(hot, rng.randint(0, 6)) for i in range(40)}
+    entries = [(i, seed, rng.random() < 0.5, at) for i, own in items.items() for at, seed in enumerate(own)]
+    usual = [(i, min(2, len(own)), max(min(2, len(own)), -(-len(own) // dc.BEGUN_SHARE))) for i, own in items.items() if own]
+    hits = [(k, seed, at) for k in range(300) for at, seed in enumerate(rng.sample(range(200), 12) + rng.sample(hot, rng.randint(0, 6)))]
+    seeds = spark.createDataFrame(entries, "key_ long, seed_ long, whole_ boolean, at_ int")
+    each = spark.createDataFrame(hits, "key_ long, seed_ long, place_ int")
+    wanted = dc.with_rarity(seeds, spark.createDataFrame(usual, "key_ long, need_ long, many_ long"), each).persist()
+    got = {(r.key_, r.item_key_): sorted(tuple(p) for p in r.places_) for r in dc._pairs(each, wanted).collect()}
+
+    bounds, of = {i: (need, many) for i, need, many in usual}, {}
+    for i, seed, whole, at in entries:
+        of.setdefault(seed, []).append((i, at, whole))
+    met = {}
+    for k, seed, place in hits:
+        for i, at, whole in of.get(seed, ()):
+            met.setdefault((k, i), []).append((place, at, whole))
+    want = {pair: sorted(p) for pair, p in met.items() if len({at for _, at, whole in p if whole}) >= bounds[pair[1]][0]
+            or len({at for _, at, _ in p}) >= bounds[pair[1]][1]}
+    assert got == want and want
+    times = {seed: sum(s == seed for _, s, _ in hits) for seed in range(200)}
+    rows = wanted.collect()
+    for i, (need, many) in bounds.items():
+        for whole in (True, False):
+            own = [r for r in rows if r.item_key_ == i and r.whole_ == whole]
+            common = [times[r.seed_] for r in own if r.common_]
+            assert len(common) == min(len(own), need - 1 if whole else many - need)
+            assert not common or min(common) >= max((times[r.seed_] for r in own if not r.common_), default=0)
