@@ -9,7 +9,8 @@ document's class is everything it reaches over links, and its id the smallest in
    verified against the hub, which settles a group of copies of one text in as many pairs as it has members.
 3. Where a bucket then still holds several classes, the members outside its largest class are verified against
    all members of other classes, in blocks of bounded size; a bucket is split into as many blocks as it needs and
-   none is capped. Pairs that are already in one class need no link, so no group is ever compared with itself whole.
+   none is capped. Blocks meet as signatures first; only texts of members with a plausible partner in the block
+   follow. Pairs that are already in one class need no link, so no group is ever compared with itself whole.
 
 Verification compares signatures in batches and drops a pair as soon as the posterior probability that it reaches
 the threshold is below ``miss`` (uniform prior); survivors are verified exactly on their full sets, so every link
@@ -34,14 +35,16 @@ from pyspark.sql import types as T
 from hostelry.llm.components import components
 from hostelry.llm.frames import give_back, per_document, text_slices
 from hostelry.llm.words import mix, shingles, words_of
-from hostelry.operators.distribution import attach
-from hostelry.session import durable
+from hostelry.operators.distribution import attach, spread_join
+from hostelry.session import discard, durable
 
 BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
 #: Members of a block of a bucket, about, and characters of text that one call of a task verifies, about.
 BLOCK, GROUP_CHARS = 256, 1_000_000
+#: Signatures that one call of a task compares in blocks, about.
+GROUP_ROWS = 8192
 
 _RANDOM = np.random.default_rng(77)
 _TIMES = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -160,6 +163,48 @@ def _verify_pairs(pairs: DataFrame, n: int, similarity: float, miss: float) -> D
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _signatures(texts: DataFrame, n: int) -> DataFrame:
+    """``id_, signature_`` of texts with a word."""
+    def start():
+        def function(found):
+            return (pa.array([signature(s).tobytes() if len(s) else None for s in shingle_sets(found, n)], pa.binary()),)
+
+        return function
+
+    return per_document(texts, "id_", "text_", [T.StructField("signature_", T.BinaryType())], start).where("signature_ is not null")
+
+
+def _partners(x: int, rest: np.ndarray, labels: np.ndarray, signed: np.ndarray, bands: np.ndarray, number: int, least: np.ndarray) -> np.ndarray:
+    """Places in ``rest`` of rows of other classes than row ``x`` that may be linked with it and share no earlier band:
+    a pair is the business of the first band it shares."""
+    other = np.flatnonzero(labels[rest] != labels[x])
+    other = other[survivors(signed[x], signed[rest[other]], least)]
+    return other[~(bands[rest[other], :number] == bands[x, :number]).any(axis=1)]
+
+
+def _plausible(units: DataFrame, similarity: float, miss: float) -> DataFrame:
+    """Members of block pairs that have a plausible partner there: rows of (group, unit, band number, outer, id, class, signature)."""
+    kept = T.StructType([f for f in units.schema if f.name not in ("group_", "signature_")])
+    names = kept.names
+
+    def run(table):
+        least = least_matches(similarity, miss)
+        signed = np.stack([np.frombuffer(b, np.uint32) for b in table.column("signature_").to_pylist()])
+        bands = band_keys(signed)
+        labels, unit, outer, number_of = (table.column(c).to_numpy() for c in ("class_", "unit_", "outer_", "number_"))
+        order = np.argsort(unit, kind="stable")
+        keep = np.zeros(len(unit), bool)
+        for members in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            rest = members[~outer[members]]
+            for x in members[outer[members]]:
+                other = _partners(x, rest, labels, signed, bands, int(number_of[x]), least)
+                keep[rest[other]] = True
+                keep[x] |= len(other) > 0
+        return table.select(names).filter(pa.array(keep))
+
+    return units.groupBy("group_").applyInArrow(run, kept)
+
+
 def _verify_blocks(rows: DataFrame, n: int, similarity: float, miss: float) -> DataFrame:
     """Links between the outer and the other members of block pairs: rows of (group, unit, band number, outer, id, class, text)."""
     percent = _percent(similarity)
@@ -173,7 +218,7 @@ def _verify_blocks(rows: DataFrame, n: int, similarity: float, miss: float) -> D
         of = np.array([place[t] for t in texts])
         sets = shingle_sets(known, n)
         signed = np.stack([signature(s) for s in sets])
-        bands = band_keys(signed)
+        signed, bands = signed[of], band_keys(signed)[of]
         sizes = np.array([len(s) for s in sets])
         unit, outer, number_of = (table.column(c).to_numpy(zero_copy_only=False) for c in ("unit_", "outer_", "number_"))
         order = np.argsort(unit, kind="stable")
@@ -188,10 +233,7 @@ def _verify_blocks(rows: DataFrame, n: int, similarity: float, miss: float) -> D
             cuts = np.concatenate([[0], np.cumsum(sizes[of[rest]])])[:-1]
             for x in members[outer[members]]:
                 mine = of[x]
-                other = np.flatnonzero(labels[rest] != labels[x])
-                other = other[survivors(signed[mine], signed[of[rest[other]]], least)]
-                # a pair is the business of the first band it shares
-                other = other[~(bands[of[rest[other]], :number] == bands[mine, :number]).any(axis=1)]
+                other = _partners(x, rest, labels, signed, bands, number, least)
                 if len(other):
                     where = np.minimum(np.searchsorted(sets[mine], whole), len(sets[mine]) - 1)
                     common = np.add.reduceat((sets[mine][where] == whole).astype(np.int64), cuts)[other]
@@ -252,8 +294,12 @@ def classes(
 
     units = placed(mixed.where("outer_"), True, "outer_blocks_", "all_blocks_").unionByName(placed(mixed, False, "all_blocks_", "outer_blocks_"))
     units = durable(units)
-    full = attach(units, texts, ["id_"])
-    chars = attach(units.groupBy("id_").agg(F.count("*").alias("times_")), texts, ["id_"]).agg(
+    signatures = durable(_signatures(texts.join(units.select("id_").distinct(), "id_", "left_semi"), n))
+    signed_units = spread_join(units, signatures, ["id_"]).withColumn("group_", F.pmod("unit_", F.lit(units.count() // GROUP_ROWS + 1)))
+    left = durable(_plausible(signed_units, similarity, miss))
+    discard(units, signatures)
+    full = attach(left, texts, ["id_"])
+    chars = attach(left.groupBy("id_").agg(F.count("*").alias("times_")), texts, ["id_"]).agg(
         F.coalesce(F.sum(F.col("times_") * F.length("text_")), F.lit(0))).first()[0]
     groups = int(chars // GROUP_CHARS) + 1
     more = _verify_blocks(full.withColumn("group_", F.pmod("unit_", F.lit(groups))), n, similarity, miss)

@@ -71,6 +71,18 @@ def test_a_large_group_of_edited_copies(spark):
     assert run(spark, rows, n=3, similarity=0.85, block=40) == plain(rows, 3, 85)
 
 
+def test_blocks_of_alike_unlinked_texts_ship_no_texts(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(50))  # similarity about 0.4: some bands are shared, no link is plausible
+    rows = [(i, passage + " " + " ".join(f"t{rng.randrange(10**6)}" for _ in range(35))) for i in range(400)]
+    sizes, plain = {}, nd._plausible
+    monkeypatch.setattr(nd, "_plausible", lambda units, *a: sizes.setdefault("signatures", units.count()) and plain(units, *a))
+    verify = nd._verify_blocks
+    monkeypatch.setattr(nd, "_verify_blocks", lambda full, *a: sizes.setdefault("texts", full.count()) or verify(full, *a))
+    assert [c for _, _, c, _ in run(spark, rows, n=3, similarity=0.85, block=20)] == [i for i, _ in rows]
+    assert sizes["signatures"] > 400 and sizes["texts"] < 40
+
+
 def test_rows_of_any_kind(spark):
     text = " ".join(f"w{i}" for i in range(30))
     assert run(spark, []) == []
