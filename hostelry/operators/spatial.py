@@ -38,13 +38,14 @@ def pairs_within(points: DataFrame, sites: DataFrame, radius: float, keys: Seque
 
     Points fall in one cell of side ``radius``, sites are copied to the nine cells around theirs, so
     the join is an equality. Columns other than keys must differ between the sides; sites carry
-    ``sx`` and ``sy``. Aggregate the result, do not store it.
+    ``sx`` and ``sy``. Aggregate the result, do not store it. The copies are shuffled: by a file's size the planner
+    takes nine copies of a table for a small one and would broadcast them whole.
     """
     placed = points.withColumns({"__cx": cell(F.col("x"), radius), "__cy": cell(F.col("y"), radius)})
     near = sites.withColumn("__c", F.explode(around(cell(F.col("sx"), radius), cell(F.col("sy"), radius), 1)))
     near = near.withColumns({"__cx": F.col("__c.cx"), "__cy": F.col("__c.cy")}).drop("__c")
     d = distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
-    joined = spread_join(placed, near, [*keys, "__cx", "__cy"], condition=d <= radius)
+    joined = spread_join(placed, near.hint("merge"), [*keys, "__cx", "__cy"], condition=d <= radius)
     return joined.drop("__cx", "__cy").withColumn("d", d)
 
 

@@ -47,8 +47,11 @@ def plane_coordinates(spark, folder):
 SELECT a.area, count(*) AS pairs, round(sum(d), 2) AS metres FROM (SELECT a.area, {metres('a', 'f')} AS d FROM agents a, food f) a WHERE d <= 200 GROUP BY 1""", ("agents", "food"))
 def radius_join(spark, folder):
     sites = as_sites(points(spark, folder, "food"))
-    pairs = spatial.pairs_within(points(spark, folder, "agents").select("id", "area", "x", "y"), sites, 200.0)
-    return pairs.groupBy("area").agg(F.count("*").alias("pairs"), F.round(F.sum("d"), 2).alias("metres"))
+    # rows on one spot are one row with their number, so a pair of spots is measured once
+    spots = points(spark, folder, "agents").groupBy("area", "x", "y").agg(F.count("*").alias("here"))
+    stands = sites.groupBy("sx", "sy").agg(F.count("*").alias("there"))
+    pairs = spatial.pairs_within(spots, stands, 200.0).withColumn("n", c("here") * c("there"))
+    return pairs.groupBy("area").agg(F.sum("n").alias("pairs"), F.round(F.sum(c("n") * c("d")), 2).alias("metres"))
 
 
 @query("sj04_nearest_fallback", "SJ-04", f"""

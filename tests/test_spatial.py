@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostelry.operators import demand, polygons, spatial
+from hostelry.registry.spatial_queries import radius_join
 
 
 def scattered(seed, n, crowd=0.33):
@@ -275,3 +276,20 @@ def test_several_weights_ride_on_one_spread(spark):
     for name in ("w", "v"):
         alone = demand.spread(rows, places, 150.0, name).collect()
         assert {r["sid"]: pytest.approx(r["received"]) for r in alone} == {k: r[f"received_{name}"] for k, r in both.items()}
+
+
+def test_radius_pairs_shuffle_the_copies_of_the_sites(spark, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="10m")
+    a, b = scattered(21, 60), scattered(22, 50)
+    pairs = spatial.pairs_within(spark.createDataFrame(a).select("id", "x", "y"), sites_of(spark, b).drop("k"), 200.0)
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().sparkPlan().toString() + pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == sum(np.hypot(b.x - r.x, b.y - r.y).le(200.0).sum() for r in a.itertuples())
+
+
+def test_radius_join_counts_every_copy_of_a_spot(spark, tmp_path):
+    people = pd.DataFrame({"c_custkey": [1, 1, 28501, 2], "c_nationkey": pd.array([3, 3, 3, 4], dtype="int32"), "c_acctbal": 1.0, "c_mktsegment": "x"})
+    people.to_parquet(tmp_path / "customer.parquet")
+    parts = pd.DataFrame({"p_partkey": [-28, -28, 28472], "p_name": "n", "p_brand": "b", "p_type": "t"})  # all stand where agent 1 stands
+    parts.to_parquet(tmp_path / "part.parquet")
+    got = {r["area"]: (r["pairs"], r["metres"]) for r in radius_join(spark, str(tmp_path)).collect()}
+    assert got[3] == (9, 0.0)
