@@ -82,3 +82,42 @@ def test_whole_jobs_are_registered_with_all_columns_and_learners(spark, monkeypa
     short = pm.cross_validated(table, mq.ONE, mq.least_squares(), k=2).collect()
     for name in mq.ps.DEFAULTS:
         assert np.mean([r["mae"] for r in got if r["learner"] == name]) < 0.7 * np.mean([r["mae"] for r in short])
+
+
+def test_line_of_all_splits_needs_no_fit_per_fold(spark, monkeypatch):
+    rows = [(*r[:4], r[4] or "w", r[5]) for r in small_rows()]
+    df, line = spark.createDataFrame(rows, SCHEMA), LinearRegression(regParam=REG, solver="normal")
+    monkeypatch.setattr(pm, "fit", None)
+    folds = {s: {r[0]: int(hashlib.md5(f"{s}|{r[0]}".encode()).hexdigest()[:8], 16) % 5 for r in rows} for s in (0, 1, 42)}
+
+    def gaps(part, fold, f):
+        held = [r for r in part if fold[r[0]] == f and r[1] is not None]
+        return np.abs(ridge_by_hand([r for r in part if fold[r[0]] != f], held) - [r[1] for r in held])
+
+    got = pm.repeated(df, SMALL, line, seeds=(0, 1)).first()
+    errors = [gaps(rows, folds[s], f).mean() for s in (0, 1) for f in range(5)]
+    assert got["folds"] == 10 and (got["mean"], got["worst"]) == (pytest.approx(np.mean(errors), rel=1e-6), pytest.approx(max(errors), rel=1e-6))
+    many = {r["c"]: r["own_model"] for r in pm.one_or_many(df, SMALL, line, "c", ["x", "z"]).collect()}
+    assert many == {v: pytest.approx(np.concatenate([gaps([r for r in rows if r[4] == v], folds[42], f) for f in range(5)]).mean(), rel=1e-6) for v in "xz"}
+
+
+def test_blocks_of_an_importance_share_one_join(spark):
+    df = spark.createDataFrame(small_rows(), SCHEMA)
+    seen, held = pm.split(df, "id")
+    fitted = pm.fit(seen, SMALL, LinearRegression(regParam=REG, solver="normal"))
+    out = pm.importance(held, fitted, {"a": ["a"], "ac": ["a", "c"], "b": ["b"]}, repeats=2)
+    known = sorted([r for r in small_rows() if r[1] is not None and int(hashlib.md5(f"42|{r[0]}".encode()).hexdigest()[:8], 16) % 5 == 0])
+    train = [r for r in small_rows() if int(hashlib.md5(f"42|{r[0]}".encode()).hexdigest()[:8], 16) % 5]
+
+    def error(rows):
+        return np.mean(np.abs(ridge_by_hand(train, rows) - [r[1] for r in rows]))
+
+    for r in out.collect():
+        places = [2 + "abcd".index(x) for x in r["block"]]
+        mae = []
+        for i in range(2):
+            other = sorted(known, key=lambda x: hashlib.md5(f"42|{i}|{x[0]}".encode()).hexdigest())
+            mae.append(error([tuple(o[j] if j in places else x[j] for j in range(6)) for x, o in zip(known, other)]))
+        assert (r["mae"], r["lost"]) == (pytest.approx(np.mean(mae), rel=1e-6), pytest.approx(np.mean(mae) - error(known), rel=1e-4, abs=1e-6))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("__pos" in x for x in plan.splitlines() if "Join Inner" in x) == 1
