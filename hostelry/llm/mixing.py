@@ -43,17 +43,23 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
+def _long(number: int) -> Column:
+    return F.lit(number).cast("long")
+
+
 def targets(sources: DataFrame, weight_col: str, size_col: str, passes: int) -> DataFrame:
     """Adds ``target``: the whole size shared by weight, no source above ``passes`` times its size.
 
     A round shares what the stopped sources leave; each is one aggregate over the sources, and stops only ever grow,
     so rounds end by themselves. Only sums reach the driver.
     """
-    size, weight, stop = F.col(size_col), F.col(weight_col), F.col(size_col) * passes
+    # all whole numbers are longs: a literal of fewer bits would make a product of fewer bits
+    size, weight = F.col(size_col).cast("long"), F.col(weight_col).cast("long")
+    stop = size * passes
     budget = sources.agg(F.sum(size)).first()[0] or 0
     open_, open_weight, stopped = budget, None, -1
     while True:
-        over = F.lit(False) if open_weight is None else F.lit(open_) * weight >= stop * F.lit(open_weight)
+        over = F.lit(False) if open_weight is None else _long(open_) * weight >= stop * _long(open_weight)
         now = sources.agg(
             F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, stop)).alias("held"), F.sum(F.when(~over, weight)).alias("weight")).first()
         if now["n"] == stopped or now["weight"] is None:
@@ -61,7 +67,7 @@ def targets(sources: DataFrame, weight_col: str, size_col: str, passes: int) ->
         stopped, open_, open_weight = now["n"], budget - (now["held"] or 0), now["weight"]
     if open_weight is None:  # no sources
         return sources.withColumn("target", F.lit(0.0))
-    share = (F.lit(open_) * weight).cast("double") / F.lit(open_weight).cast("double")
+    share = (_long(open_) * weight).cast("double") / F.lit(open_weight).cast("double")
     return sources.withColumn("target", F.least(share, stop.cast("double")))
 
 

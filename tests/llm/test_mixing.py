@@ -110,3 +110,13 @@ def test_query_matches_sql(spark):
     df = queries.op11_mixing(spark, FOLDER)
     cursor = db.execute(queries.OP11)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in cursor.description], cursor.fetchall())
+
+
+@pytest.mark.parametrize("unit", [1, 400_000_000, 900_000_000_000])
+def test_targets_of_more_words_than_an_int_holds(spark, unit):
+    rows = [("a", 1, 2 * unit), ("b", 2, unit), ("c", 3, 6 * unit), ("d", 2, unit // 1000)]
+    sources = spark.createDataFrame(rows, "source string, weight int, size long")
+    found = {r["source"]: r["target"] for r in mixing.targets(sources, "weight", "size", 2).collect()}
+    budget = sum(r[2] for r in rows)
+    open_ = budget - 2 * unit - 2 * (unit // 1000)  # b and d stop at twice their size
+    assert found == {"a": pytest.approx(open_ / 4), "b": 2 * unit, "c": pytest.approx(open_ * 3 / 4), "d": 2 * (unit // 1000)}
